@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.functions import text
+from postlens.operators.ngrams import ngram_counts
 from postlens.schemas import HASHTAG_CLASSES
 
-HELD_OUT_MONTH = "2022-01-01"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,32 +78,58 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# row, phrase, count, survivor, domestic_violence, politics, health
-CLASS_ROWS = [
-    (1, "metoo", 90, 1, 1, 0, 0),
-    (2, "whyistayed", 40, 1, 0, 0, 0),
-    (3, "en", 25, 0, 1, 0, 0),
-    (4, "fr", 30, 0, 0, 1, 0),
-    (5, "de", 30, 0, 1, 1, 0),
-    (6, "es", 20, 0, 0, 0, 1),
-    (7, "src1", 45, 0, 0, 1, 0),
-    (8, "src2", 50, 0, 0, 0, 1),
-    (9, "src3", 50, 0, 0, 1, 1),
-    (10, "src5", 35, 0, 0, 0, 1),
-    (11, "src7", 60, 0, 0, 1, 0),
-    (12, "src8", 12, 0, 1, 0, 0),
-    (13, "src11", 70, 0, 0, 0, 1),
-    (14, "unused", 99, 0, 0, 0, 0),
-    (15, "src1", 15, 0, 0, 1, 0),
-    (16, "src13", 26, 0, 0, 1, 0),
-]
+# phrase: survivor, domestic_violence, politics, health
+FLAGS = {
+    "metoo": (1, 1, 0, 0),
+    "whyistayed": (1, 0, 0, 0),
+    "es": (0, 1, 0, 0),
+    "de": (0, 0, 1, 0),
+    "fr": (0, 0, 0, 1),
+    **{f"src{i}": (0, 1, 0, 0) for i in range(0, 20, 4)},
+    **{f"src{i}": (0, 0, 1, 0) for i in range(1, 20, 4)},
+    **{f"src{i}": (0, 0, 0, 1) for i in range(2, 20, 4)},
+}
+FLAG_NAMES = ["survivor", "domestic_violence", "politics", "health"]
+# listed a second time, further down, with half the count
+REPEATED = "src1"
 
 EXCLUSIONS = ["que", "zzzz"]
 
 
-def hashtag_classes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CLASS_ROWS, HASHTAG_CLASSES)
+def hashtag_classes(spark: SparkSession, posts: DataFrame) -> DataFrame:
+    """The counted hashtags of the posts, some of them classified, one listed twice."""
+    counted = ngram_counts(posts.filter(F.col("hashtags").isNotNull()), "hashtags")
+    flags = spark.createDataFrame(
+        [(phrase, *values) for phrase, values in FLAGS.items()],
+        "phrase string, " + ", ".join(f"{name} int" for name in FLAG_NAMES),
+    )
+    table = counted.join(F.broadcast(flags), "phrase", "left").fillna(0, FLAG_NAMES)
+    again = table.filter(F.col("phrase") == REPEATED).withColumn("count", F.floor(F.col("count") / 2))
+    rows = table.withColumn("row", F.lit(1)).unionByName(again.withColumn("row", F.lit(2)))
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HASHTAG_CLASSES])
 
 
 def exclusions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in EXCLUSIONS], "phrase string")
+
+
+def with_topic(posts: DataFrame) -> DataFrame:
+    """Posts with a given topic; the last one has no label."""
+    return posts.withColumn("topic", (F.col("id") % 10).cast("int"))
+
+
+def topic_labels(spark: SparkSession) -> DataFrame:
+    return spark.range(9).select(
+        F.col("id").cast("int").alias("topic"), F.concat(F.lit("topic "), F.col("id")).alias("topic_label")
+    )
+
+
+def predictions(labelled: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled posts with a prediction that the labels table makes right or wrong."""
+    judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    guess = (
+        F.when(F.col("toxic") == 1, "Victim/Survivor")
+        .when(F.col("quality") == 0, "Other")
+        .otherwise(F.col("category"))
+    )
+    return labelled.join(judged, "id", "left").select("id", F.col("category").alias("actual"), guess.alias("prediction"))

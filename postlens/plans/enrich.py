@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from postlens import runtime
 from postlens.functions import scalars, text
 from postlens.operators import entities
 from postlens.operators.sentiment import add_sentiment
@@ -23,9 +24,15 @@ def clean_posts(raw: DataFrame, lexicon: DataFrame) -> DataFrame:
     return scored.withColumn("content", F.array_join("_words", " ")).drop("_words")
 
 
-def process_raw(raw: DataFrame, lexicon: DataFrame) -> dict[str, DataFrame]:
-    """The five families: posts, mentions, mention_lists, hashtags, hashtag_lists."""
+def process_raw(raw: DataFrame, lexicon: DataFrame, staged: bool = False) -> dict[str, DataFrame]:
+    """The five families: posts, mentions, mention_lists, hashtags, hashtag_lists.
+
+    ``staged`` writes the cleaned posts to the shared folder first; worth it when
+    more than one family is used, as the texts are then cleaned only once.
+    """
     base = clean_posts(raw, lexicon)
+    if staged:
+        base = runtime.stage(base, "clean-posts")
     mentions = entities.parsed_mentions(base)
     hashtags = entities.parsed_hashtags(base)
     frames = {

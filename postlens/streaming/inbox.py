@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 from postlens.plans.enrich import process_raw
 from postlens.schemas import RAW_POSTS_FILE
 from postlens.sources.files import CSV_OPTIONS, read_family
-from postlens import runtime
 
 
 def ingest_inbox(
@@ -33,9 +32,8 @@ def ingest_inbox(
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        # five tables are written from it; parse the text files once
-        raw = runtime.stage(batch.drop("_row"), "inbox-batch")
-        for name, frame in process_raw(raw, lexicon).items():
+        # five tables are written from the batch; its files are parsed once
+        for name, frame in process_raw(batch.drop("_row"), lexicon, staged=True).items():
             frame.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
 
     return (
