@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlens import runtime
 from postlens.functions import text
 from postlens.operators.ngrams import ngram_counts
 from postlens.schemas import HASHTAG_CLASSES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return runtime.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A freshly read table on at least as many partitions as there are cores.
+
+    Only input of fewer splits than cores is moved, so large tables stay as they
+    are. For plain scans: counting the splits of a shuffled frame would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def byte_size(df: DataFrame) -> int:
     """Size of the rows in bytes as a broadcast would hold them (one aggregate over ``df``)."""
     row = F.lit(16)

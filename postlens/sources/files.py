@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
+from postlens import runtime
 from postlens.schemas import FAMILIES, RAW_POSTS_FILE
 
 # Posts contain line breaks and quotes; blanks at their ends are kept.
@@ -32,7 +33,7 @@ def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType =
     should be written as many files of moderate size.
     """
     rows = spark.read.schema(schema).options(**CSV_OPTIONS, pathGlobFilter="*.csv", recursiveFileLookup="true").csv(path)
-    return rows.drop("_row")
+    return runtime.spread(rows.drop("_row"))
 
 
 def write_raw(raw: DataFrame, path: str, mode: str = "errorifexists") -> None:
