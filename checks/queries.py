@@ -67,7 +67,7 @@ def _labelled(posts):
 
 def _staged_labels(spark, sf):
     """Narrow labelled posts: id and category."""
-    return runtime.stage(_labelled(_posts(spark, sf)).select("id", "category"), "labels")
+    return runtime.stage(_labelled(_staged_posts(spark, sf)).select("id", "category"), "labels")
 
 
 def _six(name):
@@ -193,7 +193,7 @@ def round_scores(spark, sf):
 
 @query
 def train_validation_filter(spark, sf):
-    posts = _posts(spark, sf)
+    posts = _staged_posts(spark, sf)
     train = labels.model_rows(posts).withColumn("part", F.lit("train"))
     held_out = labels.model_rows(posts, training=False).withColumn("part", F.lit("validation"))
     return files.union_by_name([train, held_out])
@@ -206,13 +206,13 @@ def month_exclusion(spark, sf):
 
 @query
 def prediction_check(spark, sf):
-    rows = derived.predictions(_labelled(_posts(spark, sf)), spark, sf)
+    rows = derived.predictions(_labelled(_staged_posts(spark, sf)), spark, sf)
     return rows.withColumn("check", scalars.prediction_check(F.col("actual"), F.col("prediction")))
 
 
 @query
 def tfpn_check(spark, sf):
-    rows = derived.predictions(_labelled(_posts(spark, sf)), spark, sf)
+    rows = derived.predictions(_labelled(_staged_posts(spark, sf)), spark, sf)
     return evaluate.outcome_checks(rows, labels.SURVIVOR, labels.OTHER)
 
 
@@ -292,14 +292,14 @@ def join_topic_label(spark, sf):
 
 @query
 def join_validation_raw(spark, sf):
-    held_out = labels.model_rows(_posts(spark, sf), training=False).select("id", "mentions", "hashtags")
+    held_out = labels.model_rows(_staged_posts(spark, sf), training=False).select("id", "mentions", "hashtags")
     raw = capture.capture_window(derived.archive(spark, sf), "", WINDOW_START, WINDOW_END)
     return held_out.join(raw.select("id", "display_name", "content", "url"), "id")
 
 
 @query
 def hashtag_weight_lookup(spark, sf):
-    posts = _posts(spark, sf)
+    posts = _staged_posts(spark, sf)
     rows = labels.model_rows(posts).select("id", "hashtags")
     return labels.add_hashtag_weights(rows, _classes(spark, posts))
 
@@ -345,29 +345,29 @@ def distinct_months(spark, sf):
 
 @query
 def class_counts(spark, sf):
-    rows = _labelled(_posts(spark, sf)).select("id", "category")
+    rows = _labelled(_staged_posts(spark, sf)).select("id", "category")
     return sampling.class_counts(rows, ["category"])
 
 
 @query
 def class_distribution(spark, sf):
-    return evaluate.class_distribution(_labelled(_posts(spark, sf))).withColumn("distribution", _six("distribution"))
+    return evaluate.class_distribution(_labelled(_staged_posts(spark, sf))).withColumn("distribution", _six("distribution"))
 
 
 @query
 def confusion_pivot(spark, sf):
-    rows = derived.predictions(_labelled(_posts(spark, sf)), spark, sf)
+    rows = derived.predictions(_labelled(_staged_posts(spark, sf)), spark, sf)
     return evaluate.confusion_pivot(rows).withColumn("accuracy", _six("accuracy"))
 
 
 @query
 def overall_accuracy(spark, sf):
-    return evaluate.overall_accuracy(derived.predictions(_labelled(_posts(spark, sf)), spark, sf))
+    return evaluate.overall_accuracy(derived.predictions(_labelled(_staged_posts(spark, sf)), spark, sf))
 
 
 @query
 def tfpn_summary(spark, sf):
-    rows = derived.predictions(_labelled(_posts(spark, sf)), spark, sf)
+    rows = derived.predictions(_labelled(_staged_posts(spark, sf)), spark, sf)
     checked = evaluate.outcome_checks(rows, labels.SURVIVOR, labels.OTHER)
     return evaluate.outcome_summary(checked)
 
@@ -408,7 +408,7 @@ def dominant_topic(spark, sf):
 
 @query
 def largest_category(spark, sf):
-    posts = _posts(spark, sf)
+    posts = _staged_posts(spark, sf)
     rows = labels.add_hashtag_weights(labels.model_rows(posts).select("id", "hashtags"), _classes(spark, posts))
     return rows.select("id", labels.largest_category().alias("category"))
 
@@ -430,7 +430,7 @@ def stratified_split(spark, sf):
 
 
 def _split(spark, sf):
-    rows = features.as_single_run(_labelled(_posts(spark, sf)))
+    rows = features.as_single_run(_labelled(_staged_posts(spark, sf)))
     rows = runtime.stage(sampling.stratified_split(runtime.stage(rows, "labelled"), "split"), "split")
     return rows.filter(~F.col("is_test")).drop("is_test"), rows.filter("is_test").drop("is_test")
 
@@ -463,7 +463,7 @@ def topic_labels(spark, sf):
 
 @query
 def label_posts(spark, sf):
-    return _labelled(_posts(spark, sf))
+    return _labelled(_staged_posts(spark, sf))
 
 
 def _method(number):
@@ -477,25 +477,26 @@ for _number in range(5):
     QUERIES[f"apply_method_{_number}"] = _method(_number)
 
 
-def _model_rows(spark, sf, training=True):
-    return features.as_single_run(labels.model_rows(_posts(spark, sf), training))
+def _model_rows(posts, training=True):
+    return features.as_single_run(labels.model_rows(posts, training))
 
 
 @query
 def tfidf_fit(spark, sf):
-    model = features.fit(_model_rows(spark, sf))
+    model = features.fit(_model_rows(_staged_posts(spark, sf)))
     return model.idf.select("block", "token", "df", _six("idf"))
 
 
 @query
 def tfidf_transform(spark, sf):
-    model = features.fit(_model_rows(spark, sf))
-    return model.transform(_model_rows(spark, sf, training=False)).select("id", "block", "token", _six("weight"))
+    posts = _staged_posts(spark, sf)
+    model = features.fit(_model_rows(posts))
+    return model.transform(_model_rows(posts, training=False)).select("id", "block", "token", _six("weight"))
 
 
 @query
 def assemble_features(spark, sf):
-    rows = runtime.stage(_model_rows(spark, sf), "model-rows")
+    rows = _model_rows(_staged_posts(spark, sf))
     weights = features.fit(rows).transform(rows)
     return features.assemble_features(weights, rows).select("id", "block", "token", _six("weight"))
 
@@ -510,12 +511,12 @@ def knn_classify(spark, sf):
 
 @query
 def knn_holdout(spark, sf):
-    return model_runs.knn_holdout(_labelled(_posts(spark, sf)), K)[0]
+    return model_runs.knn_holdout(_labelled(_staged_posts(spark, sf)), K)[0]
 
 
 @query
 def knn_grid(spark, sf):
-    keys, shares, classes = model_runs.knn_grid(_labelled(_posts(spark, sf)), GRID_SHARES, GRID_KS)
+    keys, shares, classes = model_runs.knn_grid(_labelled(_staged_posts(spark, sf)), GRID_SHARES, GRID_KS)
     tables = {"keys": keys, "distribution": shares, "accuracy": classes}
     rows = files.union_by_name([t.withColumn("result", F.lit(name)) for name, t in tables.items()])
     return rows.withColumns({"accuracy": _six("accuracy"), "distribution": _six("distribution")})
@@ -523,7 +524,7 @@ def knn_grid(spark, sf):
 
 @query
 def method_testing(spark, sf):
-    survivor, other = model_runs.outcome_tables(_labelled(_posts(spark, sf)), SHARE, K)
+    survivor, other = model_runs.outcome_tables(_labelled(_staged_posts(spark, sf)), SHARE, K)
     return survivor.withColumn("check", F.lit("survivor")).unionByName(other.withColumn("check", F.lit("other")))
 
 

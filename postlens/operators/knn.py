@@ -145,7 +145,7 @@ def _first_without_terms(train_rows, query, k, runs, partitions):
     )
     if k * runs <= SCORE_LIST_ROWS // SCORE_PAIRS:
         found = F.broadcast(found)
-    ids = query.select("run", "id", *SCORES).repartition(partitions, "run", "id")
+    ids = query.select("run", "id", *SCORES).repartition(partitions, "id")
     return ids.join(found, ["run", *SCORES]).select(
         "run", "id", "train_id", F.lit(0.0).alias("part"), F.lit(0).alias("query_blocks"), *SCORES
     )

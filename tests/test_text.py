@@ -1,0 +1,97 @@
+"""Text expressions against hand-made values and Python's own regular expressions."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from postlens.functions import text
+from postlens.functions.stopwords import ENGLISH
+from tests.conftest import rows
+
+SPLITS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na", "gotta": "got ta", "lemme": "lem me", "wanna": "wan na"}
+
+
+def python_strip(value):
+    for pattern in (r"&amp;", r"http\S+", r"\S+\.com\S+", r"@\w+", r"#\w+"):
+        value = re.sub(pattern, "", value)
+    return value
+
+
+def python_clean(value):
+    found = re.sub("[^A-Za-z]", " ", python_strip(value).lower()).split()
+    found = " ".join(SPLITS.get(w, w) for w in found).split()
+    return " ".join(w for w in found if w not in set(ENGLISH))
+
+
+CASES = [
+    "",
+    "plain words here",
+    "a &amp; b http://x.y/z?q=1 tail",
+    "bare foo.com stays, foo.com/x goes",
+    "(see:foo.com/x) glued",
+    ".com/x at the start .com/y.com/z",
+    "two a.comb.comc in one run",
+    "mail me@host.org @Zoë_1 #Été2021 #a-b",
+    "I cannot, gonna wanna gotta lemme gimme cannots",
+    "ÀÉ mixed Case\twith\ttabs and\nbreaks",
+    "no\u00a0break\u2003space x.com/y\u00a0z",
+    "unit\x1fseparator.com/x\x85next",
+    "e\u0301 combining @e\u0301a",
+    "it's don't can't",
+    "...... .com. a.com.",
+]
+
+
+def random_texts(n=300):
+    rng = random.Random(7)
+    pieces = ["foo.com", "/x", " ", " ", "http", "s://", "@a", "#b", "é", "&amp;", ".com", "the", "cat", "\n", "\u00a0", "cannot", "1", "."]
+    return ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    return spark.createDataFrame(list(enumerate(CASES + random_texts())), "id long, t string")
+
+
+def test_markup_as_in_python(frame):
+    for _, value, got in rows(frame.withColumn("s", text.strip_markup(F.col("t"))), "id", "t", "s"):
+        assert got == python_strip(value), value
+
+
+def test_clean_text_as_in_python(frame):
+    for _, value, got in rows(frame.withColumn("s", text.clean_text(F.col("t"))), "id", "t", "s"):
+        assert got == python_clean(value), value
+
+
+def test_terms_as_in_python(frame):
+    for _, value, got in rows(frame.withColumn("s", text.terms(F.col("t"))), "id", "t", "s"):
+        # no combining marks in the terms of either engine
+        assert list(got) == re.findall(r"(?u)\b\w\w+\b", value.lower()), value
+
+
+def test_null_is_blank(spark):
+    frame = spark.createDataFrame([(None,)], "t string")
+    t = F.col("t")
+    assert frame.select(text.strip_markup(t), text.clean_text(t), text.terms(t)).first() == ("", "", [])
+
+
+def test_long_run_without_blanks(spark):
+    run = "x" * 300_000
+    frame = spark.createDataFrame([(run + ".comic",), (run,)], "t string")
+    assert [r[0] for r in frame.select(F.length(text.strip_markup(F.col("t")))).collect()] == [0, 300_000]
+
+
+@pytest.mark.parametrize(
+    "n,expected", [(1, ["aa", "bb", "cc", "dd"]), (2, ["aa bb", "bb cc", "cc dd"]), (3, ["aa bb cc", "bb cc dd"]), (4, ["aa bb cc dd"]), (5, [])]
+)
+def test_ngrams(spark, n, expected):
+    frame = spark.createDataFrame([("aa x bb cc dd",)], "t string")
+    assert frame.select(text.ngrams(text.terms(F.col("t")), n)).first()[0] == expected
+
+
+def test_ngrams_of_short_texts(spark):
+    frame = spark.createDataFrame([("",), ("aa",), ("aa bb",)], "t string")
+    got = [r[0] for r in frame.select(text.ngrams(text.terms(F.col("t")), 3)).collect()]
+    assert got == [[], [], []]
