@@ -1,61 +1,66 @@
 """Exact-size samples and splits that draw the same rows on every run.
 
 Each row gets a number from a hash of its id, and the rows with the smallest
-numbers are drawn. The cut is found with histograms, so the rows of a group are
-never brought together: not for a sample of billions, nor for one hot class.
+numbers are drawn. So a sample is known once its last row is: ``cut_points``
+finds that row for each group, with histograms instead of sorts, and every row
+can then tell by itself whether it is in. Neither a sample of billions nor a hot
+class is ever brought together, and no row is joined by its id.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from postlens import runtime
 from postlens.functions import scalars
 
 BUCKETS = 4096
-# Below this many rows a group is ranked directly.
+# Groups of up to this many rows are ranked directly.
 RANKABLE_ROWS = 200_000
 
 
-def take_smallest(
-    rows: DataFrame,
-    quotas: DataFrame,
-    group: list[str],
-    key: str,
-    tie: str,
-    levels: int,
+def levels_for(count: int) -> int:
+    """How often to narrow a group of at most ``count`` rows before ranking it."""
+    levels = 0
+    while count > RANKABLE_ROWS:
+        # a twentieth of the buckets: room for keys that are not spread evenly
+        count //= BUCKETS // 20
+        levels += 1
+    return levels
+
+
+def cut_points(
+    rows: DataFrame, quotas: DataFrame, group: list[str], key: str, tie: str, levels: int
 ) -> DataFrame:
-    """The ``quota`` rows of each group with the smallest (``key``, ``tie``).
+    """The last row taken of each group: its columns, ``_cut_key`` and ``_cut_tie``.
 
-    ``quotas`` has the columns of ``group`` and ``quota``, one row per group, and
-    is small. Every level narrows the undecided rows of a group down to one of
-    4096 key intervals; only what is then left is ranked.
+    Taken are the ``quota`` rows with the smallest (``key``, ``tie``). ``quotas``
+    has the columns of ``group`` and ``quota``; a group is there once, with a
+    quota of 1 up to its number of rows, and there are few groups. Every level
+    narrows a group down to one of 4096 key intervals; only what is then left is
+    ranked. ``rows`` is read several times and should be staged.
     """
-    taken = []
-    undecided = rows
+    undecided = rows.select(*group, key, tie)
     for _ in range(levels):
-        inside, undecided, quotas = _narrow(undecided, quotas, group, key)
-        taken.append(inside)
+        undecided, quotas = _narrow(undecided, quotas, group, key)
     order = Window.partitionBy(*group).orderBy(key, tie)
-    ranked = (
+    last = (
         undecided.join(F.broadcast(quotas), group)
         .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= F.col("quota"))
-        .select(*rows.columns)
+        .filter(F.col("_rank") == F.col("quota"))
+        .select(*group, F.col(key).alias("_cut_key"), F.col(tie).alias("_cut_tie"))
     )
-    for inside in taken:
-        ranked = ranked.unionByName(inside)
-    return ranked
+    return runtime.stage(last, "cut-points")
 
 
 def _narrow(rows: DataFrame, quotas: DataFrame, group: list[str], key: str):
-    """Split into rows surely taken and undecided rows, with the quotas still open."""
+    """The rows of the interval in which each group is cut, and the quotas left for them."""
     span = rows.groupBy(*group).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    bucket = F.least(
-        F.floor(
-            (F.col(key) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300)) * BUCKETS
-        ),
-        F.lit(BUCKETS - 1),
-    ).cast("int")
+    span = runtime.stage(span, "key-spans")
+    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
+    bucket = F.least(F.floor((F.col(key) - F.col("_low")) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
     placed = rows.join(F.broadcast(span), group).withColumn("_bucket", bucket).drop("_low", "_high")
 
     # at most 4096 rows per group from here on
@@ -65,26 +70,17 @@ def _narrow(rows: DataFrame, quotas: DataFrame, group: list[str], key: str):
     cut = (
         histogram.join(F.broadcast(quotas), group)
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(
-            *group,
-            F.col("_bucket").alias("_cut"),
-            (F.col("quota") - F.col("_upto") + F.col("_n")).alias("quota"),
-        )
+        .select(*group, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("quota"))
     )
-    judged = placed.join(F.broadcast(cut.select(*group, "_cut")), group)
-    inside = judged.filter(F.col("_bucket") < F.col("_cut")).select(*rows.columns)
-    open_rows = judged.filter(F.col("_bucket") == F.col("_cut")).select(*rows.columns)
-    return inside, open_rows, cut.select(*group, "quota")
+    cut = runtime.stage(cut, "key-cuts")
+    left = placed.join(F.broadcast(cut.drop("quota")), [*group, "_bucket"], "left_semi").drop("_bucket")
+    return runtime.stage(left, "undecided"), cut.drop("_bucket")
 
 
-def levels_for(count: int) -> int:
-    """How often to narrow a group of at most ``count`` rows before ranking it."""
-    levels = 0
-    while count > RANKABLE_ROWS:
-        # a twentieth of the buckets: room for keys that are not spread evenly
-        count //= BUCKETS // 20
-        levels += 1
-    return levels
+def within(key: str, tie: str) -> Column:
+    """Whether a row that carries the cut point of its group is taken."""
+    before = F.col(key) < F.col("_cut_key")
+    return before | ((F.col(key) == F.col("_cut_key")) & (F.col(tie) <= F.col("_cut_tie")))
 
 
 def draw_key(seed: Column | str, tie: Column, weight: Column) -> Column:
@@ -96,6 +92,24 @@ def draw_key(seed: Column | str, tie: Column, weight: Column) -> Column:
     return F.log(-F.log(scalars.unit_hash(seed, tie)) / weight)
 
 
+def key_limit(classes: list[tuple[float, int]], wanted: int, slack: float = 1.0) -> float:
+    """A draw key that, going by chance, more than ``wanted`` rows stay below.
+
+    ``classes`` lists weights and numbers of rows. Used to leave most rows out
+    early; the caller has to count what is left.
+    """
+    goal = wanted + slack * (100 + 10 * math.sqrt(wanted))
+    if goal >= sum(count for _, count in classes):
+        return math.inf
+    low, high = -60.0, 60.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        clock = math.exp(middle)
+        expected = sum(-count * math.expm1(-weight * clock) for weight, count in classes)
+        low, high = (low, middle) if expected >= goal else (middle, high)
+    return high
+
+
 def resolve_size(size: int | float, available: int) -> int:
     """A sample size as a row count; a fraction below 1 is a share of the rows."""
     wanted = int(available * size) if isinstance(size, float) and size < 1 else int(size)
@@ -107,54 +121,54 @@ def resolve_size(size: int | float, available: int) -> int:
 def class_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """Append the number of rows of each row's class as ``class_count``.
 
-    The classes are counted first and the short list is joined back, so a large
-    class stays spread out.
+    The classes are counted first and the list is joined back, so a large class
+    stays spread out.
     """
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("class_count"))
-    return rows.join(counts, by)
+    return rows.join(runtime.small_side(runtime.stage(counts, "class-counts")), by)
 
 
 def sample_uniform(rows: DataFrame, size: int | float, seed: str, key: str = "id") -> DataFrame:
     """Exactly ``size`` rows, each equally likely; ``rows`` should be staged."""
-    return _sample(rows, size, seed, key, None)
+    return _sample(rows.withColumn("_weight", F.lit(1.0)), size, seed, key)
 
 
-def sample_weighted(rows: DataFrame, size: int | float, seed: str, category: str = "category", key: str = "id") -> DataFrame:
+def sample_weighted(
+    rows: DataFrame, size: int | float, seed: str, category: str = "category", key: str = "id"
+) -> DataFrame:
     """Exactly ``size`` rows, drawn with weight (all rows - rows of the class), favouring rare classes."""
-    return _sample(rows, size, seed, key, category)
-
-
-def _sample(rows, size, seed, key, category):
-    spark = rows.sparkSession
-    total = rows.count()
-    narrow = rows.select(key) if category is None else rows.select(key, category)
-    available = total
-    if category is None:
-        narrow = narrow.withColumn("_weight", F.lit(1.0))
-    else:
-        weighted = class_counts(narrow, [category]).withColumn(
-            "_weight", (F.lit(total) - F.col("class_count")).cast("double")
-        )
-        narrow = weighted.filter(F.col("_weight") > 0)
-        available = narrow.count()
+    weight = (F.lit(rows.count()) - F.col("class_count")).cast("double")
+    weighted = class_counts(rows, [category]).withColumn("_weight", weight).drop("class_count")
+    return _sample(weighted.filter(F.col("_weight") > 0), size, seed, key).select(*rows.columns)
+
+
+def _sample(rows, size, seed, key):
+    keyed = rows.withColumn("_key", draw_key(seed, F.col(key), F.col("_weight"))).withColumn("_group", F.lit(0))
+    narrow = runtime.stage(keyed.select("_group", "_key", key), "sample-keys")
+    available = narrow.count()
     wanted = resolve_size(size, available)
-    keyed = narrow.select(
-        F.lit(0).alias("_group"), key, draw_key(seed, F.col(key), F.col("_weight")).alias("_key")
+    quotas = rows.sparkSession.range(int(wanted > 0)).select(
+        F.lit(0).alias("_group"), F.lit(wanted).cast("long").alias("quota")
     )
-    quotas = spark.range(1).select(F.lit(0).alias("_group"), F.lit(wanted).cast("long").alias("quota"))
-    chosen = take_smallest(keyed, quotas, ["_group"], "_key", key, levels_for(available))
-    return rows.join(chosen.select(key), key, "left_semi")
+    cuts = cut_points(narrow, quotas, ["_group"], "_key", key, levels_for(available))
+    taken = keyed.join(F.broadcast(cuts), "_group").filter(within("_key", key))
+    return taken.drop("_key", "_group", "_weight", "_cut_key", "_cut_tie")
 
 
 def split_rows(rows: DataFrame, group: list[str], seed: Column | str, share: float = 0.2, key: str = "id") -> DataFrame:
-    """Append ``is_test``: in each group the rounded ``share`` of rows with the smallest hash."""
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    """Append ``is_test``: in each group the rounded ``share`` of rows with the smallest hash.
+
+    ``rows`` is read several times and should be staged; there are few groups.
+    """
+    counts = runtime.stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "group-counts")
     largest = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
     quotas = counts.select(*group, F.round(F.col("_n") * F.lit(share)).cast("long").alias("quota"))
-    keyed = rows.select(*group, key, scalars.unit_hash(seed, F.col(key)).alias("_key"))
-    test = take_smallest(keyed, quotas.filter("quota > 0"), group, "_key", key, levels_for(largest))
-    marked = test.select(*[c for c in group if c != key], key).withColumn("is_test", F.lit(True))
-    return rows.join(marked, [*group, key], "left").fillna({"is_test": False})
+    keyed = rows.withColumn("_key", scalars.unit_hash(seed, F.col(key)))
+    cuts = cut_points(keyed, quotas.filter("quota > 0"), group, "_key", key, levels_for(largest))
+    marked = keyed.join(F.broadcast(cuts), group, "left")
+    return marked.withColumn("is_test", F.coalesce(within("_key", key), F.lit(False))).drop(
+        "_key", "_cut_key", "_cut_tie"
+    )
 
 
 def stratified_split(rows: DataFrame, seed: str, share: float = 0.2, by: str = "category", key: str = "id") -> DataFrame:

@@ -6,7 +6,7 @@ differ in a key that is carried along.
 
 from __future__ import annotations
 
-import datetime
+from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
@@ -44,48 +44,68 @@ class Run:
 def draw(labelled: DataFrame, runs: list[Run]) -> DataFrame:
     """The samples of all runs: run, id, category (after the run's method).
 
-    ``labelled`` has ``id`` and ``category`` and should be staged.
+    ``labelled`` has ``id`` and ``category`` and should be staged. Row counts by
+    class tell in advance which rows stand no chance, so that little more than
+    the samples themselves is written and ranked.
     """
     spark = labelled.sparkSession
-    own, merged = F.col("category"), labels.reduced(F.col("category"))
-    variants = [
-        F.struct(
-            F.lit(r.run).alias("run"),
-            F.lit(r.seed).alias("seed"),
-            F.lit(r.method in WEIGHTED).alias("weighted"),
-            (merged if r.method in REDUCED_FIRST else own).alias("drawn_as"),
-            (merged if r.method in REDUCED else own).alias("category"),
+    counts = {row["category"]: row["count"] for row in labelled.groupBy("category").count().collect()}
+    total = sum(counts.values())
+    slack = 1.0
+    while True:
+        settings, quotas = [], []
+        for r in runs:
+            drawn_as = Counter()
+            for category, count in counts.items():
+                drawn_as[_merged(category) if r.method in REDUCED_FIRST else category] += count
+            weights = {c: float(total - n) if r.method in WEIGHTED else 1.0 for c, n in drawn_as.items()}
+            classes = [(weights[c], n) for c, n in drawn_as.items() if weights[c] > 0]
+            wanted = sampling.resolve_size(r.samples, sum(n for _, n in classes))
+            limit = sampling.key_limit(classes, wanted, slack)
+            quotas.append((r.run, wanted))
+            for category in counts:
+                weight = weights[_merged(category) if r.method in REDUCED_FIRST else category]
+                final = _merged(category) if r.method in REDUCED else category
+                if weight > 0:
+                    settings.append((r.run, r.seed, category, final, weight, limit))
+        # one row per run and class
+        listed = F.broadcast(
+            spark.createDataFrame(
+                settings,
+                "run int, seed string, category string, final string, weight double, limit double",
+            )
         )
-        for r in runs
-    ]
-    candidates = labelled.select("id", F.explode(F.array(*variants)).alias("_v")).select("id", "_v.*")
-
-    total = labelled.count()
-    counted = sampling.class_counts(candidates, ["run", "drawn_as"])
-    weight = F.when(F.col("weighted"), F.lit(total) - F.col("class_count")).otherwise(1).cast("double")
-    weighted = counted.withColumn("_weight", weight).filter(F.col("_weight") > 0)
-    keyed = runtime.stage(
-        weighted.select(
-            "run", "id", "category",
-            sampling.draw_key(F.col("seed"), F.col("id"), F.col("_weight")).alias("_key"),
-        ),
-        "draw-keys",
-    )
-    available = {row["run"]: row["count"] for row in keyed.groupBy("run").count().collect()}
-    sizes = [(r.run, sampling.resolve_size(r.samples, available.get(r.run, 0))) for r in runs]
-    quotas = spark.createDataFrame(sizes, "run int, quota long")
-    levels = sampling.levels_for(max(available.values(), default=0))
-    return sampling.take_smallest(keyed, quotas, ["run"], "_key", "id", levels).drop("_key")
+        keyed = (
+            labelled.select("id", "category")
+            .join(listed, "category")
+            .withColumn("_key", sampling.draw_key(F.col("seed"), F.col("id"), F.col("weight")))
+            .filter(F.col("_key") <= F.col("limit"))
+            .select("run", "id", F.col("final").alias("category"), "_key")
+        )
+        keyed = runtime.stage(keyed, "draw-keys")
+        found = {row["run"]: row["count"] for row in keyed.groupBy("run").count().collect()}
+        if all(found.get(run, 0) >= wanted for run, wanted in quotas):
+            break
+        slack *= 4
+    levels = sampling.levels_for(max(found.values(), default=0))
+    open_quotas = spark.createDataFrame([q for q in quotas if q[1] > 0], "run int, quota long")
+    cuts = sampling.cut_points(keyed, open_quotas, ["run"], "_key", "id", levels)
+    taken = keyed.join(F.broadcast(cuts), "run").filter(sampling.within("_key", "id"))
+    return runtime.stage(taken.select("run", "id", "category"), "drawn")
+
+
+def _merged(category: str) -> str:
+    return category if category == labels.SURVIVOR else labels.OTHER
 
 
 def apply_method(labelled: DataFrame, method: int, samples: int | float, seed: str = "method") -> DataFrame:
     """Draw ``samples`` labelled posts by one of the five methods."""
-    drawn = draw(labelled, [Run(0, method, samples, seed)]).drop("run")
-    return labelled.drop("category").join(drawn, "id")
+    return _with_texts(draw(labelled, [Run(0, method, samples, seed)]).drop("run"), labelled)
 
 
 def _with_texts(drawn: DataFrame, labelled: DataFrame) -> DataFrame:
-    return drawn.join(labelled.drop("category"), "id")
+    # a sample of checked size goes to the posts; larger ones meet them in a shuffle
+    return labelled.drop("category").join(runtime.small_side(drawn), "id")
 
 
 def hold_out(rows: DataFrame, ks: list[int], seed: str = "split", share: float = 0.2) -> DataFrame:
@@ -94,8 +114,7 @@ def hold_out(rows: DataFrame, ks: list[int], seed: str = "split", share: float =
     ``rows`` is labelled (run optional) and should be staged.
     """
     rows = rows if "run" in rows.columns else rows.withColumn("run", F.lit(0))
-    marks = sampling.split_rows(rows.select("run", "id", "category"), ["run", "category"], seed, share)
-    split = runtime.stage(rows.join(marks.drop("category"), ["run", "id"]), "hold-out")
+    split = runtime.stage(sampling.split_rows(rows, ["run", "category"], seed, share), "hold-out")
     train = split.filter(~F.col("is_test")).drop("is_test")
     test = split.filter("is_test").drop("is_test")
     predicted = knn.classify(train, test.drop("category"), ks)

@@ -20,9 +20,19 @@ def test_histograms_and_ranking_agree(spark, labelled, levels):
     for key in (F.col("key"), F.floor(F.col("key") * 20) / 20, F.lit(1.0)):
         frame = keyed.withColumn("key", key)
         quotas = spark.createDataFrame([("Big", 700), ("Mid", 1), ("Victim/Survivor", 200)], "category string, quota long")
-        expected = rows(sampling.take_smallest(frame, quotas, ["category"], "key", "id", 0), "id", "category")
-        got = rows(sampling.take_smallest(frame, quotas, ["category"], "key", "id", levels), "id", "category")
-        assert got == expected and len(got) == 901
+        columns = ["category", "_cut_key", "_cut_tie"]
+        expected = sampling.cut_points(frame, quotas, ["category"], "key", "id", 0)
+        got = sampling.cut_points(frame, quotas, ["category"], "key", "id", levels)
+        assert rows(got, *columns) == rows(expected, *columns)
+        assert frame.join(got, "category").filter(sampling.within("key", "id")).count() == 901
+
+
+def test_early_limits_leave_enough(labelled):
+    keyed = labelled.select(sampling.draw_key("s", F.col("id"), F.lit(3.0)).alias("key"))
+    for wanted in (0, 10, 700):
+        limit = sampling.key_limit([(3.0, 2000)], wanted)
+        assert wanted <= keyed.filter(F.col("key") <= limit).count() <= wanted + 600
+    assert sampling.key_limit([(1.0, 50)], 40) == float("inf")
 
 
 def test_levels():
