@@ -55,7 +55,7 @@ def neighbours(
             raise ValueError(f"run {run}: {k} neighbours asked of {count} training rows")
 
     model = features.fit(train)
-    train_weights = runtime.stage(model.transform(train), "train-weights")
+    train_weights = runtime.stage(model.transform(train, broadcast_limit=broadcast_limit), "train-weights")
     filled = train_weights.groupBy("run", "id").agg(F.max("blocks").alias("blocks"))
     train_rows = runtime.stage(
         train.select("run", "id", *SCORES, "category").join(filled, ["run", "id"], "left").fillna({"blocks": 0}),
@@ -66,7 +66,7 @@ def neighbours(
     pairs = sum(count * sizes.get(run, 0) for run, count in queries.items())
     partitions = max(parallel, -(-pairs // PAIRS_PER_TASK))
 
-    query_weights = model.transform(query, SCORES, partitions)
+    query_weights = model.transform(query, SCORES, partitions, broadcast_limit)
     shared = _shared_terms(query_weights, train_weights, model, broadcast_limit)
     first = _first_without_terms(train_rows, query, k, len(sizes), partitions)
 

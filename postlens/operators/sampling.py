@@ -38,16 +38,16 @@ def cut_points(
 
     Taken are the ``quota`` rows with the smallest (``key``, ``tie``). ``quotas``
     has the columns of ``group`` and ``quota``; a group is there once, with a
-    quota of 1 up to its number of rows, and there are few groups. Every level
-    narrows a group down to one of 4096 key intervals; only what is then left is
-    ranked. ``rows`` is read several times and should be staged.
+    quota of 1 up to its number of rows. Every level narrows a group down to one
+    of 4096 key intervals; only what is then left is ranked. ``rows`` is read
+    several times and should be staged.
     """
     undecided = rows.select(*group, key, tie)
     for _ in range(levels):
         undecided, quotas = _narrow(undecided, quotas, group, key)
     order = Window.partitionBy(*group).orderBy(key, tie)
     last = (
-        undecided.join(F.broadcast(quotas), group)
+        undecided.join(quotas, group)
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") == F.col("quota"))
         .select(*group, F.col(key).alias("_cut_key"), F.col(tie).alias("_cut_tie"))
@@ -61,19 +61,19 @@ def _narrow(rows: DataFrame, quotas: DataFrame, group: list[str], key: str):
     span = runtime.stage(span, "key-spans")
     width = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
     bucket = F.least(F.floor((F.col(key) - F.col("_low")) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    placed = rows.join(F.broadcast(span), group).withColumn("_bucket", bucket).drop("_low", "_high")
+    placed = rows.join(runtime.small_side(span), group).withColumn("_bucket", bucket).drop("_low", "_high")
 
     # at most 4096 rows per group from here on
     running = Window.partitionBy(*group).orderBy("_bucket")
     histogram = placed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     histogram = histogram.withColumn("_upto", F.sum("_n").over(running))
     cut = (
-        histogram.join(F.broadcast(quotas), group)
+        histogram.join(quotas, group)
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
         .select(*group, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("quota"))
     )
     cut = runtime.stage(cut, "key-cuts")
-    left = placed.join(F.broadcast(cut.drop("quota")), [*group, "_bucket"], "left_semi").drop("_bucket")
+    left = placed.join(runtime.small_side(cut.drop("quota")), [*group, "_bucket"], "left_semi").drop("_bucket")
     return runtime.stage(left, "undecided"), cut.drop("_bucket")
 
 
@@ -158,14 +158,14 @@ def _sample(rows, size, seed, key):
 def split_rows(rows: DataFrame, group: list[str], seed: Column | str, share: float = 0.2, key: str = "id") -> DataFrame:
     """Append ``is_test``: in each group the rounded ``share`` of rows with the smallest hash.
 
-    ``rows`` is read several times and should be staged; there are few groups.
+    ``rows`` is read several times and should be staged.
     """
     counts = runtime.stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "group-counts")
     largest = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
     quotas = counts.select(*group, F.round(F.col("_n") * F.lit(share)).cast("long").alias("quota"))
     keyed = rows.withColumn("_key", scalars.unit_hash(seed, F.col(key)))
     cuts = cut_points(keyed, quotas.filter("quota > 0"), group, "_key", key, levels_for(largest))
-    marked = keyed.join(F.broadcast(cuts), group, "left")
+    marked = keyed.join(runtime.small_side(cuts), group, "left")
     return marked.withColumn("is_test", F.coalesce(within("_key", key), F.lit(False))).drop(
         "_key", "_cut_key", "_cut_tie"
     )

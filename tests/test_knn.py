@@ -84,14 +84,17 @@ def frames(spark, train, query):
     )
 
 
-def test_weights(spark):
+@pytest.mark.parametrize("limit", [None, -1], ids=["broadcast", "salted"])
+def test_weights(spark, limit):
     train, query = fixture()
     t, q = frames(spark, train, query)
     model = features.fit(t)
     for frame, source in ((t, train), (q, query)):
         expected = plain_weights(train, source)
         got = {}
-        for key, block, token, weight, blocks in rows(model.transform(frame), "id", "block", "token", "weight", "blocks"):
+        for key, block, token, weight, blocks in rows(
+            model.transform(frame, broadcast_limit=limit), "id", "block", "token", "weight", "blocks"
+        ):
             got.setdefault(key, {b: {} for b in BLOCKS})[block][token] = weight
             assert blocks == sum(1 for b in BLOCKS if expected[key][b])
         for key, blocks in expected.items():
