@@ -75,7 +75,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
         "word",
         ((draw(1, 21) - 10) / 10).alias("polarity"),
         (draw(5, 11) / 10).alias("subjectivity"),
-        F.lit(1.0).alias("intensity"),
+        F.when(draw(9, 10) == 0, 1.3).when(draw(9, 10) == 1, 0.5).otherwise(1.0).alias("intensity"),
     )
 
 
@@ -96,6 +96,9 @@ REPEATED = "src1"
 
 EXCLUSIONS = ["que", "zzzz"]
 
+# frequent words of the texts, taken for negations
+NEGATIONS = ("er", "que")
+
 
 def hashtag_classes(spark: SparkSession, posts: DataFrame) -> DataFrame:
     """The counted hashtags of the posts, some of them classified, one listed twice."""

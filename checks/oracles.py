@@ -398,6 +398,37 @@ union all by name select *, 'validation' as part from month_rows""",
         "tfpn_summary": f"""with {PREDICTIONS} select actual as category, {_outcome('Victim/Survivor')} as accuracy,
   count(*) as count from predictions group by all""",
         "sentiment_mean": f"with {BASE} select id, {six('sentiment')}, {six('subjectivity')} from base",
+        "sentiment_modified": f"""with {BASE},
+strong as (
+  select word, round(polarity * 1e6) as p, round(subjectivity * 1e6) as s,
+    case ('0x' || substr(md5(word), 9, 4))::int % 10 when 0 then 1300000 when 1 then 500000 else 1000000 end as i, 1 as known
+  from lexicon
+  union all select word, 0, 0, 1000000, 0 from unnest([{quoted(derived.NEGATIONS)}]) as n(word)
+  where word not in (select word from lexicon)),
+placed as (select id, unnest(words) as word, generate_subscripts(words, 1) as at from cleaned),
+hits as (select *, word in ({quoted(derived.NEGATIONS)}) as negation, known = 1 and i <> 1000000 as modifier
+  from placed join strong using (word)),
+near as (
+  select h.*, a.i as pi, coalesce(a.modifier, false) as modified,
+    coalesce(a.modifier and b.negation, false) as inverted,
+    coalesce(a.negation, false) or coalesce(a.modifier and b.negation, false) as negated,
+    h.modifier and coalesce(n.known = 1, false) as absorbed
+  from hits h left join hits a on a.id = h.id and a.at = h.at - 1
+  left join hits b on b.id = h.id and b.at = h.at - 2
+  left join hits n on n.id = h.id and n.at = h.at + 1),
+scaled as (
+  select *, case when inverted then 1 / (pi / 1e6) when modified then pi / 1e6 else 1e0 end as f
+  from near where known = 1 and not absorbed),
+clamped as (
+  select id, negated, greatest(least(round_even(p * f, 0), 1e6), -1e6) as p, greatest(least(round_even(s * f, 0), 1e6), -1e6) as s
+  from scaled),
+means as (
+  select id, sum(case when negated then round_even(p * -0.5::double, 0) else p end) / (1e6 * count(*)) as sentiment,
+    sum(s) / (1e6 * count(*)) as subjectivity from clamped group by id)
+select c.id, round(coalesce(m.sentiment, 0), 6) as sentiment,
+  case when coalesce(m.sentiment, 0) >= 0 then 'Positive' else 'Negative' end as polarity,
+  round(coalesce(m.subjectivity, 0), 6) as subjectivity
+from cleaned c left join means m using (id)""",
         "top_words": f"""with {BASE} select phrase, count(*) as count
   from (select unnest({ngram_list('t', 2)}) as phrase from (select {terms('content')} as t from base))
   where phrase not in ({quoted(derived.EXCLUSIONS)}) and contains(phrase, 'en')

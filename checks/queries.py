@@ -11,7 +11,7 @@ from checks import derived
 from postlens import runtime
 from postlens.functions import entities as entity_functions, scalars, text
 from postlens.operators import entities, evaluate, features, knn, labels, ngrams, sampling, topics
-from postlens.operators.sentiment import add_sentiment
+from postlens.operators.sentiment import add_modified_sentiment, add_sentiment
 from postlens.plans import enrich, model_runs
 from postlens.sources import capture, files
 from postlens.streaming import inbox
@@ -380,6 +380,15 @@ def sentiment_mean(spark, sf):
     return rows.select("id", _six("sentiment"), _six("subjectivity"))
 
 
+@query
+def sentiment_modified(spark, sf):
+    words = text.clean_words(F.col("content"))
+    rows = add_modified_sentiment(
+        _raw(spark, sf).select("id", "content"), words, derived.lexicon(spark, sf), derived.NEGATIONS
+    )
+    return rows.select("id", _six("sentiment"), "polarity", _six("subjectivity"))
+
+
 # ---- sort, limit, samples ------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postlens.functions import text
 from postlens.operators import entities
 from postlens.operators.dictionary import word_sums
-from postlens.operators.sentiment import add_sentiment
+from postlens.operators.sentiment import add_modified_sentiment, add_sentiment
 from postlens.plans.enrich import clean_posts, process_raw
 from postlens.schemas import FAMILIES, LEXICON, RAW_POSTS
 from tests.conftest import rows
@@ -133,3 +133,28 @@ def test_empty_dictionary(spark, lexicon):
     frame = spark.createDataFrame([(1, ["a"])], "id long, t array<string>")
     empty = lexicon.filter("false").select("word", F.lit(1).cast("long").alias("w"))
     assert rows(word_sums(frame, F.col("t"), empty, "word", ["w"]), "id", "w") == [(1, 0)]
+
+
+def test_modifiers_and_negations(spark):
+    lexicon = spark.createDataFrame(
+        [("good", 0.7, 0.6, 1.0), ("bad", -0.8, 0.5, 1.0), ("really", 0.2, 0.2, 1.3), ("barely", 0.1, 0.1, 0.5)], LEXICON
+    )
+    cases = {
+        "good": (0.7, 0.6),
+        "really good": (0.91, 0.78),
+        "really bad": (-1.0, 0.65),  # not below -1
+        "barely really good": (0.91, 0.78),  # the nearest modifier counts
+        "really": (0.2, 0.2),  # nothing to modify
+        "really x good": (0.45, 0.4),  # not next to each other
+        "never good": (-0.35, 0.6),
+        "never barely good": (-0.5, 1.0),  # 0.7 / 0.5, at most 1, turned and halved
+        "never x good": (0.7, 0.6),
+        "never": (0.0, 0.0),
+        "good never bad": (0.55, 0.55),
+        "": (0.0, 0.0),
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "id long, content string")
+    scored = add_modified_sentiment(frame, F.split("content", " "), lexicon)
+    got = {content: (s, u) for content, s, u in rows(scored, "content", "sentiment", "subjectivity")}
+    for content, expected in cases.items():
+        assert got[content] == pytest.approx(expected), content

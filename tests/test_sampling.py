@@ -13,7 +13,7 @@ def labelled(spark):
     return spark.range(2000).select("id", category.alias("category")).cache()
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
+@pytest.mark.parametrize("levels", [1, 2])
 def test_histograms_and_ranking_agree(spark, labelled, levels):
     keyed = labelled.withColumn("key", scalars.unit_hash("x", F.col("id")))
     # many equal keys, too
