@@ -51,10 +51,8 @@ def _row_local_sums(df, tokens, entries, word, weights):
 
 
 def _joined_sums(df, tokens, dictionary, word, weights):
-    # Rows may repeat, so each gets its own number; the staged copy keeps the
-    # numbers the same when a task is run again.
-    rows = runtime.stage(df.withColumn("_tokens", tokens), "dictionary-rows")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    # rows may repeat, so each gets its own number
+    rows = runtime.number_rows(df.withColumn("_tokens", tokens), "_row", "dictionary-rows")
     counts = (
         rows.select("_row", F.explode("_tokens").alias(word))
         .groupBy("_row", word)

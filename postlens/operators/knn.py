@@ -28,7 +28,7 @@ from postlens.operators import features
 
 SCORES = ("sentiment", "subjectivity")
 # Pairs of a query and a training row one task should see at most, roughly.
-PAIRS_PER_TASK = 2_000_000
+PAIRS_PER_TASK = 10_000_000
 # Different pairs of scores with two decimals, and how long a list by score
 # pair may get to be broadcast.
 SCORE_PAIRS = 201 * 101

@@ -144,13 +144,19 @@ def sample_weighted(
 
 def _sample(rows, size, seed, key):
     keyed = rows.withColumn("_key", draw_key(seed, F.col(key), F.col("_weight"))).withColumn("_group", F.lit(0))
-    narrow = runtime.stage(keyed.select("_group", "_key", key), "sample-keys")
-    available = narrow.count()
-    wanted = resolve_size(size, available)
+    # one weight per class
+    classes = [(r["_weight"], r["count"]) for r in rows.groupBy("_weight").count().collect()]
+    wanted = resolve_size(size, sum(count for _, count in classes))
+    slack, found = 1.0, -1
+    while found < wanted:
+        hopeful = keyed.select("_group", "_key", key).filter(F.col("_key") <= key_limit(classes, wanted, slack))
+        narrow = runtime.stage(hopeful, "sample-keys")
+        found, slack = narrow.count(), slack * 4
     quotas = rows.sparkSession.range(int(wanted > 0)).select(
         F.lit(0).alias("_group"), F.lit(wanted).cast("long").alias("quota")
     )
-    cuts = cut_points(narrow, quotas, ["_group"], "_key", key, levels_for(available))
+    cuts = cut_points(narrow, quotas, ["_group"], "_key", key, levels_for(found))
+    # a single row
     taken = keyed.join(F.broadcast(cuts), "_group").filter(within("_key", key))
     return taken.drop("_key", "_group", "_weight", "_cut_key", "_cut_tie")
 

@@ -60,8 +60,7 @@ def add_modified_sentiment(
     of a modifier it also inverts the intensity.
     """
     spark = df.sparkSession
-    rows = runtime.stage(df.withColumn("_words", words), "sentiment-rows")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = runtime.number_rows(df.withColumn("_words", words), "_row", "sentiment-rows")
     known = _scaled(lexicon)
     # a handful of words
     unknown = F.broadcast(spark.createDataFrame([(w,) for w in negations], "word string")).join(

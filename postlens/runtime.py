@@ -13,7 +13,7 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 
 # Reference dictionaries (lexicon, hashtag classes) up to this many rows are
 # turned into literals; longer ones are joined.
-DICTIONARY_ROWS = 50_000
+DICTIONARY_ROWS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +51,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, name: str, label: str) -> DataFrame:
+    """``df``, staged, with a unique number per row.
+
+    The numbers are part of the staged table, so they stay the same however
+    often and with however many splits it is read.
+    """
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A freshly read table on at least as many partitions as there are cores.
 

@@ -41,6 +41,7 @@ CASES = [
     "e\u0301 combining @e\u0301a",
     "it's don't can't",
     "...... .com. a.com.",
+    "put together a.c&amp;om/x and ht&amp;tp://y",
 ]
 
 
