@@ -128,8 +128,9 @@ model_rows as (
 train_rows as materialized (select * exclude (username, month) from model_rows where month <> date '2022-01-01'),
 month_rows as materialized (select * exclude (month) from model_rows where month = date '2022-01-01'),
 weighed as (
-  select t.id, coalesce(sum(survivor), 0) as survivor, coalesce(sum(domestic_violence), 0) as domestic_violence,
-    coalesce(sum(politics), 0) as politics, coalesce(sum(health), 0) as health
+  select t.id, coalesce(sum(survivor), 0)::bigint as survivor,
+    coalesce(sum(domestic_violence), 0)::bigint as domestic_violence,
+    coalesce(sum(politics), 0)::bigint as politics, coalesce(sum(health), 0)::bigint as health
   from (select id, unnest(string_split(hashtags, ' ')) as phrase from train_rows) t left join weights using (phrase)
   group by t.id),
 largest as (
@@ -317,17 +318,20 @@ drawn_sizes as (select run, count(*) as samples from drawn group by run),
 results as (
   select s.key, v.prediction, t.category as actual from votes v join test t using (run, id)
   join settings s on s.run = v.run and s.k = v.k)
-select 'keys' as result, key, samples, any_value(s.k) as neighbours, any_value(s.method) as method,
-  round({half_even("avg(case when actual = prediction then 1.0::double else 0 end)")}, 6) as accuracy,
-  null as category, null as distribution, null as correct, null as incorrect
-from results join settings s using (key) join drawn_sizes using (run) group by key, samples
-union all
-select 'distribution', key, null, null, null, null, category, round(n / sum(n) over (partition by key), 6), null, null
-from (select key, category, count(*) as n from drawn join settings using (run) group by key, category)
-union all
-select 'accuracy', key, null, null, null, round(avg(case when actual = prediction then 1.0::double else 0 end), 6), actual, null,
-  count(*) filter (where actual = prediction), count(*) filter (where actual <> prediction)
-from results group by key, actual"""
+general as (
+  select key, {half_even("avg(case when actual = prediction then 1.0::double else 0 end)")} as accuracy
+  from results group by key),
+classes as (
+  select key, actual as category, count(*) filter (where actual = prediction) as correct,
+    count(*) filter (where actual <> prediction) as incorrect from results group by key, actual),
+shares as (
+  select key, category, n / sum(n) over (partition by key) as distribution
+  from (select key, category, count(*) as n from drawn join settings using (run) group by key, category))
+select key, samples, k as neighbours, method, round(accuracy, 6) as accuracy, category,
+  round(distribution, 6) as distribution, coalesce(correct, 0) as correct, coalesce(incorrect, 0) as incorrect,
+  round(coalesce(correct / (correct + incorrect), 0), 6) as class_accuracy
+from shares join settings using (key) join drawn_sizes using (run) join general using (key)
+left join classes using (key, category)"""
 
 
 def statements() -> dict[str, str]:
@@ -344,8 +348,8 @@ def statements() -> dict[str, str]:
         "load_text_tables": f"with {BASE} {stacked(True)}",
         "class_lookup": f'with {LABELLED} select "row", phrase, count, {_FLAG_NAMES} from lookup',
         "bi_export": f"""with {BASE}
-select 'posts' as report, id, date, username, display_name, content, like_count, polarity,
-  (id % 10)::int as topic, case when id % 10 < 9 then 'topic ' || (id % 10) end as topic_label, null as hashtags from posts
+select 'posts' as report, id, date::varchar as date, username, display_name, content, like_count::varchar as like_count,
+  polarity, (id % 10)::varchar as topic, case when id % 10 < 9 then 'topic ' || (id % 10) end as topic_label, null as hashtags from posts
 union all select 'hashtags', id, null, null, null, null, null, null, null, null, hashtags from hashtag_rows
 union all select 'mentions', id, null, username, display_name, null, null, null, null, null, null from mention_rows""",
         "clean_remove": _both(strip),

@@ -146,8 +146,9 @@ def bi_export(spark, sf):
     tables = files.report_tables(topics_table, families["hashtag_lists"], families["mention_lists"])
     rows = [t.withColumn("report", F.lit(name)) for name, t in tables.items()]
     return files.union_by_name(rows).select(
-        "report", "id", "date", "username", "display_name", "content", "like_count", "polarity",
-        "topic", "topic_label", "hashtags",
+        "report", "id", F.col("date").cast("string").alias("date"), "username", "display_name", "content",
+        F.col("like_count").cast("string").alias("like_count"), "polarity",
+        F.col("topic").cast("string").alias("topic"), "topic_label", "hashtags",
     )
 
 
@@ -526,9 +527,12 @@ def knn_holdout(spark, sf):
 @query
 def knn_grid(spark, sf):
     keys, shares, classes = model_runs.knn_grid(_labelled(_staged_posts(spark, sf)), GRID_SHARES, GRID_KS)
-    tables = {"keys": keys, "distribution": shares, "accuracy": classes}
-    rows = files.union_by_name([t.withColumn("result", F.lit(name)) for name, t in tables.items()])
-    return rows.withColumns({"accuracy": _six("accuracy"), "distribution": _six("distribution")})
+    # the three result tables side by side; a class too small to be tested has zeros
+    tested = classes.withColumnRenamed("accuracy", "class_accuracy")
+    rows = shares.join(keys, "key").join(tested, ["key", "category"], "left")
+    return rows.fillna(0, ["correct", "incorrect", "class_accuracy"]).withColumns(
+        {name: _six(name) for name in ("accuracy", "distribution", "class_accuracy")}
+    )
 
 
 @query
