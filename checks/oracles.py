@@ -317,7 +317,7 @@ settings(key, run, k, method) as (values {', '.join(settings)}),
 drawn_sizes as (select run, count(*) as samples from drawn group by run),
 results as (
   select s.key, v.prediction, t.category as actual from votes v join test t using (run, id)
-  join settings s on s.run = v.run and s.k = v.k)
+  join settings s on s.run = v.run and s.k = v.k),
 general as (
   select key, {half_even("avg(case when actual = prediction then 1.0::double else 0 end)")} as accuracy
   from results group by key),
