@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.schemas import RAW_POSTS, RAW_VALIDATION_POSTS
-from postlens.sources.files import csv_writer
+from postlens.sources.files import write_raw
 
 
 def _matches(keyword: str, language: str) -> Column:
@@ -48,8 +48,8 @@ def capture_monthly(
 
 
 def write_capture(captured: DataFrame, folder: str, mode: str = "errorifexists") -> None:
-    """One sub-folder of CSV files per month window."""
-    csv_writer(captured.drop("window_end"), mode).partitionBy("window_start").csv(folder)
+    """One sub-folder of capture files per month window."""
+    write_raw(captured.drop("window_end"), folder, mode, ["window_start"])
 
 
 def capture_window(

@@ -36,9 +36,11 @@ def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType =
     return runtime.spread(rows.drop("_row"))
 
 
-def write_raw(raw: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_raw(raw: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     """Raw posts as capture files, with a leading row counter."""
-    csv_writer(raw.select(F.monotonically_increasing_id().alias("_row"), *raw.columns), mode).csv(path)
+    rows = raw.select(F.monotonically_increasing_id().alias("_row"), *raw.columns)
+    writer = csv_writer(rows, mode)
+    (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
