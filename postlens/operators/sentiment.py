@@ -17,12 +17,12 @@ NEGATIONS = ("never",)
 
 
 def _scaled(lexicon: DataFrame) -> DataFrame:
-    """The lexicon in millionths, one row per word."""
-    scores = ("polarity", "subjectivity", "intensity")
-    best = lexicon.groupBy("word").agg(*[F.max(score).alias(score) for score in scores])
-    return best.select(
+    """The lexicon in millionths, one row per word: the mean of its senses."""
+    missing = {"polarity": 0.0, "subjectivity": 0.0, "intensity": 1.0}
+    means = lexicon.groupBy("word").agg(*[F.avg(score).alias(score) for score in missing]).fillna(missing)
+    return means.select(
         "word",
-        *[F.rint(F.col(score) * MICRO).cast("long").alias(f"_{score}") for score in scores],
+        *[F.rint(F.col(score) * MICRO).cast("long").alias(f"_{score}") for score in missing],
         F.lit(1).cast("long").alias("_known"),
     )
 

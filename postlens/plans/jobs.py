@@ -39,7 +39,8 @@ def base_analysis(
     counted = ngrams.monthly_ngrams(tables["posts"], tables["hashtags"], tables["mentions"], excluded_year)
     # written twice, counted once
     counted = runtime.stage(counted, "monthly-ngrams")
-    files.csv_writer(counted, "overwrite").partitionBy("category", "ngram_type").csv(f"{output}/ngrams")
+    parts = ["category", "ngram_type"]
+    files.csv_writer(counted.hint("rebalance", *parts), "overwrite").partitionBy(*parts).csv(f"{output}/ngrams")
     files.csv_writer(ngrams.collated_ngrams(counted), "overwrite").csv(f"{output}/collated_ngrams")
     report = files.report_tables(
         spark.read.parquet(post_topics), tables["hashtag_lists"], tables["mention_lists"]

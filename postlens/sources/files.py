@@ -38,6 +38,8 @@ def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType =
 
 def write_raw(raw: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     """Raw posts as capture files, with a leading row counter."""
+    if partition_by:
+        raw = raw.hint("rebalance", *partition_by)
     rows = raw.select(F.monotonically_increasing_id().alias("_row"), *raw.columns)
     writer = csv_writer(rows, mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
@@ -49,9 +51,13 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_families(frames: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
-    """Each processed table as Parquet below ``folder``, one sub-folder per month."""
+    """Each processed table as Parquet below ``folder``, one sub-folder per month.
+
+    Rebalancing gathers the rows of a month in a few files of even size, however
+    large the month is.
+    """
     for name, frame in frames.items():
-        frame.write.mode(mode).partitionBy("month").parquet(f"{folder}/{name}")
+        frame.hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(f"{folder}/{name}")
 
 
 def read_family(spark: SparkSession, folder: str, name: str) -> DataFrame:

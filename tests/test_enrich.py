@@ -158,3 +158,13 @@ def test_modifiers_and_negations(spark):
     got = {content: (s, u) for content, s, u in rows(scored, "content", "sentiment", "subjectivity")}
     for content, expected in cases.items():
         assert got[content] == pytest.approx(expected), content
+
+
+def test_senses_are_averaged_and_gaps_are_neutral(spark):
+    lexicon = spark.createDataFrame(
+        [("fine", 0.4, 0.5, 1.0), ("fine", 0.2, 0.1, 1.0), ("odd", None, 0.3, None)], LEXICON
+    )
+    frame = spark.createDataFrame([(1, "fine"), (2, "odd fine")], "id long, content string")
+    for add in (add_sentiment, add_modified_sentiment):
+        got = rows(add(frame, F.split("content", " "), lexicon), "id", "sentiment", "subjectivity")
+        assert [x for r in got for x in r] == pytest.approx([1, 0.3, 0.3, 2, 0.15, 0.3])
