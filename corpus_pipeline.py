@@ -6,9 +6,9 @@ for the stages on duplicates. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import exact_dedup, packing, quality, simhash
+from postlens.llm import exact_dedup, packing, pii, quality, simhash
 from postlens.llm.common import table
 from postlens.llm.queries import WORD_TOKENIZER
 from postlens.runtime import stage
@@ -29,6 +29,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs, shingle=3, limit=3)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; n_chars follows the text."""
+    cleaned = pii.redact(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their place in a sequence."""
     found = packing.packed_pieces(docs, WORD_TOKENIZER, capacity=2048, end_id=0, with_ids=False)
@@ -39,6 +45,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("exact_copies", exact_copies),
     ("near_copies", near_copies),
+    ("personal_data", personal_data),
     ("packing", pack),
 ]
 ORACLE_SQL = None

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postlens.runtime import spread, stage
+from postlens.runtime import scratch_path, spread, stage
 
 # Bytes of text that a task works on at once.
 SLICE_BYTES = 4 << 20
@@ -22,6 +24,13 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def stage_packed(df: DataFrame, label: str) -> DataFrame:
+    """``stage`` for texts and long binaries, with the denser compression."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` again, in runs of about ``limit`` bytes of ``text``; one text is never cut."""
     for batch in batches:
@@ -73,6 +82,18 @@ def per_task(factory: Callable) -> Callable:
     return factory
 
 
+def worker_state(name: str, build: Callable):
+    """What ``build`` makes, kept for as long as the Python worker lives.
+
+    The functions of this subpackage arrive by value with each task, so their own
+    globals are new each time; a module made at run time is not.
+    """
+    held = sys.modules.setdefault("_postlens_worker", types.ModuleType("_postlens_worker")).__dict__
+    if name not in held:
+        held[name] = build()
+    return held[name]
+
+
 def linked_groups(edges: DataFrame, label: str) -> DataFrame:
     """``(node, root)`` for all nodes of ``edges(a, b)``; root is the smallest node that can be reached.
 

@@ -5,14 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import exact_dedup, packing, quality, simhash, token_file
+from postlens.llm import chat, exact_dedup, packing, pii, ppm, quality, sentencepieces, simhash, token_file, toxicity
 from postlens.llm.common import table
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.7)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    return ppm.scores(table(spark, sf_dir, "documents"), learn)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,7 +60,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.formatted_digest(rows.unionByName(extra))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op5_simhash, op6_token_file, op7_packing, op8_quality)
+    f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_ppm, op4_exact_dedup, op5_simhash, op6_token_file, op7_packing, op8_quality, op9_chat, op10_pii)
 }
-SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_quality": quality.OP8_SQL}
+SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_quality": quality.OP8_SQL, "op9_chat": chat.op9_sql()}

@@ -7,6 +7,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from postlens.llm.common import worker_state
+
 # Words kept with their ids; a text's rare words are encoded again after the table is emptied.
 REMEMBERED = 300_000
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -43,6 +45,7 @@ def splits_at_spaces(path: str) -> bool:
 
 
 def word_ids(path: str) -> WordIds:
+    """The table of a file, kept by the Python worker."""
     if not splits_at_spaces(path):
         raise ValueError(f"{path}: not a tokenizer whose pre-tokenizer drops white space")
-    return WordIds(path)
+    return worker_state(f"words:{path}", lambda: WordIds(path))
