@@ -129,6 +129,8 @@ def votes(text: str, kind: int, start: int, stop: int) -> tuple[int, ...]:
         name, _, domain = joined.partition("@")
         ending = domain.rpartition(".")[2].lower()
         shape = 1 if "." in domain and 2 <= len(ending) <= 24 and ending.isalpha() and name else -1
+        if "@" not in span and ending not in ENDINGS:  # two words of prose, more likely
+            shape = -1
         gazetteer = 1 if ending in ENDINGS else -1
     elif kind == 1:
         parts = re.findall(r"[0-9]+", span)

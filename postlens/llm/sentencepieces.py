@@ -158,9 +158,7 @@ class PieceModel:
         return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
 
     def learn(self, wanted: set[str]) -> None:
-        """Encode units that are not known yet."""
-        if len(self.units) + len(wanted) > REMEMBERED:
-            self.units.clear()
+        """Encode units that are not known yet, and keep them."""
         parts = {u: self._cut(u) for u in wanted}
         by_length: dict[int, list[str]] = {}
         for p in {p for own in parts.values() for p in own} - self.units.keys():
@@ -254,12 +252,10 @@ class PieceModel:
         cut = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts_]
         if not self.marks_lead:
             cut = [["".join(own)] if own else [] for own in cut]
-        wanted = set().union(*cut) - self.units.keys()
-        if wanted:
-            before = len(self.units)
-            self.learn(wanted)
-            if len(self.units) < before:  # emptied meanwhile
-                self.learn(set().union(*cut) - self.units.keys())
+        every = set().union(*cut)
+        if len(self.units) + len(every) > REMEMBERED:
+            self.units.clear()
+        self.learn(every - self.units.keys())
         known = self.units.__getitem__
         return [b"".join(map(known, own)) for own in cut]
 

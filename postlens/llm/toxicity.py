@@ -7,7 +7,10 @@ common subsequences of three characters, each weighted by DECAY to the power of
 places that it spans in either unit: an inserted or missing character costs a little
 instead of everything. It is normalised and raised to POWER. Two sentences have the
 sum of their units' kernels. With landmark units Z, a sentence is the vector
-K(Z, Z)^(-1/2) sum_u k(u, Z); a linear machine on it is trained on labelled sentences.
+K(Z, Z)^(-1/2) sum_u k(u, Z); a linear machine on it is trained on labelled sentences,
+each of them once as it is and once with a character put into every word, so that the
+margin asks for no more of an insult than a disguised one keeps. Labels belong to whole
+documents, so the machine is trained again on those toxic sentences that it set apart.
 
 A sentence's margin is then a sum of one number for each of its units, so a task
 scores a distinct unit once. A document has the margin of its worst sentence, turned
@@ -28,12 +31,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postlens.llm.common import map_texts, per_task, texts
 from postlens.runtime import stage
 
-LENGTH, DECAY, POWER = 3, 0.8, 3
+LENGTH, DECAY, POWER = 3, 0.9, 4
 UNIT, STEP = 24, 12
 SENTENCE_WORDS = 32
 LANDMARKS = 48
 # The training sample: so many documents and sentences of each label at most, by hash, and the longest sentence taken.
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, SAMPLE_CHARS = 2_000, 10_000, 4_000
+# Rounds of training on the sentences that tell a toxic document, if there are so many.
+WITNESS_ROUNDS, LEAST_WITNESSES = 2, 20
 ALPHABET = 64
 LIMIT, BIN = 8.0, 0.02
 REMEMBERED = 300_000
@@ -75,6 +80,23 @@ def _windows(word: str) -> list[str]:
     return [word[i : i + UNIT] for i in range(0, len(word) - STEP, STEP)]
 
 
+def _by_length(words: list[str]) -> dict[int, tuple[list[int], list[str]]]:
+    """The words' windows and the places of their words, by the windows' length."""
+    found: dict[int, tuple[list[int], list[str]]] = {}
+    for i, word in enumerate(words):
+        for window in _windows(word):
+            at, own = found.setdefault(len(window), ([], []))
+            at.append(i)
+            own.append(window)
+    return found
+
+
+def _disguised(word: str) -> str:
+    """The word with a letter more, in its middle."""
+    half = (len(word) + 1) // 2
+    return word[:half] + chr(97 + (7 * len(word) + ord(word[0])) % 26) + word[half:]
+
+
 def _letters(words: list[str]) -> np.ndarray:
     """Words of one length as numbers below ALPHABET: a-z are 1 to 26, all else shares the rest."""
     points = np.array(words).view(np.uint32).reshape(len(words), -1)
@@ -158,13 +180,7 @@ class UnitMargins:
         new = list(itertools.islice(self.codes, len(self.values), None))
         found = np.zeros(len(new), np.float32)
         if self.landmarks is not None:
-            by_length: dict[int, tuple[list, list]] = {}
-            for i, word in enumerate(new):
-                for window in _windows(word):
-                    at, own = by_length.setdefault(len(window), ([], []))
-                    at.append(i)
-                    own.append(window)
-            for at, own in by_length.values():
+            for at, own in _by_length(new).values():
                 np.add.at(found, at, self.landmarks.kernel(own) @ self.worth if own[0] else 0)
         self.values = np.concatenate((self.values, found))
 
@@ -203,6 +219,23 @@ def _choose_landmarks(words: list[list[str]], toxic: np.ndarray, size: int) -> l
     return first + rest
 
 
+def _machine(x: np.ndarray, toxic: np.ndarray, cost: float, rounds: int) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss; both labels weigh the same."""
+    y = np.where(toxic == 1, 1.0, -1.0)
+    weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum())) * len(y) * cost
+    ridge = np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-6
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):  # Newton's steps on the sentences within the margin
+        inside = y * (x @ w) < 1
+        own = x[inside] * weight[inside][:, None]
+        new = np.linalg.solve(ridge + own.T @ x[inside], own.T @ y[inside])
+        if np.allclose(new, w, atol=1e-7):
+            break
+        w = new
+    return w
+
+
 def train(words: list[list[str]], toxic: np.ndarray, size: int = LANDMARKS, cost: float = 2.0, rounds: int = 40) -> ToxicityModel:
     """A model from labelled sentences (units, 0 or 1). Without both labels it has no landmarks and one margin."""
     if len(set(toxic.tolist())) < 2:
@@ -212,26 +245,26 @@ def train(words: list[list[str]], toxic: np.ndarray, size: int = LANDMARKS, cost
     identity = np.vstack([table.kernel([z]) for z in chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh((identity + identity.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    known: dict[str, np.ndarray] = {}
+    words = words + [[_disguised(w) for w in own] for own in words]
+    toxic = np.concatenate((toxic, toxic))
+    known: dict[str, int] = {}
+    codes = np.array([known.setdefault(w, len(known)) for own in words for w in own], int)
+    kernels = np.zeros((len(known), len(chosen)))
+    for at, own in _by_length(list(known)).values():
+        if own[0]:
+            np.add.at(kernels, at, table.kernel(own))
     x = np.zeros((len(words), len(chosen)))
-    for i, own in enumerate(words):
-        for word in own:
-            if word not in known:
-                known[word] = sum((table.kernel([w])[0] for w in _windows(word) if w), np.zeros(len(chosen)))
-            x[i] += known[word]
+    np.add.at(x, np.repeat(np.arange(len(words)), [len(own) for own in words]), kernels[codes])
     x = np.hstack((x @ root, np.ones((len(words), 1))))
-    y = np.where(toxic == 1, 1.0, -1.0)
-    weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum())) * len(y) * cost
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):  # squared hinge loss, Newton's steps on the sentences within the margin
-        inside = y * (x @ w) < 1
-        own = x[inside] * weight[inside][:, None]
-        new = np.linalg.solve(ridge + own.T @ x[inside], own.T @ y[inside])
-        if np.allclose(new, w, atol=1e-7):
+    w = _machine(x, toxic, cost, rounds)
+    for _ in range(WITNESS_ROUNDS):
+        # most sentences of a toxic document say nothing bad: keep those beyond the margin, with their copies
+        plain = len(words) // 2
+        told = np.tile(x[:plain] @ w >= 1, 2)
+        if (told & (toxic == 1)).sum() < LEAST_WITNESSES:
             break
-        w = new
+        kept = told | (toxic == 0)
+        w = _machine(x[kept], toxic[kept], cost, rounds)
     return ToxicityModel(tuple(chosen), tuple((root @ w[:-1]).tolist()), float(w[-1]))
 
 
@@ -243,19 +276,17 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]], np.nda
     own = docs.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text")
 
     def work(batch):
-        ids, toxic, number, found = [], [], [], []
-        for one, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
-            for i, words in enumerate(sentences(text)):
-                line = " ".join(words)
-                if len(line) <= SAMPLE_CHARS:
-                    ids.append(one)
-                    toxic.append(label)
-                    number.append(i)
-                    found.append(line)
-        return {"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(toxic, pa.int32()), "number": pa.array(number, pa.int64()), "sentence": pa.array(found, pa.string())}
-
-    lines = stage(map_texts(own, work, "doc_id long, toxic int, number long, sentence string"), "labelled-sentences")
-    order = [F.xxhash64("doc_id", "number"), F.col("doc_id"), F.col("number"), F.col("sentence")]
+        toxic, found = [], []
+        for label, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "text")), strict=True):
+            lines = [line for words in sentences(text) if len(line := " ".join(words)) <= SAMPLE_CHARS]
+            toxic += [label] * len(lines)
+            found += lines
+        return {"toxic": pa.array(toxic, pa.int32()), "sentence": pa.array(found, pa.string())}
+
+    # a sentence counts once, however many copies of its document there are
+    lines = map_texts(own, work, "toxic int, sentence string").distinct()
+    lines = stage(lines, "labelled-sentences")
+    order = [F.xxhash64("sentence"), F.col("sentence")]
     rows = [r for x in (0, 1) for r in lines.where(F.col("toxic") == x).orderBy(*order).limit(SAMPLE_SENTENCES).collect()]
     return [r["sentence"].split() for r in rows], np.array([r["toxic"] for r in rows], int)
 
@@ -271,13 +302,20 @@ def margins(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return map_texts(docs, start, "doc_id long, margin double")
 
 
-def _curve(bins: list[tuple[float, int, int]], rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through counted ``(margin, clean, toxic)``."""
+def _curve(bins: list[tuple[float, int, int]], rounds: int = 50) -> tuple[float, float, float]:
+    """Slope, offset and floor of the curve through counted ``(margin, clean, toxic)``.
+
+    The floor is the share of label 1 where the machine sees nothing, its margin being
+    below 0: labels that no sentence explains. A logistic curve takes it from there.
+    """
     margin, clean, toxic = (np.array(c, float) for c in zip(*bins, strict=True))
+    n = clean + toxic
     if not clean.sum() or not toxic.sum():
-        return 0.0, float(np.log((toxic.sum() + 1) / (clean.sum() + 1)))
+        return 0.0, float(np.log((toxic.sum() + 1) / (clean.sum() + 1))), 0.0
+    low = margin < 0
+    floor = min(0.5, (toxic[low].sum() + 0.5) / (n[low].sum() + 1)) if low.any() else 0.0
+    share = np.clip((toxic / np.maximum(n, 1) - floor) / (1 - floor), 0, 1)
     x = np.stack((margin, np.ones(len(margin))), axis=1)
-    n, share = clean + toxic, toxic / np.maximum(clean + toxic, 1)
     w = np.array([0.0, np.log((toxic.sum() + 1) / (clean.sum() + 1))])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -285,7 +323,7 @@ def _curve(bins: list[tuple[float, int, int]], rounds: int = 50) -> tuple[float,
         curve = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         w += step / max(1.0, np.abs(step).max())
-    return float(max(w[0], 0.0)), float(w[1])
+    return float(max(w[0], 0.0)), float(w[1]), float(floor)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,7 +346,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     bin_ = F.round(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("margin"))) / BIN)
     counted = found.join(known, "doc_id").groupBy(bin_.alias("bin")).agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("bad"))
     bins = [(r["bin"] * BIN, r["clean"], r["bad"]) for r in counted.collect()]  # at most 2 LIMIT / BIN + 1 rows
-    slope, offset = _curve(bins) if bins else (0.0, 0.0)
+    slope, offset, floor = _curve(bins) if bins else (0.0, 0.0, 0.0)
     clipped = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("margin")))
-    score = 1 / (1 + F.exp(-(clipped * slope + offset)))
+    score = floor + (1 - floor) / (1 + F.exp(-(clipped * slope + offset)))
     return found.select("doc_id", "held_out", score.alias("score"), F.when(score >= threshold, 1).otherwise(0).alias("predicted"), "margin")
