@@ -42,11 +42,16 @@ def test_unigram_equals_the_library():
     library = sentencepiece.SentencePieceProcessor(model_proto=data)
     model = S.PieceModel(data)
     assert model.kind == S.UNIGRAM
-    # several spaces and unknown characters score -1e9, beside which the library's single precision loses all others
-    texts = [t for t in samples() if len(t) < 2000]
-    found = [(np.frombuffer(x, "<u4").tolist(), y) for x, y in zip(model.encode(texts), library.encode(texts, num_threads=1), strict=True)]
-    clear = [(x, y) for x, y in found if all(model.scores[i] > -1e8 and model.types[i] == S.NORMAL for i in x)]
-    assert len(clear) > 200 and all(x == y for x, y in clear)
+    # marks by themselves and unknown characters score -1e9, beside which single precision loses all others;
+    # the library's lattice search is compared, as its quick one does not always find the largest sum
+    texts = [t for t in samples() if len(t) < 300]
+    found = [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)]
+    clear = [(t, x) for t, x in zip(texts, found, strict=True) if x and all(model.scores[i] > -1e8 and model.types[i] == S.NORMAL for i in x)]
+    assert len(clear) > 100
+    for text, own in clear:  # sums of ranks tie often
+        best = library.nbest_encode_as_ids(text, 1)[0]
+        assert sum(model.scores[i] for i in own) == sum(model.scores[i] for i in best)
+        assert "".join(model.pieces[i] for i in own) == "".join(model.pieces[i] for i in best)
 
 
 def test_units_may_be_forgotten(monkeypatch):
