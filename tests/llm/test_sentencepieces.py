@@ -49,7 +49,7 @@ def test_unigram_equals_the_library():
     clear = [(t, x) for t, x in zip(texts, found, strict=True) if x and all(model.scores[i] > -1e8 and model.types[i] == S.NORMAL for i in x)]
     assert len(clear) > 100
     for text, own in clear:  # sums of ranks tie often
-        best = library.nbest_encode_as_ids(text, 1)[0]
+        best = library.nbest_encode_as_ids(text, 2)[0]  # one alone is searched the quick way
         assert sum(model.scores[i] for i in own) == sum(model.scores[i] for i in best)
         assert "".join(model.pieces[i] for i in own) == "".join(model.pieces[i] for i in best)
 
