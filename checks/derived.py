@@ -62,6 +62,31 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(spark, sf_dir).drop("lang", "url")
 
 
+def captured_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of two captures with all that makes them awkward.
+
+    Null contents, names without quotes, with a comma and in double quotes, hashtags
+    with escapes, posts that both captures hold, and posts twice in one capture.
+    """
+    posts, key, lang = archive(spark, sf_dir), F.col("id"), F.col("lang")
+    users = F.concat(
+        F.lit("[User(username='plain', id=1, displayname=None, description=None), User(username='"), lang,
+        F.lit("', id=2, displayname='Last, First', description=None), "),
+        F.lit("User(username='q', id=3, displayname=\"O'Hara\", description=None)]"),
+    )
+    posts = posts.withColumns(
+        {
+            "content": F.when(F.col("content") != "", F.col("content")),
+            "mentioned_users": F.when(key % 11 == 5, users).otherwise(F.col("mentioned_users")),
+            "hashtags": F.when(key % 13 == 4, "['ok', 'a\\xa0b', \"it's\"]").otherwise(F.col("hashtags")),
+            "capture": F.lit("a"),
+        }
+    ).drop("lang", "url")
+    both = posts.filter(key % 10 == 0).withColumn("capture", F.lit("b"))
+    twice = posts.filter(key % 15 == 1).withColumns({"hashtags": F.lit("['again']"), "like_count": F.col("like_count") + 100})
+    return posts.unionByName(both).unionByName(twice)
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An invented lexicon: the words of the benchmark texts, scored by their hash."""
     word = F.explode(text.clean_words(F.col("text"))).alias("word")
@@ -91,8 +116,8 @@ FLAGS = {
     **{f"src{i}": (0, 0, 0, 1) for i in range(2, 20, 4)},
 }
 FLAG_NAMES = ["survivor", "domestic_violence", "politics", "health"]
-# listed a second time, further down, with half the count
-REPEATED = "src1"
+# listed a second time, further down, with half the count, or with none
+REPEATED, BLANKED = "src1", "src8"
 
 EXCLUSIONS = ["que", "zzzz"]
 
@@ -109,7 +134,8 @@ def hashtag_classes(spark: SparkSession, posts: DataFrame) -> DataFrame:
     )
     table = counted.join(F.broadcast(flags), "phrase", "left").fillna(0, FLAG_NAMES)
     again = table.filter(F.col("phrase") == REPEATED).withColumn("count", F.floor(F.col("count") / 2))
-    rows = table.withColumn("row", F.lit(1)).unionByName(again.withColumn("row", F.lit(2)))
+    blank = table.filter(F.col("phrase") == BLANKED).withColumn("count", F.lit(None).cast("long"))
+    rows = table.withColumn("row", F.lit(1)).unionByName(again.unionByName(blank).withColumn("row", F.lit(2)))
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HASHTAG_CLASSES])
 
 

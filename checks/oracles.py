@@ -5,6 +5,7 @@ from __future__ import annotations
 from checks import derived
 from checks.queries import GRID_KS, GRID_SHARES, K, KEYWORD, MONTH_K, SHARE
 from postlens.functions.stopwords import ENGLISH
+from postlens.operators import topics
 from postlens.plans.model_runs import METHODS
 
 WORD = r"[\p{L}\p{N}_]"
@@ -46,6 +47,11 @@ def half_even(x: str) -> str:
     return f"round_even(({x}) * 100::double, 0) / 100::double"
 
 
+def bare(items: str) -> str:
+    """A list as a string without list punctuation."""
+    return f"array_to_string(list_transform({items}, lambda x: regexp_replace(x, '[,\\[\\]'']', '', 'g')), ' ')"
+
+
 ARCHIVE = """archive as (
   select doc_id as id, date '2021-01-01' + cast((doc_id * 7) % 396 as int) as date,
     source as username, 'Name ' || source as display_name,
@@ -61,46 +67,63 @@ ARCHIVE = """archive as (
     lang, 'https://x.io/' || doc_id as url
   from documents)"""
 
-BASE = f"""{ARCHIVE},
-lexicon as (
+CAPTURED = f"""{ARCHIVE.replace('archive as (', 'plain_archive as (', 1)},
+awkward as (
+  select * exclude (lang, url, content, mentioned_users, hashtags), nullif(content, '') as content,
+    case when id % 11 = 5 then '[User(username=''plain'', id=1, displayname=None, description=None), User(username=''' || lang
+      || ''', id=2, displayname=''Last, First'', description=None), User(username=''q'', id=3, displayname="O''Hara", description=None)]'
+      else mentioned_users end as mentioned_users,
+    case when id % 13 = 4 then '[''ok'', ''a\\xa0b'', "it''s"]' else hashtags end as hashtags, 'a' as capture
+  from plain_archive),
+archive as materialized (
+  select * from awkward
+  union all by name select * replace ('b' as capture) from awkward where id % 10 = 0
+  union all by name select * replace ('[''again'']' as hashtags, like_count + 100 as like_count) from awkward where id % 15 = 1)"""
+
+_REST = f"""lexicon as (
   select word, ((('0x' || substr(md5(word), 1, 4))::int % 21) - 10) / 10 as polarity,
     (('0x' || substr(md5(word), 5, 4))::int % 11) / 10 as subjectivity
   from (select distinct unnest({words('text')}) as word from benchmark)),
 cleaned as materialized (
-  select id, cast(date as date) as date, cast(date_trunc('month', date) as date) as month, username, display_name,
+  select capture, row_number() over () as r, id, cast(date as date) as date, cast(date_trunc('month', date) as date) as month, username, display_name,
     reply_count, retweet_count, like_count, quote_count, mentioned_users, hashtags as raw_hashtags,
     {words('content')} as words
   from archive),
 scores as (
-  select id, sum(round(polarity * 1e6)::bigint) / (1e6 * count(*)) as sentiment,
+  select r, sum(round(polarity * 1e6)::bigint) / (1e6 * count(*)) as sentiment,
     sum(round(subjectivity * 1e6)::bigint) / (1e6 * count(*)) as subjectivity
-  from (select id, unnest(words) as word from cleaned) join lexicon using (word) group by id),
+  from (select r, unnest(words) as word from cleaned) join lexicon using (word) group by r),
 base as materialized (
   select c.*, array_to_string(words, ' ') as content, coalesce(sentiment, 0) as sentiment,
     case when coalesce(sentiment, 0) >= 0 then 'Positive' else 'Negative' end as polarity,
     coalesce(subjectivity, 0) as subjectivity,
-    regexp_extract_all(mentioned_users, 'username=''(.*?)''', 1) as users,
-    regexp_extract_all(mentioned_users, 'displayname=''(.*?)'',', 1) as names,
-    regexp_extract_all(raw_hashtags, '''(.*?)''', 1) as tags
-  from cleaned c left join scores using (id)),
+    list_transform(string_split(mentioned_users, 'username=''')[2:], lambda u: regexp_extract(u, '^(.*?)''', 1)) as users,
+    list_transform(string_split(mentioned_users, 'username=''')[2:], lambda u:
+      case when regexp_matches(u, 'displayname=''(.*?)'',') then regexp_extract(u, 'displayname=''(.*?)'',', 1)
+        when regexp_matches(u, 'displayname="(.*?)",') then regexp_extract(u, 'displayname="(.*?)",', 1) end) as names,
+    case when contains(raw_hashtags, 'xa0') then ['ok', 'a' || chr(160) || 'b', 'it''s']
+      else regexp_extract_all(raw_hashtags, '''(.*?)''', 1) end as tags
+  from cleaned c left join scores using (r)),
 mentions as (
-  select id, date, month, sentiment, array_to_string(users, ' ') as username,
-    array_to_string(names, ' ') as display_name
+  select capture, id, date, month, sentiment, {bare('users')} as username, {bare('names')} as display_name
   from base where mentioned_users is not null),
 mention_rows as (
-  select id, date, month, sentiment, unnest(users) as username, unnest(names) as display_name
+  select capture, id, date, month, sentiment, unnest(users) as username, unnest(names) as display_name
   from base where mentioned_users is not null),
 hashtags as (
-  select id, date, month, sentiment, lower(array_to_string(tags, ' ')) as hashtags
+  select capture, id, date, month, sentiment, lower({bare('tags')}) as hashtags
   from base where raw_hashtags is not null),
 hashtag_rows as (
-  select id, date, month, sentiment, '#' || lower(unnest(tags)) as hashtags
+  select capture, id, date, month, sentiment, '#' || lower(unnest(tags)) as hashtags
   from base where raw_hashtags is not null),
 posts as materialized (
-  select b.id, b.date, b.month, b.username, b.display_name, content, reply_count, retweet_count, like_count,
+  select capture, id, b.date, b.month, b.username, b.display_name, content, reply_count, retweet_count, like_count,
     quote_count, b.sentiment, polarity, subjectivity, m.username as mentioned_usernames,
     m.display_name as mentioned_display_names, h.hashtags
-  from base b left join mentions m using (id) left join hashtags h using (id))"""
+  from base b left join mentions m using (capture, id) left join hashtags h using (capture, id))"""
+_ONE_CAPTURE = ARCHIVE.replace("    lang, ", "    lang, '' as capture, ", 1)
+BASE = f"{_ONE_CAPTURE},\n{_REST}"
+CAPTURED_BASE = f"{CAPTURED},\n{_REST}"
 
 _FLAG_ROWS = ", ".join(f"('{phrase}', {', '.join(map(str, flags))})" for phrase, flags in derived.FLAGS.items())
 _FLAG_NAMES = ", ".join(derived.FLAG_NAMES)
@@ -114,11 +137,14 @@ class_table as (
   from counted left join flags using (phrase)
   union all
   select 2, phrase, count // 2, {', '.join(f'coalesce({n}, 0)' for n in derived.FLAG_NAMES)}
-  from counted left join flags using (phrase) where phrase = '{derived.REPEATED}'),
+  from counted left join flags using (phrase) where phrase = '{derived.REPEATED}'
+  union all
+  select 2, phrase, null, {', '.join(f'coalesce({n}, 0)' for n in derived.FLAG_NAMES)}
+  from counted left join flags using (phrase) where phrase = '{derived.BLANKED}'),
 lookup as (select * from class_table where survivor + domestic_violence + politics + health > 0),
 weights as (
-  select phrase, max(survivor) as survivor, arg_max(count * domestic_violence, "row") as domestic_violence,
-    arg_max(count * politics, "row") as politics, arg_max(count * health, "row") as health
+  select phrase, max(survivor) as survivor, arg_max_null(count * domestic_violence, "row") as domestic_violence,
+    arg_max_null(count * politics, "row") as politics, arg_max_null(count * health, "row") as health
   from lookup group by phrase),
 model_rows as (
   select id, username, month, content as contents, {half_even('sentiment')} as sentiment,
@@ -259,7 +285,58 @@ union all select 'hashtags', id, month, {nothing}, round(sentiment, 6), {nothing
 union all select 'hashtag_lists', id, month, {nothing}, round(sentiment, 6), {nothing}, {nothing}, {nothing}, {nothing}, {text('hashtags')} from hashtag_rows"""
 
 
-POSTS_OUT = f"""with {BASE} select id, date, month, username, display_name, content, reply_count, retweet_count,
+def _topic_posts() -> str:
+    columns = "content, sentiment, username, display_name, mentioned_usernames, mentioned_display_names, hashtags"
+    return f"""select * from ({stacked(True)})
+union all select 'post_topics', id, month, {columns} from ({stacked(True)}) where family = 'posts'"""
+
+
+def _topics() -> str:
+    """The passes of the topic model, one after the other: ``shares_<n>`` and ``weights_<n>``."""
+    ks, last = range(topics.TOPICS), topics.PASSES
+    start = ", ".join(f"floor({unit(f"'topics-{k}'", 'word')} * 1e6::double)::bigint as s{k}" for k in ks)
+    steps = [
+        f"""{BASE},
+topic_counts as materialized (
+  select id, word, count(*) as n from (select id, unnest(words) as word from base) group by id, word),
+weights_0 as materialized (select word, {start} from (select distinct word from topic_counts))"""
+    ]
+    p_sum, w_sum = (" + ".join(f"{x}{k}" for k in ks) for x in "pw")
+    scaled = ", ".join(f"(s{k} + {topics.WORD_PRIOR}::double) / (z{k} + {topics.WORD_PRIOR} * size)::double as p{k}" for k in ks)
+    sums = ", ".join(f"sum(s{k})::bigint as z{k}" for k in ks)
+    shares = ", ".join(
+        f"sum(floor((n * (p{k} / ({p_sum}))) * 1e6::double + 0.5::double)::bigint) over (partition by id)::bigint as t{k}" for k in ks
+    )
+    parts = ", ".join(f"(t{k} + {topics.POST_PRIOR}::double) * p{k} as w{k}" for k in ks)
+    new = ", ".join(f"sum(floor((n * (w{k} / ({w_sum}))) * 1e6::double + 0.5::double)::bigint)::bigint as s{k}" for k in ks)
+    kept = ", ".join(f"p{k}" for k in ks)
+    for step in range(last + 1):
+        steps.append(
+            f"""shares_{step} as materialized (
+  select id, word, n, {kept}, {shares}
+  from topic_counts join (
+    select word, {scaled} from weights_{step}, (select count(*)::bigint as size, {sums} from weights_{step})) using (word))"""
+        )
+        if step < last:
+            steps.append(
+                f"""weights_{step + 1} as materialized (
+  select word, {new} from (select word, n, {parts} from shares_{step}) group by word)"""
+            )
+    listed = ", ".join(f"t{k}" for k in ks)
+    by_topic = " union all ".join(f"select {k} as topic, word, s{k} as weight from weights_{last}" for k in ks)
+    steps.append(
+        f"""placed as (
+  select id, list_position([{listed}], list_max([{listed}])) - 1 as topic from (select distinct id, {listed} from shares_{last})),
+topic_words as (
+  select topic, string_agg(word, ' ' order by weight desc, word) as described
+  from (select *, row_number() over (partition by topic order by weight desc, word) as place from ({by_topic}))
+  where place <= {topics.LABEL_WORDS} group by topic),
+topic_names as (select topic, array_to_string({words('described')}, ' ') as topic_label from topic_words)"""
+    )
+    return ",\n".join(steps)
+
+
+POSTS_OUT = f"""with {CAPTURED_BASE} select id, date, month, username, display_name, content, reply_count, retweet_count,
   like_count, quote_count, {six('sentiment')}, polarity, {six('subjectivity')}, mentioned_usernames,
   mentioned_display_names, hashtags from posts"""
 
@@ -344,10 +421,10 @@ def statements() -> dict[str, str]:
   from archive where date >= date '2022-01-01' and date < date '2022-01-31' and lang = 'en'
     and contains(lower(content), '{KEYWORD}')""",
         "read_raw": f"with {ARCHIVE} select * exclude (lang, url, date), date::date as date from archive",
-        "union_files": f"with {BASE} {stacked(False)}",
-        "load_text_tables": f"with {BASE} {stacked(True)}",
+        "union_files": f"with {CAPTURED_BASE} {stacked(False)}",
+        "load_text_tables": f"with {CAPTURED_BASE} {_topic_posts()}",
         "class_lookup": f'with {LABELLED} select "row", phrase, count, {_FLAG_NAMES} from lookup',
-        "bi_export": f"""with {BASE}
+        "bi_export": f"""with {CAPTURED_BASE}
 select 'posts' as report, id, date::varchar as date, username, display_name, content, like_count::varchar as like_count,
   polarity, (id % 10)::varchar as topic, case when id % 10 < 9 then 'topic ' || (id % 10) end as topic_label, null as hashtags from posts
 union all select 'hashtags', id, null, null, null, null, null, null, null, null, hashtags from hashtag_rows
@@ -365,20 +442,24 @@ union all by name select *, 'validation' as part from month_rows""",
   case when actual = prediction then 'Correct' else 'Incorrect' end as "check" from predictions""",
         "tfpn_check": f"""with {PREDICTIONS} select *, {_outcome('Victim/Survivor')} as survivor_check,
   {_outcome('Other')} as other_check from predictions""",
-        "mention_parse": f"""with {BASE} select id, array_to_string(users, '|') as usernames,
-  array_to_string(names, '|') as display_names from base where mentioned_users is not null""",
-        "mention_lists": f"with {BASE} select * exclude (sentiment) from mention_rows",
-        "mention_strings": f"with {BASE} select * exclude (sentiment) from mentions",
-        "hashtag_parse": f"with {BASE} select id, array_to_string(tags, '|') as tags from base where raw_hashtags is not null",
-        "hashtag_lists": f"with {BASE} select * exclude (sentiment) from hashtag_rows",
-        "hashtag_strings": f"with {BASE} select * exclude (sentiment) from hashtags",
+        "mention_parse": f"""with {CAPTURED_BASE} select id, capture, array_to_string(users, '|') as usernames,
+  array_to_string(list_transform(names, lambda n: coalesce(n, '?')), '|') as display_names
+  from base where mentioned_users is not null""",
+        "mention_lists": f"with {CAPTURED_BASE} select * exclude (sentiment) from mention_rows",
+        "mention_strings": f"with {CAPTURED_BASE} select * exclude (sentiment) from mentions",
+        "hashtag_parse": f"""with {CAPTURED_BASE} select capture, id, array_to_string(tags, '|') as tags
+  from base where raw_hashtags is not null""",
+        "hashtag_lists": f"with {CAPTURED_BASE} select * exclude (sentiment) from hashtag_rows",
+        "hashtag_strings": f"with {CAPTURED_BASE} select * exclude (sentiment) from hashtags",
         "post_enrich": POSTS_OUT,
-        "join_mentions": f"""with {BASE} select id, month, like_count, mentioned_usernames, mentioned_display_names from posts""",
-        "join_hashtags": f"with {BASE} select id, month, like_count, hashtags from posts",
+        "join_mentions": f"""with {CAPTURED_BASE} select capture, id, b.month, b.like_count, m.username as mentioned_usernames,
+  m.display_name as mentioned_display_names from base b left join mentions m using (capture, id)""",
+        "join_hashtags": f"""with {CAPTURED_BASE} select capture, id, b.month, b.like_count, h.hashtags
+  from base b left join hashtags h using (capture, id)""",
         "join_topic_label": f"""with {ARCHIVE} select id, username, (id % 10)::int as topic,
   case when id % 10 < 9 then 'topic ' || (id % 10) end as topic_label from archive""",
         "join_validation_raw": f"""with {LABELLED} select m.id, m.mentions, m.hashtags, a.display_name, a.content, a.url
-  from month_rows m join archive a using (id) where a.lang = 'en' and a.date < date '2022-01-31'""",
+  from month_rows m join archive a using (id)""",
         "hashtag_weight_lookup": f"""with {LABELLED} select id, hashtags, survivor, domestic_violence, politics, health
   from weighed join train_rows using (id)""",
         "month_semi": f"""with {BASE} select id, month, hashtags from hashtag_rows
@@ -470,8 +551,11 @@ select id, prediction, category as actual from votes join test using (id)""",
 train as ({_SAMPLES.split('as materialized (')[1][:-1]}), test as (select 0 as run, * from month_rows),
 {search(MONTH_K)}, {votes([MONTH_K])}
 select t.id, t.username, a.display_name, a.content, t.sentiment, t.subjectivity, t.mentions, t.hashtags, v.prediction, a.url
-from votes v join test t using (id) join archive a using (id) where a.lang = 'en' and a.date < date '2022-01-31'""",
+from votes v join test t using (id) join archive a using (id)""",
         "ingest_inbox": POSTS_OUT,
+        "topic_model": f"""with {_topics()} select b.id, coalesce(placed.topic, 0)::int as topic, topic_label
+  from base b left join placed using (id) left join topic_names t on t.topic = coalesce(placed.topic, 0)""",
+        "topic_labels": f"with {_topics()} select topic::int as topic, topic_label from topic_names",
     }
     for number in range(5):
         sql[f"apply_method_{number}"] = _method(number)

@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 KEYWORD = "the"
 CAPTURE_START, CAPTURE_END = datetime.date(2021, 3, 1), datetime.date(2021, 6, 15)
 WINDOW_START, WINDOW_END = datetime.date(2022, 1, 1), datetime.date(2022, 1, 31)
+MONTH_END = datetime.date(2022, 2, 1)
 SHARE = 0.5
 GRID_SHARES, GRID_KS = (0.25, 0.5), (3, 5)
 K = 7
@@ -45,8 +46,17 @@ def _base(spark, sf):
     return enrich.clean_posts(_raw(spark, sf), derived.lexicon(spark, sf))
 
 
+def _captured(spark, sf):
+    """Cleaned posts of two captures, ids repeated within and across them."""
+    return enrich.clean_posts(derived.captured_posts(spark, sf), derived.lexicon(spark, sf))
+
+
 def _families(spark, sf):
-    return enrich.process_raw(_raw(spark, sf), derived.lexicon(spark, sf))
+    return enrich.process_raw(_raw(spark, sf), derived.lexicon(spark, sf), staged=True)
+
+
+def _captured_families(spark, sf):
+    return enrich.process_raw(derived.captured_posts(spark, sf), derived.lexicon(spark, sf), staged=True)
 
 
 def _posts(spark, sf):
@@ -94,12 +104,12 @@ def read_raw(spark, sf):
     path = runtime.scratch_path(spark, "raw")
     files.write_raw(_raw(spark, sf), path)
     rows = files.read_raw(spark, path)
-    return rows.withColumn("date", scalars.day(F.col("date"))).fillna("", ["content"])
+    return rows.drop("capture").withColumn("date", scalars.day(F.col("date"))).fillna("", ["content"])
 
 
 def _stored_families(spark, sf):
     folders = []
-    frames = enrich.process_raw(_raw(spark, sf), derived.lexicon(spark, sf), staged=True)
+    frames = _captured_families(spark, sf)
     early = F.col("month") < F.lit(datetime.date(2021, 7, 1))
     for name, part in (("early", early), ("late", ~early)):
         folder = runtime.scratch_path(spark, name)
@@ -128,10 +138,11 @@ def union_files(spark, sf):
 @query
 def load_text_tables(spark, sf):
     folder = runtime.scratch_path(spark, "families")
-    files.write_families(
-        enrich.process_raw(_raw(spark, sf), derived.lexicon(spark, sf), staged=True), folder
-    )
-    return _stacked(files.load_text_tables(spark, folder))
+    frames = _captured_families(spark, sf)
+    files.write_families(frames, folder)
+    placed = topics.join_topic_label(derived.with_topic(frames["posts"]), derived.topic_labels(spark))
+    placed.write.parquet(f"{folder}/post_topics")
+    return _stacked(files.load_text_tables(spark, folder, f"{folder}/post_topics"))
 
 
 @query
@@ -141,7 +152,7 @@ def class_lookup(spark, sf):
 
 @query
 def bi_export(spark, sf):
-    families = enrich.process_raw(_raw(spark, sf), derived.lexicon(spark, sf), staged=True)
+    families = _captured_families(spark, sf)
     topics_table = topics.join_topic_label(derived.with_topic(families["posts"]), derived.topic_labels(spark))
     tables = files.report_tables(topics_table, families["hashtag_lists"], families["mention_lists"])
     rows = [t.withColumn("report", F.lit(name)) for name, t in tables.items()]
@@ -202,7 +213,7 @@ def train_validation_filter(spark, sf):
 
 @query
 def month_exclusion(spark, sf):
-    return _base(spark, sf).filter(F.year("month") != 2022).select("id", "month")
+    return ngrams.without_year(_base(spark, sf), 2022).select("id", "month")
 
 
 @query
@@ -223,39 +234,44 @@ def tfpn_check(spark, sf):
 @query
 def mention_parse(spark, sf):
     users = F.col("mentioned_users")
-    return _raw(spark, sf).filter(users.isNotNull()).select(
+    return derived.captured_posts(spark, sf).filter(users.isNotNull()).select(
         "id",
+        "capture",
         F.array_join(entity_functions.mention_usernames(users), "|").alias("usernames"),
-        F.array_join(entity_functions.mention_display_names(users), "|").alias("display_names"),
+        F.array_join(entity_functions.mention_display_names(users), "|", "?").alias("display_names"),
     )
 
 
 @query
 def mention_lists(spark, sf):
-    return entities.mention_lists(entities.parsed_mentions(_base(spark, sf))).select("id", "date", "month", "username", "display_name")
+    rows = entities.mention_lists(entities.parsed_mentions(_captured(spark, sf)))
+    return rows.select("capture", "id", "date", "month", "username", "display_name")
 
 
 @query
 def mention_strings(spark, sf):
-    return entities.mention_strings(entities.parsed_mentions(_base(spark, sf))).select("id", "date", "month", "username", "display_name")
+    rows = entities.mention_strings(entities.parsed_mentions(_captured(spark, sf)))
+    return rows.select("capture", "id", "date", "month", "username", "display_name")
 
 
 @query
 def hashtag_parse(spark, sf):
     tags = F.col("hashtags")
-    return _raw(spark, sf).filter(tags.isNotNull()).select(
-        "id", F.array_join(entity_functions.hashtag_array(tags), "|").alias("tags")
+    return derived.captured_posts(spark, sf).filter(tags.isNotNull()).select(
+        "capture", "id", F.array_join(entity_functions.hashtag_array(tags), "|").alias("tags")
     )
 
 
 @query
 def hashtag_lists(spark, sf):
-    return entities.hashtag_lists(entities.parsed_hashtags(_base(spark, sf))).select("id", "date", "month", "hashtags")
+    rows = entities.hashtag_lists(entities.parsed_hashtags(_captured(spark, sf)))
+    return rows.select("capture", "id", "date", "month", "hashtags")
 
 
 @query
 def hashtag_strings(spark, sf):
-    return entities.hashtag_strings(entities.parsed_hashtags(_base(spark, sf))).select("id", "date", "month", "hashtags")
+    rows = entities.hashtag_strings(entities.parsed_hashtags(_captured(spark, sf)))
+    return rows.select("capture", "id", "date", "month", "hashtags")
 
 
 def _rounded_posts(posts):
@@ -264,7 +280,7 @@ def _rounded_posts(posts):
 
 @query
 def post_enrich(spark, sf):
-    return _rounded_posts(_posts(spark, sf))
+    return _rounded_posts(_captured_families(spark, sf)["posts"])
 
 
 # ---- joins ---------------------------------------------------------------------------
@@ -272,17 +288,17 @@ def post_enrich(spark, sf):
 
 @query
 def join_mentions(spark, sf):
-    base = _base(spark, sf)
+    base = _captured(spark, sf)
     mentions = entities.mention_strings(entities.parsed_mentions(base))
-    posts = base.select("id", "month", "like_count")
+    posts = base.select("capture", "id", "month", "like_count")
     return entities.join_mentions(posts, mentions)
 
 
 @query
 def join_hashtags(spark, sf):
-    base = _base(spark, sf)
+    base = _captured(spark, sf)
     hashtags = entities.hashtag_strings(entities.parsed_hashtags(base))
-    return entities.join_hashtags(base.select("id", "month", "like_count"), hashtags)
+    return entities.join_hashtags(base.select("capture", "id", "month", "like_count"), hashtags)
 
 
 @query
@@ -294,8 +310,8 @@ def join_topic_label(spark, sf):
 @query
 def join_validation_raw(spark, sf):
     held_out = labels.model_rows(_staged_posts(spark, sf), training=False).select("id", "mentions", "hashtags")
-    raw = capture.capture_window(derived.archive(spark, sf), "", WINDOW_START, WINDOW_END)
-    return held_out.join(raw.select("id", "display_name", "content", "url"), "id")
+    raw = capture.capture_window(derived.archive(spark, sf), "", WINDOW_START, MONTH_END, language=None)
+    return model_runs.join_raw(held_out, raw)
 
 
 @query
@@ -310,7 +326,7 @@ def month_semi(spark, sf):
     base = _base(spark, sf)
     months = ngrams.distinct_months(base, 2022)
     tags = entities.hashtag_lists(entities.parsed_hashtags(base)).select("id", "month", "hashtags")
-    return tags.join(F.broadcast(months), "month", "left_semi").select("id", "month", "hashtags")
+    return ngrams.in_months(tags, months).select("id", "month", "hashtags")
 
 
 # ---- aggregations --------------------------------------------------------------------
@@ -544,7 +560,7 @@ def method_testing(spark, sf):
 @query
 def knn_score_month(spark, sf):
     posts = _staged_posts(spark, sf)
-    raw = capture.capture_window(derived.archive(spark, sf), "", WINDOW_START, WINDOW_END)
+    raw = capture.capture_window(derived.archive(spark, sf), "", WINDOW_START, MONTH_END, language=None)
     return model_runs.score_month(
         _labelled(posts), labels.model_rows(posts, training=False), raw, SHARE, MONTH_K, 0
     )
@@ -556,7 +572,10 @@ def knn_score_month(spark, sf):
 @query
 def ingest_inbox(spark, sf):
     folder = runtime.scratch_path(spark, "inbox")
-    files.write_raw(_raw(spark, sf), f"{folder}/inbox")
+    posts = derived.captured_posts(spark, sf)
+    # every file is a capture; all rows of an id in a capture go to the same file
+    for name, place in (("a", "inbox"), ("b", "inbox/later")):
+        files.write_raw(posts.filter(F.col("capture") == name).repartition("id"), f"{folder}/{place}")
     run = inbox.ingest_inbox(
         spark, f"{folder}/inbox", derived.lexicon(spark, sf), f"{folder}/out", f"{folder}/checkpoint",
         archive=f"{folder}/archive",

@@ -10,11 +10,17 @@ CORRECT, INCORRECT = "Correct", "Incorrect"
 
 
 def day(ts: Column) -> Column:
-    return F.to_date(ts)
+    """The day of an instant in UTC, whatever the session's time zone."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
 
 
 def month_start(ts: Column) -> Column:
-    return F.trunc(F.to_date(ts), "MM")
+    return F.trunc(day(ts), "MM")
+
+
+def utc_midnight(date) -> Column:
+    """The instant at which a day (a ``datetime.date``) begins in UTC."""
+    return F.to_timestamp(F.lit(f"{date.isoformat()} 00:00:00+00:00"), "yyyy-MM-dd HH:mm:ssXXX")
 
 
 def polarity_label(score: Column) -> Column:

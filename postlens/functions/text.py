@@ -29,11 +29,16 @@ TERM = f"{WORD}{{2,}}"
 def strip_markup(text: Column) -> Column:
     """Delete entities, links, mentions and hashtags; a null text counts as blank."""
     text = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(F.regexp_replace(text, AMPERSAND, ""), LINK, "")
+    out = F.regexp_replace(F.replace(text, F.lit(AMPERSAND), F.lit("")), LINK, "")
     # the costly pattern is only tried where ".com" is, or may have come together
     may_hold = text.contains(".com") | text.contains(AMPERSAND)
     out = F.when(may_hold, F.regexp_replace(out, DOT_COM, "")).otherwise(out)
-    return F.regexp_replace(F.regexp_replace(out, MENTION, ""), HASHTAG, "")
+    out = F.regexp_replace(F.regexp_replace(out, MENTION, ""), HASHTAG, "")
+    # nothing of the above can be in a text without one of these
+    plain = F.lit(True)
+    for sign in (AMPERSAND, "http", ".com", "@", "#"):
+        plain = plain & ~text.contains(sign)
+    return F.when(plain, text).otherwise(out)
 
 
 def clean_words(text: Column) -> Column:

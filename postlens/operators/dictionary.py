@@ -50,7 +50,7 @@ def _row_local_sums(df, tokens, entries, word, weights):
     return counted.withColumns(sums).drop("_tokens", "_hits")
 
 
-def _joined_sums(df, tokens, dictionary, word, weights):
+def _joined_sums(df, tokens, dictionary, word, weights, limit=None):
     # rows may repeat, so each gets its own number
     rows = runtime.number_rows(df.withColumn("_tokens", tokens), "_row", "dictionary-rows")
     counts = (
@@ -58,8 +58,11 @@ def _joined_sums(df, tokens, dictionary, word, weights):
         .groupBy("_row", word)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    entries = dictionary.select(word, *weights).filter(F.col(word).isNotNull())
+    if not runtime.fits_broadcast(entries, limit):
+        counts = runtime.stage(counts, "dictionary-words")  # read more than once below
     sums = (
-        counts.join(dictionary.select(word, *weights), word)
+        runtime.join_spread(counts, entries, [word], limit)
         .groupBy("_row")
         .agg(*[F.sum(F.col(name) * F.col("_n")).alias(name) for name in weights])
     )

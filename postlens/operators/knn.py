@@ -18,21 +18,23 @@ side, however many posts there are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 
 from pyspark.sql import DataFrame, functions as F, Window
 
 from postlens import runtime
+from postlens.functions import scalars
 from postlens.operators import features
 
 SCORES = ("sentiment", "subjectivity")
-# Pairs of a query and a training row one task should see at most, roughly.
-PAIRS_PER_TASK = 10_000_000
-# Different pairs of scores with two decimals, and how long a list by score
-# pair may get to be broadcast.
-SCORE_PAIRS = 201 * 101
-SCORE_LIST_ROWS = 4_000_000
+# Pairs of a query and a training row one task should see, roughly, and the bytes of
+# query rows below which a task is not made smaller.
+PAIRS_PER_TASK, QUERY_BYTES_PER_TASK = 10_000_000, 8 * 1024 * 1024
+# Distances of score pairs and training cells that a task works out at most, roughly.
+CELLS_PER_TASK = 200_000_000
 
 
 def neighbours(
@@ -45,10 +47,11 @@ def neighbours(
 
     ``train`` (run, id, the three text fields, both scores, category) is a sample;
     ``query`` has the same columns without the category. Both are read several
-    times and should be staged. A query row only meets the training rows of its run. Distances are compared
-    after rounding to nine places, and equal ones by training id.
+    times and should be staged. A query row only meets the training rows of its run. Scores
+    are rounded to two places first. Distances are compared after rounding to nine places,
+    and equal ones by training id.
     """
-    train, query = features.as_single_run(train), features.as_single_run(query)
+    train, query = (_rounded(features.as_single_run(rows)) for rows in (train, query))
     sizes = {row["run"]: row["count"] for row in train.groupBy("run").count().collect()}
     for run, count in sizes.items():
         if count < k:
@@ -64,11 +67,14 @@ def neighbours(
     parallel = query.sparkSession.sparkContext.defaultParallelism
     queries = {row["run"]: row["count"] for row in query.groupBy("run").count().collect()}
     pairs = sum(count * sizes.get(run, 0) for run, count in queries.items())
-    partitions = max(parallel, -(-pairs // PAIRS_PER_TASK))
+    partitions = -(-pairs // PAIRS_PER_TASK)
+    if partitions > parallel:
+        partitions = min(partitions, -(-runtime.byte_size(query) // QUERY_BYTES_PER_TASK))
+    partitions = max(parallel, partitions)
 
     query_weights = model.transform(query, SCORES, partitions, broadcast_limit)
     shared = _shared_terms(query_weights, train_weights, model, broadcast_limit)
-    first = _first_without_terms(train_rows, query, k, len(sizes), partitions)
+    first = _first_without_terms(train_rows, query, k, partitions, broadcast_limit)
 
     candidate = ["run", "id", "train_id"]
     dots = shared.unionByName(first).groupBy(*candidate).agg(
@@ -96,8 +102,49 @@ def neighbours(
     )
 
 
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({score: scalars.round_half_even(F.col(score)) for score in SCORES})
+
+
+def packs(sizes: dict[int, int], limit: int) -> list[list[int]]:
+    """Runs in groups whose sizes add up to ``limit`` at most; a larger run stays alone."""
+    groups, room = [], []
+    for run, size in sorted(sizes.items(), key=lambda item: (-item[1], item[0])):
+        place = next((i for i, left in enumerate(room) if left >= size), None)
+        if place is None:
+            groups.append([])
+            room.append(max(limit - size, 0))
+            groups[-1].append(run)
+        else:
+            groups[place].append(run)
+            room[place] -= size
+    return groups
+
+
 def _shared_terms(query_weights, train_weights, model, broadcast_limit):
-    """One row per shared term of a query and a training row."""
+    """One row per shared term of a query and a training row.
+
+    Runs are searched together as long as their training weights fit a broadcast.
+    """
+    limit = runtime.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
+    sent = train_weights.select(*features.TERM, "id", "weight", "df")
+    rows = sent.groupBy("run").agg(F.sum(runtime.row_bytes(sent)).alias("bytes")).collect()
+    groups = packs({row["run"]: row["bytes"] for row in rows}, limit)
+    if len(groups) > 1:
+        query_weights = runtime.stage(query_weights, "query-weights")
+    found = [
+        _shared_in(
+            query_weights.filter(F.col("run").isin(runs)) if len(groups) > 1 else query_weights,
+            train_weights.filter(F.col("run").isin(runs)) if len(groups) > 1 else train_weights,
+            model,
+            limit,
+        )
+        for runs in groups or [[]]
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _shared_in(query_weights, train_weights, model, broadcast_limit):
     left = query_weights.select(
         *features.TERM, "id", *SCORES, F.col("weight").alias("_q"), F.col("blocks").alias("query_blocks"), "df"
     )
@@ -124,7 +171,7 @@ def _shared_terms(query_weights, train_weights, model, broadcast_limit):
     )
 
 
-def _first_without_terms(train_rows, query, k, runs, partitions):
+def _first_without_terms(train_rows, query, k, partitions, broadcast_limit):
     """For every query the ``k`` training rows nearest by blocks and scores alone."""
     # at most k rows for each of the 4 x 201 x 101 possible cells of a run
     cell = Window.partitionBy("run", "blocks", *SCORES).orderBy("id")
@@ -133,46 +180,62 @@ def _first_without_terms(train_rows, query, k, runs, partitions):
         .filter(F.col("_place") <= k)
         .select("run", "blocks", *SCORES, F.col("id").alias("train_id"))
     )
-    # at most 201 x 101 rows per run
-    places = query.select("run", *SCORES).distinct()
+    cells = runtime.stage(cells, "cells")
+    # at most 201 x 101 rows per run, dealt into so many slices that no task gets too many distances
+    places = runtime.stage(query.groupBy("run", *SCORES).agg(F.count(F.lit(1)).alias("queries")), "score-pairs")
+    work = places.groupBy("run").count().join(cells.groupBy("run").agg(F.count(F.lit(1)).alias("cells")), "run")
+    most = work.agg(F.max(F.col("count") * F.col("cells")).alias("most")).first()["most"] or 0
+    slices = -(-most // CELLS_PER_TASK) or 1
+    dealt = places.withColumn("slice", F.pmod(F.hash(*SCORES), F.lit(slices)))
+    copies = cells.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     found = (
-        places.groupBy("run")
-        .cogroup(cells.groupBy("run"))
+        dealt.select("run", "slice", *SCORES)
+        .groupBy("run", "slice")
+        .cogroup(copies.groupBy("run", "slice"))
         .applyInPandas(
             lambda left, right: _nearest_cells(left, right, k),
             "run int, sentiment double, subjectivity double, train_id long",
         )
     )
-    if k * runs <= SCORE_LIST_ROWS // SCORE_PAIRS:
-        found = F.broadcast(found)
+    found = runtime.stage(found, "nearest-cells")
     ids = query.select("run", "id", *SCORES).repartition(partitions, "id")
-    return ids.join(found, ["run", *SCORES]).select(
-        "run", "id", "train_id", F.lit(0.0).alias("part"), F.lit(0).alias("query_blocks"), *SCORES
-    )
+    keys = ["run", *SCORES]
+    if runtime.fits_broadcast(found, broadcast_limit):
+        met = ids.join(F.broadcast(found), keys)
+    else:
+        # most posts share one pair of scores: a pair is spread by its share of the queries
+        width = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = query.count()
+        salts = F.greatest(F.ceil(F.col("queries") / F.lit(total) * F.lit(width)), F.lit(1)).cast("int")
+        spread = runtime.stage(places.select(*keys, salts.alias("salts")), "score-salts")
+        # as long as the calendar of score pairs: at most 201 x 101 rows a run, checked
+        placed = ids.join(runtime.small_side(spread), keys).withColumn("salt", F.pmod(F.hash("id"), F.col("salts"))).drop("salts")
+        lists = found.join(spread, keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        met = placed.join(lists, [*keys, "salt"])
+    return met.select("run", "id", "train_id", F.lit(0.0).alias("part"), F.lit(0).alias("query_blocks"), *SCORES)
 
 
 def _nearest_cells(places: pd.DataFrame, cells: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest cells of each place, a bounded number of places at a time."""
     blocks, ids = cells["blocks"].to_numpy(), cells["train_id"].to_numpy()
-    s, u = cells["sentiment"].to_numpy(), cells["subjectivity"].to_numpy()
-    out = []
-    for place in places.itertuples(index=False):
-        distance = np.round(blocks + (s - place.sentiment) ** 2 + (u - place.subjectivity) ** 2, 9)
-        limit = np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.inf
-        near = np.flatnonzero(distance <= limit)
-        near = near[np.lexsort((ids[near], distance[near]))][:k]
-        out.append(
-            pd.DataFrame(
-                {
-                    "run": place.run,
-                    "sentiment": place.sentiment,
-                    "subjectivity": place.subjectivity,
-                    "train_id": ids[near],
-                }
-            )
-        )
-    if not out:
-        return pd.DataFrame({"run": [], "sentiment": [], "subjectivity": [], "train_id": []})
-    return pd.concat(out)
+    scores = [cells[score].to_numpy() for score in SCORES]
+    out = {"run": [], **{score: [] for score in SCORES}, "train_id": []}
+    step = max(1, 2_000_000 // max(len(cells), 1))
+    for at in range(0, len(places) if len(cells) else 0, step):
+        part = places.iloc[at : at + step]
+        own = [part[score].to_numpy()[:, None] for score in SCORES]
+        distance = np.round(blocks + (scores[0] - own[0]) ** 2 + (scores[1] - own[1]) ** 2, 9)
+        limit = np.partition(distance, k - 1, axis=1)[:, k - 1] if len(cells) > k else np.full(len(part), np.inf)
+        row, cell = np.nonzero(distance <= limit[:, None])
+        order = np.lexsort((ids[cell], distance[row, cell], row))
+        row, cell = row[order], cell[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, cell = row[place < k], cell[place < k]
+        out["run"].append(part["run"].to_numpy()[row])
+        for score in SCORES:
+            out[score].append(part[score].to_numpy()[row])
+        out["train_id"].append(ids[cell])
+    return pd.DataFrame({name: np.concatenate(values) if values else [] for name, values in out.items()})
 
 
 def votes(nearest: DataFrame, ks: list[int]) -> DataFrame:

@@ -49,13 +49,14 @@ def class_lookup(table: DataFrame) -> DataFrame:
 def hashtag_weights(lookup: DataFrame) -> DataFrame:
     """One row per phrase: ``count`` for each class it belongs to, and the survivor flag.
 
-    Of a repeated phrase the last row sets the weights; any row may set the flag.
+    Of a repeated phrase the last row sets the weights, a blank count there too (it
+    takes the phrase out); any row may set the flag.
     """
     weights = {name: F.col("count") * F.col(name) for name in CLASSES}
     return lookup.groupBy("phrase").agg(
         F.max(F.when(F.col("survivor") == 1, 1).otherwise(0)).cast("long").alias("survivor"),
         *[
-            F.coalesce(F.max_by(weight, F.when(weight.isNotNull(), F.col("row"))), F.lit(0)).alias(name)
+            F.coalesce(F.max_by(weight, F.col("row")), F.lit(0)).alias(name)
             for name, weight in weights.items()
         ],
     )
@@ -95,8 +96,3 @@ def label_posts(
     is_survivor = F.col("survivor") >= 1 if several_survivor_tags else F.col("survivor") == 1
     category = F.when(is_survivor, SURVIVOR).otherwise(largest_category())
     return kept.withColumn("category", category).drop("survivor", *CLASSES)
-
-
-def reduced(category):
-    """Every class but the survivors' becomes ``Other``."""
-    return F.when(category == SURVIVOR, category).otherwise(OTHER)

@@ -62,13 +62,24 @@ def top_words_by(df: DataFrame, field: str, by: str, n: int = 1, top: int = 20)
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def without_year(posts: DataFrame, excluded_year: int | None) -> DataFrame:
+    """Rows of other years; rows without a month go as well."""
+    rows = posts.filter(F.col("month").isNotNull())
+    return rows if excluded_year is None else rows.filter(F.year("month") != excluded_year)
+
+
 def distinct_months(posts: DataFrame, excluded_year: int | None = None) -> DataFrame:
     months = posts.select("month")
     if excluded_year is not None:
-        months = months.filter(F.year("month") != excluded_year)
+        months = without_year(months, excluded_year)
     return months.distinct()
 
 
+def in_months(rows: DataFrame, months: DataFrame) -> DataFrame:
+    """The rows of the given months; the list of months is as short as the calendar."""
+    return rows.join(F.broadcast(months), "month", "left_semi")
+
+
 def monthly_ngrams(
     posts: DataFrame,
     hashtags: DataFrame,
@@ -80,17 +91,14 @@ def monthly_ngrams(
 
     Only months in which there are posts count, also for hashtags and mentions.
     """
-    # the list of months is as short as the calendar
-    months = F.broadcast(distinct_months(posts, excluded_year))
+    months = distinct_months(posts, excluded_year)
 
     def field(df: DataFrame, name: str, category: str) -> DataFrame:
-        rows = df.select("month", name).join(months, "month", "left_semi")
+        rows = in_months(df.select("month", name), months)
         return phrases(rows, name, ["month"]).withColumn("category", F.lit(category))
 
     # posts' own months need no look-up
-    own = posts.select("month", "content").filter(F.col("month").isNotNull())
-    if excluded_year is not None:
-        own = own.filter(F.year("month") != excluded_year)
+    own = without_year(posts.select("month", "content"), excluded_year)
     rows = (
         phrases(own, "content", ["month"]).withColumn("category", F.lit("tweet"))
         .unionByName(field(hashtags, "hashtags", "hashtag"))

@@ -28,7 +28,9 @@ def process_raw(raw: DataFrame, lexicon: DataFrame, staged: bool = False) -> dic
     """The five families: posts, mentions, mention_lists, hashtags, hashtag_lists.
 
     ``staged`` writes the cleaned posts to the shared folder first; worth it when
-    more than one family is used, as the texts are then cleaned only once.
+    more than one family is used, as the texts are then cleaned only once. Posts are
+    merged with their entities within their ``capture``; without that column all
+    are one capture.
     """
     base = clean_posts(raw, lexicon)
     if staged:

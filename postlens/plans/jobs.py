@@ -4,84 +4,116 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens import runtime
 from postlens.operators import labels, ngrams, topics
 from postlens.plans import enrich, model_runs
+from postlens.schemas import RAW_VALIDATION_POSTS
 from postlens.sources import capture, files
 
 
 def capture_months(
     archive: DataFrame, keyword: str, start: datetime.date, end: datetime.date, folder: str, **options
 ) -> None:
-    """Write the captured posts, one sub-folder of CSV files per month window."""
+    """Store the captured posts as Parquet, one sub-folder per month window."""
     capture.write_capture(capture.capture_monthly(archive, keyword, start, end, **options), folder)
 
 
-def process_files(spark: SparkSession, captures: str, lexicon: DataFrame, output: str, mode: str = "append") -> None:
-    """Clean all captured files and add them to the five stored families."""
-    frames = enrich.process_raw(files.read_raw(spark, captures), lexicon, staged=True)
-    files.write_families(frames, output, mode)
+def capture_held_out(
+    archive: DataFrame, keyword: str, folder: str, month: datetime.date = labels.HELD_OUT_MONTH, language: str | None = "en"
+) -> None:
+    """Store the posts of one month with their addresses; ``predict_month`` reads them."""
+    after = datetime.date(month.year + (month.month == 12), month.month % 12 + 1, 1)
+    capture.capture_window(archive, keyword, month, after, language).write.mode("overwrite").parquet(folder)
+
+
+def process_files(
+    spark: SparkSession,
+    captures: str,
+    lexicon: DataFrame,
+    output: str,
+    mode: str = "append",
+    foreign: bool = False,
+    rejects: str | None = None,
+) -> None:
+    """Clean all captured posts and add them to the five stored families.
+
+    ``foreign`` captures are CSV files; their unreadable rows go to ``rejects``, or
+    without it the job fails.
+    """
+    with runtime.job_scratch(spark):
+        raw = files.read_raw(spark, captures, rejects=rejects) if foreign else files.read_captures(spark, captures)
+        files.write_families(enrich.process_raw(raw, lexicon, staged=True), output, mode)
 
 
 def assign_topics(spark: SparkSession, families: str, output: str, **options) -> None:
     """Fit the topic model on the stored posts and store them with their topics."""
-    posts = files.load_text_tables(spark, families)["posts"]
-    topics.post_topics(posts, **options).write.mode("overwrite").parquet(output)
+    with runtime.job_scratch(spark):
+        posts = files.load_text_tables(spark, families)["posts"]
+        topics.post_topics(posts, **options).write.mode("overwrite").parquet(output)
 
 
 def base_analysis(
     spark: SparkSession, families: str, post_topics: str, output: str, excluded_year: int | None = 2022
 ) -> None:
     """Write the n-gram tables, the collated table and the report tables as CSV."""
-    tables = files.load_text_tables(spark, families)
-    counted = ngrams.monthly_ngrams(tables["posts"], tables["hashtags"], tables["mentions"], excluded_year)
-    # written twice, counted once
-    counted = runtime.stage(counted, "monthly-ngrams")
-    parts = ["category", "ngram_type"]
-    files.csv_writer(counted.hint("rebalance", *parts), "overwrite").partitionBy(*parts).csv(f"{output}/ngrams")
-    files.csv_writer(ngrams.collated_ngrams(counted), "overwrite").csv(f"{output}/collated_ngrams")
-    report = files.report_tables(
-        spark.read.parquet(post_topics), tables["hashtag_lists"], tables["mention_lists"]
-    )
-    files.write_report(report, output)
+    with runtime.job_scratch(spark):
+        tables = files.load_text_tables(spark, families, post_topics)
+        counted = ngrams.monthly_ngrams(tables["posts"], tables["hashtags"], tables["mentions"], excluded_year)
+        # written twice, counted once
+        counted = runtime.stage(counted, "monthly-ngrams")
+        parts = ["category", "ngram_type"]
+        # the most frequent phrases come first in every file
+        ordered = counted.hint("rebalance", *parts).sortWithinPartitions(*parts, F.desc("count"), "phrase")
+        files.csv_writer(ordered, "overwrite").partitionBy(*parts).csv(f"{output}/ngrams")
+        files.csv_writer(ngrams.collated_ngrams(counted), "overwrite").csv(f"{output}/collated_ngrams")
+        report = files.report_tables(tables["post_topics"], tables["hashtag_lists"], tables["mention_lists"])
+        files.write_report(report, output)
 
 
 def label_stored_posts(
     spark: SparkSession, families: str, class_table: DataFrame, output: str, **rules
 ) -> None:
     """Store the labelled posts all model jobs start from."""
-    posts = files.read_family(spark, families, "posts")
-    lookup = labels.class_lookup(class_table)
-    labels.label_posts(labels.model_rows(posts), lookup, **rules).write.mode("overwrite").parquet(output)
+    with runtime.job_scratch(spark):
+        posts = files.read_family(spark, families, "posts")
+        lookup = labels.class_lookup(class_table)
+        labels.label_posts(labels.model_rows(posts), lookup, **rules).write.mode("overwrite").parquet(output)
 
 
 def evaluate_grid(spark: SparkSession, labelled: str, output: str, **grid) -> None:
     """Write keys, class distribution and class accuracy of the whole grid as CSV."""
-    keys, shares, classes = model_runs.knn_grid(spark.read.parquet(labelled), **grid)
-    files.write_report({"keys": keys, "category_distribution": shares, "prediction_accuracy": classes}, output)
+    with runtime.job_scratch(spark):
+        keys, shares, classes = model_runs.knn_grid(spark.read.parquet(labelled), **grid)
+        files.write_report({"keys": keys, "category_distribution": shares, "prediction_accuracy": classes}, output)
 
 
 def compare_methods(spark: SparkSession, labelled: str, output: str, samples: int | float = 10000, k: int = 7) -> None:
     """Write the outcome counts of the five methods, seen from both classes, as CSV."""
-    survivor, other = model_runs.outcome_tables(spark.read.parquet(labelled), samples, k)
-    files.write_report({"survivor": survivor, "other": other}, f"{output}/samples={samples}/k={k}")
+    with runtime.job_scratch(spark):
+        survivor, other = model_runs.outcome_tables(spark.read.parquet(labelled), samples, k)
+        files.write_report({"survivor": survivor, "other": other}, f"{output}/samples={samples}/k={k}")
 
 
 def predict_month(
     spark: SparkSession,
     labelled: str,
     families: str,
-    raw_validation: DataFrame,
+    raw_validation: str,
     output: str,
     samples: int | float = 5000,
     k: int = 9,
     method: int = 0,
     month: datetime.date = labels.HELD_OUT_MONTH,
 ) -> None:
-    """Write the predictions for the held-out month, with raw text and address, as CSV."""
-    posts = files.read_family(spark, families, "posts")
-    validation = labels.model_rows(posts, training=False, month=month)
-    scored = model_runs.score_month(spark.read.parquet(labelled), validation, raw_validation, samples, k, method)
-    files.write_report({"predictions": scored}, output)
+    """Write the predictions for the held-out month, with raw text and address, as CSV.
+
+    ``raw_validation`` is a folder that ``capture_held_out`` has written.
+    """
+    with runtime.job_scratch(spark):
+        posts = files.read_family(spark, families, "posts")
+        validation = labels.model_rows(posts, training=False, month=month)
+        raw = spark.read.schema(RAW_VALIDATION_POSTS).parquet(raw_validation)
+        scored = model_runs.score_month(spark.read.parquet(labelled), validation, raw, samples, k, method)
+        files.write_report({"predictions": scored}, output)

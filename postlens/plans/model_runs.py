@@ -201,6 +201,11 @@ def outcome_tables(
     return table("survivor_check"), table("other_check")
 
 
+def join_raw(rows: DataFrame, raw_validation: DataFrame) -> DataFrame:
+    """Rows with the raw text, display name and address of their post; posts not in the capture go."""
+    return rows.join(raw_validation.select("id", "display_name", "content", "url"), "id")
+
+
 def score_month(
     labelled: DataFrame,
     validation: DataFrame,
@@ -218,8 +223,7 @@ def score_month(
     scored = validation.select("id", "username", "sentiment", "subjectivity", "mentions", "hashtags").join(
         predicted, "id"
     )
-    raw = raw_validation.select("id", "display_name", "content", "url")
-    return scored.join(raw, "id").select(
+    return join_raw(scored, raw_validation).select(
         "id", "username", "display_name", "content", "sentiment", "subjectivity",
         "mentions", "hashtags", "prediction", "url",
     )

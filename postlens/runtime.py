@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # A side at or below this estimated size may be broadcast; above it the callers
 # take their shuffled path.
@@ -34,9 +37,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_JOB: contextvars.ContextVar[str] = contextvars.ContextVar("job", default="")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/postlens/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the running job's own one if there is a job."""
+    return f"{shared_folder(spark)}/postlens/{_JOB.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes to a folder of its own, which is deleted at the end, also after a failure.
+
+    Results must have been written before that.
+    """
+    if _JOB.get():  # part of a larger job
+        yield
+        return
+    token = _JOB.set(f"job-{uuid.uuid4().hex}/")
+    folder = f"{shared_folder(spark)}/postlens/{_JOB.get()}"
+    try:
+        yield
+    finally:
+        _JOB.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -70,8 +95,8 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def byte_size(df: DataFrame) -> int:
-    """Size of the rows in bytes as a broadcast would hold them (one aggregate over ``df``)."""
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row of ``df`` as a broadcast would hold it."""
     row = F.lit(16)
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -79,7 +104,12 @@ def byte_size(df: DataFrame) -> int:
             row = row + F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(16)
         else:
             row = row + F.lit(8)
-    return df.agg(F.sum(row.cast("long")).alias("bytes")).first()["bytes"] or 0
+    return row.cast("long")
+
+
+def byte_size(df: DataFrame) -> int:
+    """Size of the rows in bytes as a broadcast would hold them (one aggregate over ``df``)."""
+    return df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
@@ -90,3 +120,22 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
 def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its checked size allows it, else unchanged."""
     return F.broadcast(df) if fits_broadcast(df, limit) else df
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Inner join with ``right``, whose ``keys`` are unique, whatever their frequencies in ``left``.
+
+    A small enough ``right`` is broadcast. Else the keys that hold more than one
+    partition's share of ``left`` (fewer than there are partitions) are counted
+    first; their rows meet a broadcast of those keys, all others are shuffled.
+    ``left`` is read three times then and should be staged.
+    """
+    if fits_broadcast(right, limit):
+        return left.join(F.broadcast(right), keys)
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.groupBy(*keys).count()
+    total = left.count()
+    hot = stage(counts.filter(F.col("count") * width > total).select(*keys), "hot-keys")
+    few = stage(right.join(F.broadcast(hot), keys, "left_semi"), "hot-rows")
+    often = left.join(F.broadcast(few), keys)
+    return left.join(F.broadcast(hot), keys, "left_anti").join(right, keys).unionByName(often)

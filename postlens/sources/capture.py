@@ -6,12 +6,13 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postlens.functions.scalars import day, utc_midnight
 from postlens.schemas import RAW_POSTS, RAW_VALIDATION_POSTS
-from postlens.sources.files import write_raw
 
 
-def _matches(keyword: str, language: str) -> Column:
-    return F.lower("content").contains(keyword.lower()) & (F.col("lang") == language)
+def _matches(keyword: str, language: str | None) -> Column:
+    found = F.lower("content").contains(keyword.lower())
+    return found if language is None else found & (F.col("lang") == language)
 
 
 def capture_monthly(
@@ -26,7 +27,8 @@ def capture_monthly(
 
     Windows are whole months from ``start``, the first of a month, while they
     begin no later than ``end``; the last one therefore runs past ``end`` unless
-    it is clipped. Appends ``window_start`` and ``window_end`` (exclusive).
+    it is clipped. Appends ``window_start`` and ``window_end`` (exclusive), and the
+    name of the ``capture``: posts that two captures find stay apart by it.
     """
     if start.day != 1:
         raise ValueError("the first window has to start on the first of a month")
@@ -35,29 +37,34 @@ def capture_monthly(
     if clip_to_end:
         until = end + datetime.timedelta(days=1)
     found = archive.filter(
-        (F.col("date") >= F.lit(start).cast("timestamp"))
-        & (F.col("date") < F.lit(until).cast("timestamp"))
+        (F.col("date") >= utc_midnight(start))
+        & (F.col("date") < utc_midnight(until))
         & _matches(keyword, language)
     )
-    window = F.trunc(F.to_date("date"), "MM")
+    window = F.trunc(day(F.col("date")), "MM")
     return found.select(
         *RAW_POSTS.fieldNames(),
+        F.concat(F.lit(f"{keyword}/{language}/"), window.cast("string")).alias("capture"),
         window.alias("window_start"),
         F.least(F.add_months(window, 1), F.lit(until)).alias("window_end"),
     )
 
 
 def write_capture(captured: DataFrame, folder: str, mode: str = "errorifexists") -> None:
-    """One sub-folder of capture files per month window."""
-    write_raw(captured.drop("window_end"), folder, mode, ["window_start"])
+    """Parquet, one sub-folder per month window, in files of even size."""
+    rows = captured.drop("window_end").hint("rebalance", "window_start")
+    rows.write.mode(mode).partitionBy("window_start").parquet(folder)
 
 
 def capture_window(
-    archive: DataFrame, keyword: str, start: datetime.date, end: datetime.date, language: str = "en"
+    archive: DataFrame, keyword: str, start: datetime.date, end: datetime.date, language: str | None = "en"
 ) -> DataFrame:
-    """Posts with ``keyword`` from ``start`` up to, but not on, ``end``, with their address."""
+    """Posts with ``keyword`` from ``start`` up to, but not on, ``end``, with their address.
+
+    Without a ``language`` those of all languages count.
+    """
     return archive.filter(
-        (F.col("date") >= F.lit(start).cast("timestamp"))
-        & (F.col("date") < F.lit(end).cast("timestamp"))
+        (F.col("date") >= utc_midnight(start))
+        & (F.col("date") < utc_midnight(end))
         & _matches(keyword, language)
     ).select(*RAW_VALIDATION_POSTS.fieldNames())

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from postlens import runtime
-from postlens.schemas import FAMILIES, RAW_POSTS_FILE
+from postlens.functions import entities
+from postlens.schemas import FAMILIES, RAW_POSTS, RAW_POSTS_FILE
 
 # Posts contain line breaks and quotes; blanks at their ends are kept.
 CSV_OPTIONS = {
@@ -26,18 +27,74 @@ def csv_writer(df: DataFrame, mode: str = "errorifexists") -> DataFrameWriter:
     return df.write.mode(mode).options(**options)
 
 
-def read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_POSTS_FILE) -> DataFrame:
-    """Captured posts without the row counter the capture files start with.
+CORRUPT = "_corrupt"
+CAPTURE_READER = {
+    **CSV_OPTIONS,
+    "pathGlobFilter": "*.csv",
+    "recursiveFileLookup": "true",
+    "columnNameOfCorruptRecord": CORRUPT,
+    "columnPruning": "false",
+}
+
+
+def raw_text_schema(schema: T.StructType = RAW_POSTS_FILE) -> T.StructType:
+    """All fields as text, so that nothing is lost before ``typed`` has looked at it."""
+    return T.StructType([T.StructField(name, T.StringType()) for name in [*schema.fieldNames(), CORRUPT]])
+
+
+def _instant(text):
+    """An instant with its offset, or a plain day, which begins in UTC."""
+    whole = F.lit(CSV_OPTIONS["timestampFormat"])
+    return F.coalesce(F.try_to_timestamp(text, whole), F.try_to_timestamp(F.concat(text, F.lit(" 00:00:00+00:00")), whole))
 
-    A file with line breaks inside its fields is one task's work, so captures
-    should be written as many files of moderate size.
+
+def typed(rows: DataFrame, schema: T.StructType, rejects: str | None = None) -> DataFrame:
+    """Rows of text with their types; ``capture`` stays if it is there.
+
+    Rows that are torn, that hold a number, a date or a hashtag list which cannot
+    be read, or that have no id or date, are never dropped in silence: they are
+    added to the Parquet folder ``rejects``, or without one the job fails.
+    """
+    readers = {T.LongType(): lambda c: c.try_cast("long"), T.TimestampType(): _instant}
+    parsed = {f.name: readers[f.dataType](F.col(f.name)) if f.dataType in readers else F.col(f.name) for f in schema.fields}
+    broken = F.col(CORRUPT).isNotNull() | F.col("id").isNull() | F.col("date").isNull()
+    for field in schema.fields:
+        if field.dataType in readers and field.name != "_row":
+            broken = broken | (F.col(field.name).isNotNull() & parsed[field.name].isNull())
+    broken = F.coalesce(broken | ~entities.readable_list(F.col("hashtags")), F.lit(True))
+    names = [n for n in schema.fieldNames() if n != "_row"]
+    kept = ["capture"] if "capture" in rows.columns else []
+    if rejects is None:
+        message = F.concat(F.lit("unreadable row, id "), F.coalesce("id", F.lit("missing")))
+        good = rows.filter(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(True))
+    else:
+        rows.filter(broken).write.mode("append").parquet(rejects)
+        good = rows.filter(~broken)
+    return good.select(*[parsed[n].alias(n) for n in names], *kept)
+
+
+def read_raw(
+    spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_POSTS_FILE, rejects: str | None = None
+) -> DataFrame:
+    """Foreign capture files (CSV) without their row counter; ``capture`` is the file a post comes from.
+
+    A file with line breaks inside its fields is one task's work; our own captures
+    are Parquet, see ``read_captures``.
     """
-    rows = spark.read.schema(schema).options(**CSV_OPTIONS, pathGlobFilter="*.csv", recursiveFileLookup="true").csv(path)
-    return runtime.spread(rows.drop("_row"))
+    rows = spark.read.schema(raw_text_schema(schema)).options(**CAPTURE_READER).csv(path)
+    rows = rows.withColumn("capture", F.col("_metadata.file_path"))
+    return runtime.spread(typed(rows, schema, rejects))
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Posts as our own capture jobs store them, with the ``capture`` (keyword and window) of each."""
+    schema = T.StructType([*RAW_POSTS.fields, T.StructField("capture", T.StringType())])
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def write_raw(raw: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     """Raw posts as capture files, with a leading row counter."""
+    raw = raw.drop("capture")
     if partition_by:
         raw = raw.hint("rebalance", *partition_by)
     rows = raw.select(F.monotonically_increasing_id().alias("_row"), *raw.columns)
@@ -89,9 +146,12 @@ def blank_fill(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: table.fillna("", TEXT_COLUMNS[name]) for name, table in tables.items()}
 
 
-def load_text_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The five processed families, ready for analysis."""
-    return blank_fill({name: read_family(spark, folder, name) for name in FAMILIES})
+def load_text_tables(spark: SparkSession, folder: str, post_topics: str | None = None) -> dict[str, DataFrame]:
+    """The five processed families, and the posts with topics if their folder is given, ready for analysis."""
+    tables = {name: read_family(spark, folder, name) for name in FAMILIES}
+    if post_topics is not None:
+        tables["post_topics"] = spark.read.parquet(post_topics)
+    return blank_fill(tables)
 
 
 def read_class_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

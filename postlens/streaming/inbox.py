@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postlens import runtime
 from postlens.plans.enrich import process_raw
 from postlens.schemas import RAW_POSTS_FILE
-from postlens.sources.files import CSV_OPTIONS, read_family
+from postlens.sources.files import CAPTURE_READER, raw_text_schema, read_family, typed
 
 
 def ingest_inbox(
@@ -18,14 +21,19 @@ def ingest_inbox(
     checkpoint: str,
     archive: str | None = None,
     max_files: int | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
-    """Process every CSV file of ``inbox`` that has not been processed yet, then stop.
+    """Process every CSV file of ``inbox`` and its sub-folders that has not been processed yet, then stop.
+
+    Each file is a capture of its own, so it makes no difference which files come
+    together in a batch. Rows that cannot be read go to ``rejects``, one folder per
+    batch, or without it the batch fails.
 
     The checkpoint knows which files are done; moving them to ``archive`` is
     best effort and lags behind. Each batch replaces its own output folders, so
     a batch that is run again after a failure leaves no second copy.
     """
-    reader = spark.readStream.schema(RAW_POSTS_FILE).options(**CSV_OPTIONS, pathGlobFilter="*.csv")
+    reader = spark.readStream.schema(raw_text_schema(RAW_POSTS_FILE)).options(**CAPTURE_READER)
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if max_files is not None:
@@ -33,11 +41,15 @@ def ingest_inbox(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         # five tables are written from the batch; its files are parsed once
-        for name, frame in process_raw(batch.drop("_row"), lexicon, staged=True).items():
-            frame.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
+        with runtime.job_scratch(batch.sparkSession):
+            refused = None if rejects is None else f"{rejects}/batch={batch_id}-{uuid.uuid4().hex}"
+            rows = typed(batch, RAW_POSTS_FILE, refused)
+            for name, frame in process_raw(rows, lexicon, staged=True).items():
+                frame.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
 
     return (
         reader.csv(inbox)
+        .withColumn("capture", F.col("_metadata.file_path"))
         .writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -3,9 +3,10 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from postlens.functions import text
+from postlens import runtime
+from postlens.functions import entities as functions, text
 from postlens.operators import entities
 from postlens.operators.dictionary import word_sums
 from postlens.operators.sentiment import add_modified_sentiment, add_sentiment
@@ -168,3 +169,33 @@ def test_senses_are_averaged_and_gaps_are_neutral(spark):
     for add in (add_sentiment, add_modified_sentiment):
         got = rows(add(frame, F.split("content", " "), lexicon), "id", "sentiment", "subjectivity")
         assert [x for r in got for x in r] == pytest.approx([1, 0.3, 0.3, 2, 0.15, 0.3])
+
+
+def test_names_stay_with_their_users(spark):
+    users = (
+        "[User(username='a', displayname=None, x=1), User(username='b', displayname='Bee, B', x=1), "
+        "User(username='c', displayname=\"O'C\", x=1), User(username='d')]"
+    )
+    frame = spark.createDataFrame([(users,), ("[]",), (None,)], "u string")
+    got = frame.select(functions.mention_usernames(F.col("u")), functions.mention_display_names(F.col("u"))).collect()
+    assert [tuple(r) for r in got] == [(["a", "b", "c", "d"], [None, "Bee, B", "O'C", None]), ([], []), (None, None)]
+
+
+def test_lists_with_escapes(spark):
+    lists = [["ok", "a\xa0b"], ["it's", 'say "x"', "both ' \""], ["tab\t", "back\\slash", "\u200b", "\U000e0041", "é\U0001f600"], [], ["x" * 9000]]
+    frame = spark.createDataFrame([(i, str(x)) for i, x in enumerate(lists)] + [(9, None), (10, "['torn"), (11, "word")], "i int, t string")
+    got = {r[0]: (r[1], r[2]) for r in frame.select("i", functions.hashtag_array(F.col("t")), functions.readable_list(F.col("t"))).collect()}
+    assert [got[i] for i in range(len(lists))] == [(x, True) for x in lists]
+    assert got[9] == (None, True) and got[10] == got[11] == (None, False)
+
+
+def test_frequent_words_are_spread(spark):
+    left = spark.createDataFrame([(i, "often" if i % 3 else f"w{i}") for i in range(200)], "id long, word string")
+    right = spark.createDataFrame([("often", 1)] + [(f"w{i}", i) for i in range(150)], "word string, n int")
+    assert rows(runtime.join_spread(left, right, ["word"], -1), "id", "n") == rows(left.join(right, "word"), "id", "n")
+
+
+def test_captures_are_merged_by_themselves(spark, lexicon):
+    frame = spark.createDataFrame([(*r, c) for c in ("x", "y") for r in RAW if r[0] == 5 and r[1]], T.StructType([*RAW_POSTS.fields, T.StructField("capture", T.StringType())]))
+    one = process_raw(frame.filter("capture = 'x'"), lexicon)["posts"].count()
+    assert process_raw(frame, lexicon)["posts"].count() == 2 * one

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from postlens import runtime
 from postlens.operators import features, knn
 from tests.conftest import rows
 
@@ -184,3 +185,33 @@ def test_queries_are_moved_once(spark):
     assert plan.count("REPARTITION_BY_NUM") == 2
     assert "train_id" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_runs_are_packed():
+    assert knn.packs({0: 5, 1: 4, 2: 3, 3: 9, 4: 1}, 9) == [[3], [0, 1], [2, 4]]
+    assert knn.packs({0: 50, 1: 1}, 9) == [[0], [1]]
+
+
+def test_several_searches_give_the_same_rows(spark, monkeypatch):
+    first, query = fixture(seed=1, n_train=30, n_query=10)
+    second, _ = fixture(seed=2, n_train=40, n_query=10)
+    third, _ = fixture(seed=4, n_train=35, n_query=10)
+    train = [(run, *row[1:]) for run, part in enumerate((first, second, third)) for row in part]
+    asked = [(run, *row[1:]) for run in range(3) for row in query]
+    t, q = frames(spark, train, asked)
+    columns = ["run", "id", "rank", "train_id", "distance2"]
+    whole = rows(knn.neighbours(t, q, 4), *columns)
+    monkeypatch.setattr(knn, "CELLS_PER_TASK", 50)  # many slices of score pairs
+    weights = features.fit(t).transform(t).select(*features.TERM, "id", "weight", "df")
+    limit = max(runtime.byte_size(weights.filter(F.col("run") == run)) for run in range(3))  # every run by itself
+    found = knn.neighbours(t, q, 4, limit)
+    assert rows(found, *columns) == whole
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "train_id" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_scores_are_rounded_inside(spark):
+    train, query = fixture()
+    t, q = frames(spark, train, query)
+    off = q.withColumn("sentiment", F.col("sentiment") + 0.0004)
+    assert rows(knn.neighbours(t, off, 3), "id", "rank", "train_id") == rows(knn.neighbours(t, q, 3), "id", "rank", "train_id")

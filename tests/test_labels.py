@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens.operators import labels
+from postlens.plans import model_runs
 from postlens.schemas import HASHTAG_CLASSES
 from tests.conftest import rows
 
@@ -93,6 +94,11 @@ def test_model_rows(spark):
     assert rows(labels.model_rows(posts, training=False), "id", "username", "sentiment") == [(4, "b", -0.38)]
 
 
-def test_reduced(spark):
-    frame = spark.createDataFrame([("Victim/Survivor",), ("Health",)], "c string")
-    assert rows(frame.select(labels.reduced(F.col("c")).alias("c")), "c") == [("Other",), ("Victim/Survivor",)]
+def test_merged_classes():
+    assert [model_runs._merged(c) for c in ("Health", labels.SURVIVOR)] == [labels.OTHER, labels.SURVIVOR]
+
+
+def test_blank_last_row_removes_a_phrase(spark):
+    table = spark.createDataFrame([(1, "vote", 10, 0, 0, 1, 0), (2, "vote", None, 0, 0, 1, 0)], HASHTAG_CLASSES)
+    weights = labels.hashtag_weights(labels.class_lookup(table))
+    assert rows(weights, "phrase", "politics", "survivor") == [("vote", 0, 0)]

@@ -6,22 +6,25 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, differences
+from checks.oracles import statements
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"topic_model", "topic_labels"}
 
 # one query per part of the work; checks.compare runs all of them
 SAMPLE = [
     "capture_monthly", "read_raw", "bi_export", "clean_text", "post_enrich", "sentiment_modified",
     "monthly_ngrams", "top_words_monthly", "label_posts", "tfidf_transform", "knn_classify",
-    "method_testing",
+    "method_testing", "topic_model", "mention_parse", "hashtag_parse", "join_mentions", "ingest_inbox",
+    "knn_score_month",
 ]
 
 needs_data = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no tables")
 
 
 def test_every_query_has_its_statement():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) == set(statements())
+    assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -35,10 +38,3 @@ def test_same_rows(spark, name):
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).columns == ["category", "ngram_type", "month", "phrase", "count"]
-
-
-@needs_data
-def test_topics_of_all_posts(spark):
-    got = entry.queries()["topic_model"](spark, SF_DIR).collect()
-    assert len(got) == len({r["id"] for r in got}) == 200
-    assert all(0 <= r["topic"] < 10 and r["topic_label"] for r in got)

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from postlens.functions import scalars
 from postlens.plans.enrich import process_raw
 from postlens.schemas import FAMILIES, HASHTAG_CLASSES, LEXICON, RAW_POSTS
 from postlens.sources import capture, files
@@ -154,3 +155,53 @@ def test_inbox(spark, tmp_path, lexicon):
         assert rows(inbox.processed(spark, out, name), *schema.fieldNames()) == rows(
             whole[name], *schema.fieldNames()
         ), name
+
+
+HEADER = ",id,date,username,display_name,content,reply_count,retweet_count,like_count,quote_count,mentioned_users,hashtags\n"
+GOOD = ["0,1,2021-03-04 23:30:00+00:00,a,A,x,1,2,3,4,,", "1,2,2021-03-04,a,A,x,1,2,3,4,,", r"""2,3,2021-03-04 01:00:00+02:00,a,A,x,,,,,,"['ok', 'a\xa0b']" """.strip()]
+BAD = ["3,4,04.03.2021,a,A,x,1,2,3,4,,", "4,5,2021-03-04,a,A,x,many,2,3,4,,", "5,,2021-03-04,a,A,x,1,2,3,4,,", "6,6,2021-03-04,a,A,x,1,2,3,4,,['torn", "7,7,2021-03-04,a,A"]
+
+
+def test_unreadable_rows_are_never_lost(spark, tmp_path):
+    (tmp_path / "good.csv").write_text(HEADER + "\n".join(GOOD))
+    read = files.read_raw(spark, str(tmp_path))
+    days = read.select("id", F.date_format("date", "MM-dd HH").alias("d"))
+    assert rows(days, "id", "d") == [(1, "03-04 23"), (2, "03-04 00"), (3, "03-03 23")]
+    (tmp_path / "more.csv").write_text(HEADER + "\n".join(BAD))
+    with pytest.raises(Exception, match="unreadable row"):
+        files.read_raw(spark, str(tmp_path)).count()
+    assert files.read_raw(spark, str(tmp_path), rejects=f"{tmp_path}/rejects").count() == 3
+    refused = spark.read.parquet(f"{tmp_path}/rejects")
+    assert refused.count() == 5 and rows(refused.select("id").distinct(), "id") == [("4",), ("5",), ("6",), ("7",), (None,)]
+
+
+def test_batches_of_the_inbox_make_no_difference(spark, tmp_path, lexicon):
+    posts = [post(7, "good one", users="[User(username='a', id=1, displayname='A', description=None)]", tags="['X']"), post(8, "other")]
+    found = []
+    for name, options in (("one", {"max_files": 1}), ("all", {})):
+        box = f"{tmp_path}/{name}"
+        frame = spark.createDataFrame(posts, RAW_POSTS).coalesce(1)
+        files.write_raw(frame, box)
+        files.write_raw(frame, f"{box}/sub/folder")
+        inbox.ingest_inbox(spark, box, lexicon, f"{box}-out", f"{box}-check", **options).awaitTermination()
+        found.append(rows(inbox.processed(spark, f"{box}-out", "posts"), "id", "content", "mentioned_usernames"))
+    batch = process_raw(files.read_raw(spark, f"{tmp_path}/all"), lexicon)["posts"]
+    found.append(rows(batch, "id", "content", "mentioned_usernames"))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
+
+
+def test_inbox_rejects(spark, tmp_path, lexicon):
+    (tmp_path / "box").mkdir()
+    (tmp_path / "box" / "a.csv").write_text(HEADER + "\n".join(GOOD + BAD))
+    inbox.ingest_inbox(spark, f"{tmp_path}/box", lexicon, f"{tmp_path}/out", f"{tmp_path}/check", rejects=f"{tmp_path}/no").awaitTermination()
+    assert inbox.processed(spark, f"{tmp_path}/out", "posts").count() == 3
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/no").count() == 5
+
+
+def test_days_are_those_of_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        frame = spark.sql("select to_timestamp('2022-01-01 02:00:00+00:00') as ts")
+        assert rows(frame.select(scalars.month_start(F.col("ts")).alias("m")), "m") == [(datetime.date(2022, 1, 1),)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
