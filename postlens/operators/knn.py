@@ -73,9 +73,28 @@ def neighbours(
     partitions = max(parallel, partitions)
 
     query_weights = model.transform(query, SCORES, partitions, broadcast_limit)
-    shared = _shared_terms(query_weights, train_weights, model, broadcast_limit)
     first = _first_without_terms(train_rows, query, k, partitions, broadcast_limit)
+    # runs are searched together as long as their training weights fit a broadcast
+    limit = runtime.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
+    sent = train_weights.select(*features.TERM, "id", "weight", "df")
+    bytes_by_run = sent.groupBy("run").agg(F.sum(runtime.row_bytes(sent)).alias("bytes")).collect()
+    known = {row["run"]: row["bytes"] for row in bytes_by_run}
+    groups = packs({run: known.get(run, 0) for run in sizes}, limit)
+    if len(groups) < 2:
+        return _nearest(query_weights, train_weights, train_rows, first, model, k, broadcast_limit)
+    query_weights = runtime.stage(query_weights, "query-weights")
+
+    def search(runs: list[int]) -> DataFrame:
+        own = F.col("run").isin(runs)
+        placed = query_weights.filter(own).repartition(partitions, "id")
+        return _nearest(placed, train_weights.filter(own), train_rows.filter(own), first.filter(own), model, k, broadcast_limit)
 
+    return reduce(DataFrame.unionByName, [search(runs) for runs in groups])
+
+
+def _nearest(query_weights, train_weights, train_rows, first, model, k, broadcast_limit):
+    """The k nearest of the pairs that share a term and of the ``first`` ones, query by query."""
+    shared = _shared_terms(query_weights, train_weights, model, broadcast_limit)
     candidate = ["run", "id", "train_id"]
     dots = shared.unionByName(first).groupBy(*candidate).agg(
         F.sum("part").alias("dot"),
@@ -122,29 +141,7 @@ def packs(sizes: dict[int, int], limit: int) -> list[list[int]]:
 
 
 def _shared_terms(query_weights, train_weights, model, broadcast_limit):
-    """One row per shared term of a query and a training row.
-
-    Runs are searched together as long as their training weights fit a broadcast.
-    """
-    limit = runtime.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
-    sent = train_weights.select(*features.TERM, "id", "weight", "df")
-    rows = sent.groupBy("run").agg(F.sum(runtime.row_bytes(sent)).alias("bytes")).collect()
-    groups = packs({row["run"]: row["bytes"] for row in rows}, limit)
-    if len(groups) > 1:
-        query_weights = runtime.stage(query_weights, "query-weights")
-    found = [
-        _shared_in(
-            query_weights.filter(F.col("run").isin(runs)) if len(groups) > 1 else query_weights,
-            train_weights.filter(F.col("run").isin(runs)) if len(groups) > 1 else train_weights,
-            model,
-            limit,
-        )
-        for runs in groups or [[]]
-    ]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _shared_in(query_weights, train_weights, model, broadcast_limit):
+    """One row per shared term of a query and a training row."""
     left = query_weights.select(
         *features.TERM, "id", *SCORES, F.col("weight").alias("_q"), F.col("blocks").alias("query_blocks"), "df"
     )
