@@ -12,19 +12,56 @@ from postlens.llm.common import worker_state
 # Words kept with their ids; a text's rare words are encoded again after the table is emptied.
 REMEMBERED = 300_000
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+# Words of ASCII signs and Latin letters fall apart into runs of letters, single digits and runs of the rest. Left out:
+# the apostrophe, which begins parts of its own, the bar of special tokens, and the dotted capital I, whose
+# lower case is two characters.
+_LETTERS = "a-zß-öø-įı-ž"
+_PLAIN = re.compile("[!-&(-{}~À-ÖØ-öø-įı-ž]+")
+_PARTS = re.compile(f"([{_LETTERS}]+)|[0-9]|[^0-9{_LETTERS}]+")
+
+
+def byte_signs() -> dict[int, int]:
+    """The signs by which byte-level vocabularies spell bytes, for ``str.translate`` of Latin-1 text."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
 
 
 class WordIds(dict):
-    """Ids (little-endian uint32 bytes) by word. The tokenizer drops white space and never joins across it."""
+    """Ids (little-endian uint32 bytes) by word. The tokenizer drops white space and never joins across it.
+
+    Most rare words are known runs of letters with other punctuation or capitals, so
+    a new word is put together from its parts, and a run of letters goes to the
+    vocabulary's merges at once.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge, self.signs, self.parts = tokenizer.encode, tokenizer.model.tokenize, byte_signs(), {}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, match: re.Match) -> bytes:
+        part = match[0]
+        if part not in self.parts:
+            if match[1] is None:
+                self.parts[part] = self._whole(part)
+            else:
+                spelt = part.encode().decode("latin-1").translate(self.signs)
+                self.parts[part] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
+        return self.parts[part]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.parts) >= REMEMBERED:
+            self.parts.clear()
+        if _PLAIN.fullmatch(word):
+            ids = b"".join(map(self._part, _PARTS.finditer(word.lower())))
+        else:
+            ids = self._whole(word)
         self[word] = ids
         return ids
 

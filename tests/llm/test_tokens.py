@@ -110,3 +110,12 @@ def test_packing_is_close_to_the_bound(spark):
     placed = K.pack(rows, 2048).join(rows, "row").collect()
     assert len(placed) == 6000
     assert check_layout(placed, 2048) <= 1.005 * -(-int(sizes.sum()) // 2048)
+
+
+def test_new_words_are_put_together_from_parts():
+    words, whole = WordIds(PATH), Tokenizer.from_file(PATH)
+    signs = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x250)]] + ["'s", "<|endoftext|>", "12", "Été", "straße"]
+    rng = np.random.default_rng(8)
+    for size in rng.integers(1, 9, 3000).tolist():
+        word = "".join(rng.choice(signs, size))
+        assert words.text(word) == np.array(whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
