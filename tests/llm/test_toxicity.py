@@ -90,3 +90,34 @@ def test_odd_rows_and_empty_tables(spark):
     assert X.toxicity(empty(spark), labels, held_out()).count() == 0
     none = X.toxicity(edges(spark), spark.createDataFrame([], LABELS), held_out()).collect()
     assert {r["score"] for r in none} == {0.5}
+
+
+def test_one_inserted_letter_is_predicted(spark):
+    docs, labels = corpus()
+    gapped = ["idxiot", "idioxt", "moxron", "worqthless", "scxum"]
+    clean = ["stander", "heablering", "thingone", "wherof"]
+    rows = docs + [(10_000 + i, f"the and thing {w} ering of wher") for i, w in enumerate(gapped + clean)]
+    found = X.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS), held_out()).collect()
+    by_id = {r["doc_id"]: r["predicted"] for r in found}
+    assert [by_id[10_000 + i] for i in range(9)] == [1] * 5 + [0] * 4
+
+
+def test_a_rare_family_of_words_is_learnt(spark):
+    docs, labels = corpus()
+    rnd = np.random.default_rng(1)
+    insults = ["".join(rnd.choice(list("bcdfgklmpuvxyz"), 8)) for _ in range(30)]  # as many as would take all places of telling units
+    docs += [(1_000 + i, ". ".join(" ".join([insults[(i * 6 + k) % 30], *rnd.choice(FILLER, 9)]) for k in range(6))) for i in range(300)]
+    labels += [(1_000 + i, 1, 1) for i in range(300)]
+    ends = [a + b for a in ("que", "ado", "rr", "ci", "te", "ja", "oso", "lli") for b in ("a", "es", "ito", "um", "or", "")]
+    for i in range(200):  # no word of the family is common, and clean documents hold one of it now and then
+        words = rnd.choice(FILLER, 60).tolist()
+        toxic = i % 4 == 0
+        for at in rnd.choice(60, 5 if toxic else int(i % 8 == 1), replace=False):
+            words[at] = "bomente" + ends[rnd.integers(len(ends))]
+        docs.append((2_000 + i, ". ".join(" ".join(words[k : k + 10]) for k in range(0, 60, 10))))
+        labels.append((2_000 + i, 1, int(toxic)))
+    found = X.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS), held_out()).collect()
+    by_id = {r["doc_id"]: r for r in found}
+    held = [(by_id[i]["predicted"], y, "bomente" in text) for (i, text), (_, _, y) in zip(docs, labels, strict=True) if i >= 2_000 and by_id[i]["held_out"]]
+    # not asserted: clean documents that hold one word of the family, which are still predicted 1
+    assert np.mean([p for p, y, _ in held if y]) > 0.8 and not any(p for p, y, some in held if not some)
