@@ -56,7 +56,7 @@ _LOOSE = (
     re.compile(r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{2,6}){2,4}(?![0-9])"),
     re.compile(r"(?<![\w.+-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?![\w-])"),
 )
-_SPELT = re.compile(r"[(\[{]dot[)\]}]|\sdot\s|[(\[{]at[)\]}]", re.I)
+_SPELT = re.compile(r"[(\[{]dot[)\]}]|\sdot\s|[(\[{]at[)\]}]|\sat\s", re.I)
 
 
 def _digits(text: str) -> str:

@@ -96,3 +96,8 @@ def test_redaction(spark):
     assert got[1] is None and got[4] == dict(edge_texts())[4]
     assert got[12] == "[PHONE] [EMAIL] [IP]"
     assert P.redact(empty(spark)).count() == 0 and P.find_personal_data(empty(spark)).count() == 0
+
+
+def test_a_spelt_address_is_a_candidate_in_any_text():
+    for text in ("write to jane at example.com today", "write to jane at example.com today @"):
+        assert [text[s:e] for _, s, e in P.loose_spans(text, [])] == ["jane at example.com"]
