@@ -29,8 +29,10 @@ from postlens.runtime import stage
 # Fingerprints in a block at least, and blocks in the directory at most (but for one block per partition).
 BLOCK, DIRECTORY = 65_536, 65_536
 FANOUT = 8
-# Node pairs examined at once: 4 M pairs of two long indexes and their patterns take about 200 MB.
+# Node pairs examined at once, counted after their nodes have been opened on both sides: about 40 MB of indexes and patterns.
 FRONTIER = 1 << 20
+# Partners of a block that are sent with its codes in one frame (half a MB each).
+PARTNERS = 32
 SEED = 42
 
 
@@ -117,7 +119,7 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, limit: int) -> tu
     stack = [(*tops, start, start)]
     while stack:
         up, down, a, b = stack.pop()
-        if len(a) > FRONTIER:
+        if len(a) > FRONTIER // FANOUT**2:
             half = len(a) // 2
             stack += [(up, down, a[half:], b[half:]), (up, down, a[:half], b[:half])]
             continue
@@ -200,7 +202,9 @@ def near_links(codes: DataFrame, limit: int = 3, block: int = BLOCK) -> DataFram
                 both = masks & np.array([mask]).view(np.uint64)
                 near = np.bitwise_count((patterns ^ np.array([pattern]).view(np.uint64)) & both) <= limit
                 others = ids[near]
-                yield pd.DataFrame({"low": np.minimum(others, own), "high": np.maximum(others, own), "block": own, "codes": [codes_] * len(others)})
+                for at in range(0, len(others), PARTNERS):
+                    some = others[at : at + PARTNERS]
+                    yield pd.DataFrame({"low": np.minimum(some, own), "high": np.maximum(some, own), "block": own, "codes": [codes_] * len(some)})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")

@@ -103,3 +103,15 @@ def test_linked_groups(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = rows(linked_groups(spark.createDataFrame(pairs, "a long, b long"), "t"), "node", "root")
     assert got == sorted([(i, 1) for i in range(1, 41)] + [(90, 90), (95, 90), (100, 90)])
+
+
+def test_a_pair_of_blocks_needs_little_memory():
+    import tracemalloc
+
+    codes = np.random.default_rng(5).integers(0, 2**63, 1 << 15, dtype=np.uint64)
+    left, right = gray_sorted(codes[: 1 << 14]), gray_sorted(codes[1 << 14 :])
+    tracemalloc.start()
+    S.spanning_links(left, right, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
