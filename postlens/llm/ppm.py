@@ -37,7 +37,7 @@ from postlens.runtime import stage
 ORDER, ESCAPE = 5, 0.25
 END = b"\xff"
 # Bytes of text in a block, and in the runs in which its windows are read.
-BLOCK_BYTES, RUN_BYTES = 24 << 20, 2 << 20
+BLOCK_BYTES, RUN_BYTES = 24 << 20, 1 << 19
 # Parts into which requests are dealt: as many as blocks, within these bounds.
 LEAST_PARTS, PARTS = 16, 4096
 
@@ -152,17 +152,38 @@ class Block:
 
     def window_counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct windows, sorted, and how often the chosen texts hold them."""
-        keys, counts = [], []
+        sums = _Sums()
         for run, distinct, codes, lengths in self.read_runs():
             weight = np.repeat(chosen[run], lengths)
-            keys.append(distinct)
-            counts.append(np.bincount(codes[weight], minlength=len(distinct)))
-        if not keys:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        codes, distinct = pd.factorize(np.concatenate(keys))
-        total = np.bincount(codes, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-        order = np.argsort(distinct)
-        return distinct[order], total[order]
+            sums.add(distinct, np.bincount(codes[weight], minlength=len(distinct)))
+        return sums.result()
+
+
+class _Sums:
+    """Counts by key, merged run by run: what has come since the last merge is at most as long as the result."""
+
+    def __init__(self):
+        self.keys, self.counts, self.new, self.size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.new.append((keys, counts))
+        self.size += len(keys)
+        if self.size > max(len(self.keys), 1 << 18):
+            self._merge()
+
+    def _merge(self) -> None:
+        keys = np.concatenate([self.keys, *[k for k, _ in self.new]])
+        counts = np.concatenate([self.counts, *[c for _, c in self.new]])
+        self.new, self.size = [], 0
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            self._merge()
+        return self.keys, self.counts
 
 
 def _part_of_words(words: list[bytes], parts: int) -> np.ndarray:
@@ -442,15 +463,14 @@ def _scored(block: Block, ids: list, learned: np.ndarray, held: dict, parts: int
     base = np.array([float(worth[c].sum()) + end for c in block.codes])
     tokens = np.array([len(c) + 1 for c in block.codes], np.int64)
     found = np.array([int((counts[c] > 0).sum()) + (ends > 0) for c in block.codes], np.int64)
-    # all windows of the block, in the order in which they were asked for
-    runs = list(block.read_runs())
-    every = np.unique(np.concatenate([distinct for _, distinct, _, _ in runs])) if runs else np.empty(0, np.int64)
+    # all windows of the block, in the order in which they were asked for; the runs are read again rather than held
+    every, _ = block.window_counts(np.zeros(len(block.texts), bool))
     value = np.empty(len(every))
     place = dict(_grouped(_part_of_windows(every, parts), parts))
     for part, blob in held[WINDOWS]:
         value[place[part]] = np.frombuffer(blob, np.float32)
     score = np.empty(len(block.texts))
-    for run, distinct, codes, lengths in runs:
+    for run, distinct, codes, lengths in block.read_runs():
         per_byte = value[np.searchsorted(every, distinct)][codes]
         score[run] = np.add.reduceat(per_byte, np.cumsum(lengths) - lengths)
     return pa.RecordBatch.from_pydict(
