@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import chat, exact_dedup, packing, pii, ppm, quality, sentencepieces, simhash, token_file, toxicity
+from postlens.llm import chat, collocations, exact_dedup, language, packing, pii, ppm, quality, sentencepieces, simhash, token_file, toxicity, variants
 from postlens.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,7 +71,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    return language.languages(table(spark, sf_dir, "documents"), learn).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, share=100, top=2000)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), least_length=6, least=5, times=5, every=199)
+
+
+_DEALT = (
+    op1_toxicity, op2_sentencepiece, op3_ppm, op4_exact_dedup, op5_simhash, op6_token_file, op7_packing, op8_quality, op9_chat, op10_pii,
+    op11_language, op12_collocations, op13_variants,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_ppm, op4_exact_dedup, op5_simhash, op6_token_file, op7_packing, op8_quality, op9_chat, op10_pii)
+    f.__name__: f for f in _DEALT
 }
-SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_quality": quality.OP8_SQL, "op9_chat": chat.op9_sql()}
+SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op8_quality": quality.OP8_SQL, "op9_chat": chat.op9_sql(), "op12_collocations": collocations.op12_sql()}
