@@ -364,7 +364,7 @@ with cut as (
   select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) as piece
   from documents where text is not null),
 parts as (
-  select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), w -> w <> '') as words from cut),
+  select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') as words from cut),
 places as (
   select lang, words, unnest(range(1, len(words) + 1)) as i from parts),
 counted as (
