@@ -291,42 +291,62 @@ def _topic_posts() -> str:
 union all select 'post_topics', id, month, {columns} from ({stacked(True)}) where family = 'posts'"""
 
 
+def _psi(x: str) -> str:
+    """The derivative of log gamma by the steps and the series of ``topics.digamma``."""
+    z = f"(1.0::double / (({x} + 10) * ({x} + 10)))"
+    below = " + ".join(f"1.0::double / ({x} + {i})" for i in range(10))
+    series = f"{z} * (1.0::double / 12 - {z} * (1.0::double / 120 - {z} * (1.0::double / 252 - {z} * (1.0::double / 240 - {z} / 132))))"
+    return f"(ln({x} + 10) - 0.5::double / ({x} + 10) - {series} - ({below}))"
+
+
 def _topics() -> str:
-    """The passes of the topic model, one after the other: ``shares_<n>`` and ``weights_<n>``."""
-    ks, last = range(topics.TOPICS), topics.PASSES
-    start = ", ".join(f"floor({unit(f"'topics-{k}'", 'word')} * 1e6::double)::bigint as s{k}" for k in ks)
+    """The passes of the topic model, one after the other: ``weights_<n>`` and ``posts_<n>``; ``posts`` hold lists over their words."""
+    k, last, prior = topics.TOPICS, topics.PASSES, f"(1.0::double / {topics.TOPICS})"
+    draws = ", ".join(f"-ln(1.0::double - {unit(f"'topics-{i}'", 'word')})" for i in range(k))
     steps = [
         f"""{BASE},
 topic_counts as materialized (
   select id, word, count(*) as n from (select id, unnest(words) as word from base) group by id, word),
-weights_0 as materialized (select word, {start} from (select distinct word from topic_counts))"""
+weights_0 as materialized (
+  select word, list_transform(draws, lambda d: floor(n * (d / list_sum(draws)) * 1e6::double + 0.5::double)::bigint) as s
+  from (select word, sum(n)::bigint as n, [{draws}] as draws from topic_counts group by word))"""
     ]
-    p_sum, w_sum = (" + ".join(f"{x}{k}" for k in ks) for x in "pw")
-    scaled = ", ".join(f"(s{k} + {topics.WORD_PRIOR}::double) / (z{k} + {topics.WORD_PRIOR} * size)::double as p{k}" for k in ks)
-    sums = ", ".join(f"sum(s{k})::bigint as z{k}" for k in ks)
-    shares = ", ".join(
-        f"sum(floor((n * (p{k} / ({p_sum}))) * 1e6::double + 0.5::double)::bigint) over (partition by id)::bigint as t{k}" for k in ks
+    theta = f"list_transform(g, lambda x: exp({_psi('x')} - psi_all))"
+    inner = f"""list_transform([list_transform({{g}}, lambda x: exp({_psi('x')} - {_psi('list_sum({g})')}))], lambda t: {{body}})[1]"""
+    # one turn: the shares t, the ratios of the words, the new parameters, and how far they moved
+    turn = inner.replace("{g}", "g").replace(
+        "{body}",
+        f"""list_transform([list_transform(range(1, len(ns) + 1), lambda i: ns[i] / list_inner_product(bw[i], t))], lambda q:
+        list_transform(range(1, {k} + 1), lambda j: {prior} + t[j] * list_inner_product(q, bt[j])))[1]""",
     )
-    parts = ", ".join(f"(t{k} + {topics.POST_PRIOR}::double) * p{k} as w{k}" for k in ks)
-    new = ", ".join(f"sum(floor((n * (w{k} / ({w_sum}))) * 1e6::double + 0.5::double)::bigint)::bigint as s{k}" for k in ks)
-    kept = ", ".join(f"p{k}" for k in ks)
+    settled = f"""list_reduce(list_transform(range({topics.TURNS}), lambda i: []::double[]), lambda acc, step:
+      case when acc[{k + 1}] < {topics.TOLERANCE}::double then acc else
+      list_transform([acc[1 : {k}]], lambda g: list_transform([{turn}], lambda new:
+        list_append(new, list_sum(list_transform(range(1, {k} + 1), lambda j: abs(new[j] - g[j]))) / {k}))[1])[1] end,
+      list_append(list_transform(range({k}), lambda i: {prior} + list_sum(ns) / {k}), 1e9::double))"""
     for step in range(last + 1):
         steps.append(
-            f"""shares_{step} as materialized (
-  select id, word, n, {kept}, {shares}
-  from topic_counts join (
-    select word, {scaled} from weights_{step}, (select count(*)::bigint as size, {sums} from weights_{step})) using (word))"""
+            f"""expected_{step} as materialized (
+  select word, list_transform(range(1, {k} + 1), lambda j: exp({_psi('(s[j] / 1e6::double + ' + prior + ')')} - base[j])) as b
+  from weights_{step}, (select list_transform(z, lambda x: {_psi('x')}) as base from (select [{", ".join(f"sum(s[{j + 1}]) / 1e6::double + {prior} * count(*)" for j in range(k))}] as z from weights_{step}))),
+posts_{step} as materialized (
+  select id, words, ns, bw, {settled}[1 : {k}] as g from (
+    select *, list_transform(range(1, {k} + 1), lambda j: list_transform(bw, lambda b: b[j])) as bt from (
+      select id, list(word order by word) as words, list(n::double order by word) as ns, list(b order by word) as bw
+      from topic_counts join expected_{step} using (word) group by id)))"""
         )
         if step < last:
+            sums = ", ".join(f"sum(floor(t[{j + 1}] * b[{j + 1}] * (n / evidence) * 1e6::double + 0.5::double)::bigint)::bigint" for j in range(k))
             steps.append(
                 f"""weights_{step + 1} as materialized (
-  select word, {new} from (select word, n, {parts} from shares_{step}) group by word)"""
+  select word, [{sums}] as s from (
+    select word, n, b, t, list_inner_product(b, t) as evidence from (
+      select unnest(words) as word, unnest(ns) as n, unnest(bw) as b, {theta} as t
+      from (select *, {_psi('list_sum(g)')} as psi_all from posts_{step}))) group by word)"""
             )
-    listed = ", ".join(f"t{k}" for k in ks)
-    by_topic = " union all ".join(f"select {k} as topic, word, s{k} as weight from weights_{last}" for k in ks)
+    by_topic = " union all ".join(f"select {j} as topic, word, s[{j + 1}] as weight from weights_{last}" for j in range(k))
     steps.append(
-        f"""placed as (
-  select id, list_position([{listed}], list_max([{listed}])) - 1 as topic from (select distinct id, {listed} from shares_{last})),
+        f"""placed as (select id, list_position(g, list_max(g)) - 1 as topic from posts_{last}),
 topic_words as (
   select topic, string_agg(word, ' ' order by weight desc, word) as described
   from (select *, row_number() over (partition by topic order by weight desc, word) as place from ({by_topic}))
