@@ -14,20 +14,25 @@ among
 The second part depends on nothing but the two scores of q. Scores have two
 decimals, so there are at most 201 x 101 different pairs of them, on either
 side, however many posts there are.
+
+A training sample, in slices if need be, is searched as an index (see ``postings``) that goes
+to the queries: nothing is joined, and lists of frequent terms mostly stay unread. Only
+when that would take more than ``SEARCHES`` broadcasts the weights are joined on the term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from postlens import runtime
 from postlens.functions import scalars
-from postlens.operators import features
+from postlens.operators import features, postings
 
 SCORES = ("sentiment", "subjectivity")
 # Pairs of a query and a training row one task should see, roughly, and the bytes of
@@ -35,6 +40,8 @@ SCORES = ("sentiment", "subjectivity")
 PAIRS_PER_TASK, QUERY_BYTES_PER_TASK = 10_000_000, 8 * 1024 * 1024
 # Distances of score pairs and training cells that a task works out at most, roughly.
 CELLS_PER_TASK = 200_000_000
+# Broadcasts of indexes, one after the other, beyond which the weights are joined instead.
+SEARCHES = 16
 
 
 def neighbours(
@@ -58,12 +65,7 @@ def neighbours(
             raise ValueError(f"run {run}: {k} neighbours asked of {count} training rows")
 
     model = features.fit(train)
-    train_weights = runtime.stage(model.transform(train, broadcast_limit=broadcast_limit), "train-weights")
-    filled = train_weights.groupBy("run", "id").agg(F.max("blocks").alias("blocks"))
-    train_rows = runtime.stage(
-        train.select("run", "id", *SCORES, "category").join(filled, ["run", "id"], "left").fillna({"blocks": 0}),
-        "train-rows",
-    )
+    train_weights = runtime.stage(model.transform(train, broadcast_limit=broadcast_limit, numbered=True), "train-weights")
     parallel = query.sparkSession.sparkContext.defaultParallelism
     queries = {row["run"]: row["count"] for row in query.groupBy("run").count().collect()}
     pairs = sum(count * sizes.get(run, 0) for run, count in queries.items())
@@ -72,24 +74,107 @@ def neighbours(
         partitions = min(partitions, -(-runtime.byte_size(query) // QUERY_BYTES_PER_TASK))
     partitions = max(parallel, partitions)
 
+    limit = runtime.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
+    entries = {row["run"]: row["count"] for row in train_weights.groupBy("run").count().collect()}
+    known = {run: entries.get(run, 0) * postings.ENTRY_BYTES + count * postings.ROW_BYTES for run, count in sizes.items()}
+    if sum(known.values()) <= SEARCHES * limit:
+        return _searched(train, train_weights, query, model, known, k, partitions, limit)
+    return _joined(train, train_weights, query, model, k, partitions, broadcast_limit)
+
+
+def _bags(weights: DataFrame, rows: DataFrame, carry: list[str]) -> DataFrame:
+    """One row per post, also without known terms: ``run, id``, ``carry``, ``blocks, terms, weights, kinds``."""
+    kind = F.array_position(F.array(*[F.lit(b) for b in features.BLOCKS]), F.col("block")) - 1
+    term = F.struct("term", "weight", kind.cast("int").alias("kind"))
+    filled = weights.select("run", "id", *carry, "blocks", term.alias("entry"))
+    bare = rows.select("run", "id", *carry, F.lit(0).alias("blocks"), F.lit(None).cast(filled.schema["entry"].dataType).alias("entry"))
+    entries = F.array_sort(F.collect_list("entry"))
+    grouped = filled.unionByName(bare).groupBy("run", "id", *carry).agg(F.max("blocks").alias("blocks"), entries.alias("entries"))
+    fields = {"terms": "term", "weights": "weight", "kinds": "kind"}
+    return grouped.select("run", "id", *carry, "blocks", *[F.col(f"entries.{field}").alias(name) for name, field in fields.items()])
+
+
+def _searched(train, train_weights, query, model, known, k, partitions, limit):
+    """The neighbours by indexes of the training rows, which are broadcast one pack of runs after the other."""
+    rows = train.select("run", "id", *SCORES, "category")
+    bags = _bags(train_weights, rows.select("run", "id"), []).join(rows, ["run", "id"])
+    # a run that is larger than a broadcast is dealt into slices, each searched by itself
+    slices = {run: -(-size // max(limit, 1)) if size > limit else 1 for run, size in known.items()}
+    if len(set(slices.values()) | {1}) > 1:
+        listed = F.create_map(*[x for run, n in slices.items() for x in (F.lit(run), F.lit(n))])
+        bags = bags.withColumn("slice", F.pmod(F.xxhash64("id"), listed[F.col("run")]).cast("int"))
+    else:
+        bags = bags.withColumn("slice", F.lit(0))
+    bags = runtime.stage(bags, "train-bags")
+    ids = query.select("run", "id", *SCORES).repartition(partitions, "id")
+    asked = _bags(model.transform(query, SCORES, partitions, limit, numbered=True), ids, list(SCORES))
+    units = {(run, part): known[run] // slices[run] for run in known for part in range(slices[run])}
+    groups = packs(units, limit)
+    if len(groups) > 1:
+        asked = runtime.stage(asked, "query-bags")
+    found = [_search(bags, asked, group, k, partitions if len(groups) > 1 else None) for group in groups]
+    result = reduce(DataFrame.unionByName, found)
+    if max(slices.values(), default=1) > 1:  # the best of a run's slices
+        order = Window.partitionBy("run", "id").orderBy("distance2", "train_id")
+        result = result.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return result
+
+
+def _search(bags: DataFrame, asked: DataFrame, units: list[tuple[int, int]], k: int, partitions: int | None) -> DataFrame:
+    runs = sorted({run for run, _ in units})
+    chosen = reduce(lambda a, b: a | b, [(F.col("run") == run) & (F.col("slice") == part) for run, part in units])
+    table = bags.filter(chosen).toArrow()  # of checked size
+    run_, slice_ = (table[c].to_numpy() for c in ("run", "slice"))
+    indexes = {unit: tuple(postings.build(table.filter(pa.array((run_ == unit[0]) & (slice_ == unit[1]))))) for unit in units}
+    sent = bags.sparkSession.sparkContext.broadcast({unit: x for unit, x in indexes.items() if len(x[0])})
+    if partitions is not None:
+        asked = asked.filter(F.col("run").isin(runs)).repartition(partitions, "id")
+    kinds = dict(asked.dtypes)
+    names = ["run", "id", "rank", "train_id", "category", "distance2"]
+    schema = f"run int, id {kinds['id']}, rank int, train_id {kinds['id']}, category string, distance2 double"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for (run, _), x in sent.value.items():
+            held.setdefault(run, []).append(postings.Index(*x))
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("run", "id", *SCORES, "blocks")]
+            out = {name: [] for name in names}
+            for place, (run, own, one, two, blocks) in enumerate(zip(*columns, strict=True)):
+                terms, weights, sorts = (batch.column(c)[place].values.to_numpy(zero_copy_only=False) for c in ("terms", "weights", "kinds"))
+                for index in held.get(run, []):
+                    at, distance, _ = postings.nearest(index, terms, weights, sorts, (one, two), min(k, len(index.ids)))
+                    n = len(at)
+                    out["run"] += [run] * n
+                    out["id"] += [own] * n
+                    out["rank"] += range(1, n + 1)
+                    out["train_id"] += index.ids[at].tolist()
+                    out["category"] += [index.category[i] for i in at.tolist()]
+                    out["distance2"] += (np.round(distance + blocks, 9) + 0.0).tolist()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "run": pa.array(out["run"], pa.int32()),
+                    "id": pa.array(out["id"], batch.schema.field("id").type),
+                    "rank": pa.array(out["rank"], pa.int32()),
+                    "train_id": pa.array(out["train_id"], batch.schema.field("id").type),
+                    "category": pa.array(out["category"], pa.string()),
+                    "distance2": pa.array(out["distance2"], pa.float64()),
+                }
+            )
+
+    return asked.select("run", "id", *SCORES, "blocks", "terms", "weights", "kinds").mapInArrow(work, schema)
+
+
+def _joined(train, train_weights, query, model, k, partitions, broadcast_limit):
+    """The neighbours by joins on the term, for samples of any size."""
+    filled = train_weights.groupBy("run", "id").agg(F.max("blocks").alias("blocks"))
+    train_rows = runtime.stage(
+        train.select("run", "id", *SCORES, "category").join(filled, ["run", "id"], "left").fillna({"blocks": 0}),
+        "train-rows",
+    )
     query_weights = model.transform(query, SCORES, partitions, broadcast_limit)
     first = _first_without_terms(train_rows, query, k, partitions, broadcast_limit)
-    # runs are searched together as long as their training weights fit a broadcast
-    limit = runtime.BROADCAST_BYTES if broadcast_limit is None else broadcast_limit
-    sent = train_weights.select(*features.TERM, "id", "weight", "df")
-    bytes_by_run = sent.groupBy("run").agg(F.sum(runtime.row_bytes(sent)).alias("bytes")).collect()
-    known = {row["run"]: row["bytes"] for row in bytes_by_run}
-    groups = packs({run: known.get(run, 0) for run in sizes}, limit)
-    if len(groups) < 2:
-        return _nearest(query_weights, train_weights, train_rows, first, model, k, broadcast_limit)
-    query_weights = runtime.stage(query_weights, "query-weights")
-
-    def search(runs: list[int]) -> DataFrame:
-        own = F.col("run").isin(runs)
-        placed = query_weights.filter(own).repartition(partitions, "id")
-        return _nearest(placed, train_weights.filter(own), train_rows.filter(own), first.filter(own), model, k, broadcast_limit)
-
-    return reduce(DataFrame.unionByName, [search(runs) for runs in groups])
+    return _nearest(query_weights, train_weights, train_rows, first, model, k, broadcast_limit)
 
 
 def _nearest(query_weights, train_weights, train_rows, first, model, k, broadcast_limit):
@@ -125,7 +210,7 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumns({score: scalars.round_half_even(F.col(score)) for score in SCORES})
 
 
-def packs(sizes: dict[int, int], limit: int) -> list[list[int]]:
+def packs(sizes: dict, limit: int) -> list[list]:
     """Runs in groups whose sizes add up to ``limit`` at most; a larger run stays alone."""
     groups, room = [], []
     for run, size in sorted(sizes.items(), key=lambda item: (-item[1], item[0])):

@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postlens import runtime
-from postlens.operators import features, knn
+from postlens.operators import features, knn, postings
 from tests.conftest import rows
 
 BLOCKS = features.BLOCKS
@@ -215,3 +217,63 @@ def test_scores_are_rounded_inside(spark):
     t, q = frames(spark, train, query)
     off = q.withColumn("sentiment", F.col("sentiment") + 0.0004)
     assert rows(knn.neighbours(t, off, 3), "id", "rank", "train_id") == rows(knn.neighbours(t, q, 3), "id", "rank", "train_id")
+
+
+def indexed(rng, n, size, terms_):
+    """An index of rows of random terms, the first ones in most rows, and its rows as dictionaries."""
+    own = []
+    for i in range(n):
+        blocks = {}
+        for kind in range(3):
+            drawn = {int(terms_ * rng.random() ** 3) * 3 + kind: rng.random() for _ in range(rng.randint(0, size))}
+            length = math.sqrt(sum(w * w for w in drawn.values()))
+            blocks |= {t: w / length for t, w in drawn.items()}
+        own.append((i * 3, len({t % 3 for t in blocks}), rng.randint(-9, 9) / 100, rng.randint(0, 9) / 100, rng.choice("AB"), blocks))
+    own[5] = (15, *own[4][1:])
+    columns = [[r[i] for r in own] for i in range(5)] + [[sorted(r[5]) for r in own], [[r[5][t] for t in sorted(r[5])] for r in own]]
+    names = ["id", "blocks", "sentiment", "subjectivity", "category", "terms", "weights"]
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    table = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    return postings.build(table.take(list(reversed(range(n))))), own
+
+
+def test_an_index_gives_the_rows_of_a_full_comparison_from_fewer_entries():
+    rng = random.Random(6)
+    index, own = indexed(rng, 400, 12, 60)
+    assert index.ids.tolist() == [r[0] for r in own]
+    read = {True: 0, False: 0}
+    for place in range(0, 400, 7):
+        query = dict(own[place][5]) if place % 2 else {t: w for t, w in own[place][5].items() if rng.random() < 0.6}
+        query[10**6] = 0.3  # not in the index
+        if place == 0:
+            query = {}
+        scores = (0.03, 0.02)
+        expected = sorted(
+            (round(b - 2 * sum(w * query.get(t, 0) for t, w in terms.items()) + (scores[0] - s) ** 2 + (scores[1] - u) ** 2, 9) + 0.0, i)
+            for i, b, s, u, _, terms in own
+        )[:6]
+        terms = np.array(list(query), np.int64)
+        for pruned in (True, False):
+            at, distance, n = postings.nearest(index, terms, np.array(list(query.values()), float), terms % 3, scores, 6, pruned)
+            assert [(pytest.approx(d, abs=2e-9), i) for d, i in expected] == list(zip(distance.tolist(), index.ids[at].tolist(), strict=True))
+            read[pruned] += n
+    assert read[True] < read[False]
+
+
+def test_an_index_of_rows_without_terms():
+    index, _ = indexed(random.Random(1), 9, 0, 5)
+    assert len(index.vocabulary) == 0
+    at, _, read = postings.nearest(index, np.array([1]), np.array([1.0]), np.array([0]), (0.0, 0.0), 4)
+    assert len(at) == 4 and read == 0
+
+
+def test_a_sample_beyond_a_broadcast_is_searched_in_slices(spark, monkeypatch):
+    train, query = fixture()
+    t, q = frames(spark, train, query)
+    columns = ["run", "id", "rank", "train_id", "category", "distance2"]
+    whole = rows(knn.neighbours(t, q, 4), *columns)
+    monkeypatch.setattr(knn, "SEARCHES", 8)
+    found = knn.neighbours(t, q, 4, 8_000)
+    assert rows(found, *columns) == whole
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") > 1
