@@ -8,11 +8,16 @@ name endings, calling codes and card ranges, words that stand before, what touch
 the span, and how its digits look. The votes are counted over all documents; each
 distinct pattern of votes is one row, so expectation-maximisation (Dawid and Skene)
 over the patterns estimates every labeler's reliability, and from its posteriors a
-logistic classifier of spans is trained. Candidates that it accepts are added.
+logistic classifier of spans is trained, which also sees what the labelers do not: a few
+signs of the span itself and of what stands around it. Candidates that it accepts are added.
+
+A bare dot in a spelt-out address has no white space around it, and a bare "at" needs a
+domain in lower case and a word such as mail or write before it: prose is full of both.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -20,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.common import map_texts, texts
+from postlens.llm.common import map_texts, stage_packed, texts
 from postlens.runtime import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -48,14 +53,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_AT = r"\s{0,2}(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s{0,2}"
-_DOT = r"\s{0,2}(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s{0,2}"
+_AT = r"(?:\s?@\s?|\s{0,2}(?:\(at\)|\[at\]|\{at\})\s{0,2}|\sat\s)"
+_DOT = r"(?:\.|\s{0,2}(?:\(dot\)|\[dot\]|\{dot\})\s{0,2}|\sdot\s)"
 _LOOSE = (
     re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.I),
     re.compile(r"(?<![0-9.\[(])[0-9]{1,3}(?:\[\.\]|\(\.\)|\s?\.\s?)[0-9]{1,3}(?:\[\.\]|\(\.\)|\s?\.\s?)[0-9]{1,3}(?:\[\.\]|\(\.\)|\s?\.\s?)[0-9]{1,3}(?![0-9])"),
     re.compile(r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,2}[0-9]{2,6}){2,4}(?![0-9])"),
     re.compile(r"(?<![\w.+-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?![\w-])"),
 )
+_BARE_AT = re.compile(r"\sat\s", re.I)
 _SPELT = re.compile(r"[(\[{]dot[)\]}]|\sdot\s|[(\[{]at[)\]}]|\sat\s", re.I)
 
 
@@ -102,6 +108,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _spelt_out(text: str, match: re.Match) -> bool:
+    """Whether words around a bare "at" are an address: a known ending in lower case, and a word that announces one."""
+    domain = re.sub(r"\s", "", re.sub(_DOT, ".", _BARE_AT.split(match[0])[-1], flags=re.I))
+    return domain.islower() and domain.rpartition(".")[2] in ENDINGS and CUES[0].search(text[max(0, match.start() - BEFORE) : match.start()]) is not None
+
+
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further candidates, clear of the base spans and of each other."""
     kinds = []
@@ -109,15 +121,27 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         kinds.append(0)
     if _DIGIT.search(text):
         kinds += [1, 2, 3]
-    taken, found = sorted((s, e) for _, s, e in base), []
+    # taken stretches, joined where they overlap, in order
+    starts, stops = [], []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if stops and s < stops[-1]:
+            stops[-1] = max(stops[-1], e)
+        else:
+            starts.append(s)
+            stops.append(e)
+    found = []
     for kind in kinds:
         for m in _LOOSE[kind].finditer(text):
             digits = _digits(m[0])
             if kind == 2 and not 13 <= len(digits) <= 19 or kind == 3 and not 9 <= len(digits) <= 15:
                 continue
-            if all(m.end() <= s or e <= m.start() for s, e in taken):
+            if kind == 0 and _BARE_AT.search(m[0]) and not _spelt_out(text, m):
+                continue
+            at = bisect.bisect_right(stops, m.start())
+            if at == len(starts) or m.end() <= starts[at]:
                 found.append((kind, m.start(), m.end()))
-                taken.append((m.start(), m.end()))
+                starts.insert(at, m.start())
+                stops.insert(at, m.end())
     return found
 
 
@@ -169,24 +193,43 @@ def _decode(code: int) -> tuple[int, list[int]]:
 
 
 PATTERNS = len(KINDS) * 3 ** len(LABELERS)
+SIGNS = 6  # bits of ``signs``
+
+
+def signs(text: str, start: int, stop: int) -> int:
+    """What the classifier sees beside the votes, one bit each.
+
+    White space, brackets, and a capital inside; a colon, and a number, right before; a number right behind.
+    """
+    span, before, behind = text[start:stop], text[max(0, start - 3) : start], text[stop : stop + 3]
+    own = any(map(str.isspace, span)), any(c in "()[]{}" for c in span), any("A" <= c <= "Z" for c in span)
+    around = ":" in before, _DIGIT.search(before) is not None, _DIGIT.search(behind) is not None
+    return sum(bit << i for i, bit in enumerate((*own, *around)))
 
 
 @dataclass(frozen=True)
 class SpanClassifier:
-    """``accepts[pattern]``: the classifier's probability for each kind and pattern of votes."""
+    """A logistic classifier of spans by kind, votes and signs, and the labelers' reliabilities by kind."""
 
-    accepts: tuple[float, ...]
+    weights: tuple[float, ...]
     reliabilities: tuple[tuple[float, ...], ...]
 
+    def accepts(self, patterns: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The probability of each pattern of votes with each set of signs."""
+        return 1 / (1 + np.exp(-np.clip(_features(patterns, seen) @ np.array(self.weights), -30, 30)))
 
-def _features() -> np.ndarray:
-    rows = np.zeros((PATTERNS, len(KINDS) + 2 * len(LABELERS)))
-    for code in range(PATTERNS):
+
+def _features(patterns: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Kinds, votes for and against, and the signs of each kind."""
+    rows = np.zeros((len(patterns), len(KINDS) * (1 + SIGNS) + 2 * len(LABELERS)))
+    for row, code, bits in zip(rows, np.asarray(patterns).tolist(), np.asarray(seen).tolist(), strict=True):
         kind, own = _decode(code)
-        rows[code, kind] = 1
+        row[kind] = 1
         for i, vote in enumerate(own):
             if vote:
-                rows[code, len(KINDS) + 2 * i + (vote < 0)] = 1
+                row[len(KINDS) + 2 * i + (vote < 0)] = 1
+        for i in range(SIGNS):
+            row[len(KINDS) + 2 * len(LABELERS) + kind * SIGNS + i] = bits >> i & 1
     return rows
 
 
@@ -219,35 +262,39 @@ def estimate(counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarr
     return posterior, reliability
 
 
-def train(counts: np.ndarray, posterior: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on the patterns, weighted by their counts; the probability of each pattern."""
-    x = _features()
-    weight = np.zeros(x.shape[1])
+def train(patterns: np.ndarray, seen: np.ndarray, counts: np.ndarray, posterior: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights of a logistic regression on patterns and signs, by their counts and the posteriors of all patterns."""
     # every pattern takes part a little, so that one not seen in this corpus is judged by its votes
-    n = counts + 0.01
+    x = _features(np.concatenate((patterns, np.arange(PATTERNS))), np.concatenate((seen, np.zeros(PATTERNS, int))))
+    n = np.concatenate((counts, np.full(PATTERNS, 0.01)))
+    y = np.concatenate((posterior[patterns], posterior))
+    weight = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
-        slope = x.T @ (n * (posterior - p)) - ridge * weight
+        slope = x.T @ (n * (y - p)) - ridge * weight
         curve = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(weight))
         step = np.linalg.solve(curve, slope)
         weight += step / max(1.0, np.abs(step).max() / 2)
-    return 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
+    return weight
 
 
-_SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("pattern", pa.int32())]))
-SPANS = "array<struct<kind:int,start:int,stop:int,pattern:int>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("pattern", pa.int32()), ("signs", pa.int32())]))
+SPANS = "array<struct<kind:int,start:int,stop:int,pattern:int,signs:int>>"
 
 
 def _read(text: str) -> tuple[list[dict], list[dict]]:
     base = base_spans(text)
     rows = []
     for spans in (base, loose_spans(text, base)):
-        rows.append([{"kind": k, "start": s, "stop": e, "pattern": _code(k, votes(text, k, s, e))} for k, s, e in spans])
+        rows.append([{"kind": k, "start": s, "stop": e, "pattern": _code(k, votes(text, k, s, e)), "signs": signs(text, s, e)} for k, s, e in spans])
     return rows[0], rows[1]
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, base, loose``: spans with their patterns of votes, one row per row of ``docs``."""
+    """``doc_id, base, loose``: spans with their patterns of votes and signs, one row per row of ``docs``.
+
+    Null and empty texts have no spans; repeated rows get a row each; an empty table gives an empty result.
+    """
 
     def work(batch):
         base, loose = zip(*map(_read, batch.column("text").to_pylist()), strict=True)
@@ -256,14 +303,26 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return map_texts(texts(docs, doc_id, text), work, f"doc_id long, base {SPANS}, loose {SPANS}")
 
 
-def fit(found: DataFrame) -> SpanClassifier:
-    """The classifier of ``candidates``, from the counts of all their patterns (fewer than a thousand)."""
-    rows = found.select(F.explode(F.concat("base", "loose")["pattern"]).alias("pattern")).groupBy("pattern").count().collect()
-    counts = np.zeros(PATTERNS)
-    for row in rows:
-        counts[row["pattern"]] = row["count"]
-    posterior, reliability = estimate(counts)
-    return SpanClassifier(tuple(train(counts, posterior).tolist()), tuple(map(tuple, reliability.tolist())))
+def _seen(base: str, loose: str, found: DataFrame) -> np.ndarray:
+    """``pattern, signs, count`` of all spans: at most PATTERNS * 2**SIGNS rows, some hundreds in practice."""
+    one = F.explode(F.concat(base, loose)).alias("span")
+    rows = found.select(one).groupBy("span.pattern", "span.signs").count().collect()
+    return np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 3)
+
+
+def fit(found: DataFrame, base: str = "base", loose: str = "loose") -> tuple[SpanClassifier, list[tuple[int, int]]]:
+    """The classifier of ``candidates``, from the counts of all their patterns, and the patterns and signs that it accepts."""
+    patterns, seen, n = _seen(base, loose, found).T
+    posterior, reliability = estimate(np.bincount(patterns, weights=n, minlength=PATTERNS))
+    model = SpanClassifier(tuple(train(patterns, seen, n.astype(float), posterior).tolist()), tuple(map(tuple, reliability.tolist())))
+    taken = model.accepts(patterns, seen) >= ACCEPT
+    return model, list(zip(patterns[taken].tolist(), seen[taken].tolist(), strict=True))
+
+
+def _added(accepted: list[tuple[int, int]], loose: str):
+    codes = [pattern << SIGNS | bits for pattern, bits in accepted]
+    known = F.array(*[F.lit(c) for c in codes]) if codes else F.array().cast("array<int>")
+    return F.filter(loose, lambda s: F.array_contains(known, F.shiftleft(s["pattern"], SIGNS) + s["signs"]))
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,33 +333,41 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classifier rests on its priors. An empty table gives an empty result.
     """
     found = stage(candidates(docs, doc_id, text), "candidates")
-    accepted = sorted(i for i, p in enumerate(fit(found).accepts) if p >= ACCEPT)
-    known = F.array(*[F.lit(i) for i in accepted]) if accepted else F.array().cast("array<int>")
-    return found.select("doc_id", "base", F.filter("loose", lambda s: F.array_contains(known, s["pattern"])).alias("added"))
+    return found.select("doc_id", "base", _added(fit(found)[1], "loose").alias("added"))
 
 
-def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with all columns, base spans and accepted candidates in its texts replaced by ``[KIND]``."""
-    accepts = fit(stage(candidates(docs, doc_id, text), "candidates")).accepts
-
-    @F.pandas_udf("string")
-    def replace(column):
-        return column.map(lambda t: t if t is None else redacted(t, accepts))
-
-    return docs.withColumn(text, replace(F.col(f"`{text}`")))
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with all columns, base spans and accepted candidates in its texts replaced by ``[KIND]``.
 
+    The texts are searched once: rows are staged with their spans, and what is replaced
+    follows from these. Null texts stay null; repeated rows and columns of any name
+    stay; where spans overlap, the one that begins first counts. An empty table gives an empty one.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    plain = docs.toDF(*names).withColumn("text", F.coalesce(names[at], F.lit("")))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.drop("text").schema.fields]
 
-def redacted(text: str, accepts: tuple[float, ...]) -> str:
-    base, loose = _read(text)
-    spans = sorted((s["start"], s["stop"], s["kind"]) for s in base + [x for x in loose if accepts[x["pattern"]] >= ACCEPT])
-    parts, at = [], 0
-    for start, stop, kind in spans:
-        if stop <= at:
-            continue  # inside what has been replaced already
-        if start >= at:
-            parts += [text[at:start], f"[{KINDS[kind].upper()}]"]
-        at = stop
-    return "".join([*parts, text[at:]])
+    def work(batch):
+        base, loose = zip(*map(_read, batch.column("text").to_pylist()), strict=True)
+        return {name: batch.column(name) for name in names} | {"base": pa.array(base, _SPANS), "loose": pa.array(loose, _SPANS)}
+
+    found = stage_packed(map_texts(plain, work, ", ".join([*fields, f"base {SPANS}", f"loose {SPANS}"])), "spans")
+    spans = F.array_sort(F.transform(F.concat("base", _added(fit(found)[1], "loose")), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    # text so far, and the place up to which it has been read
+    begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    own = F.col(names[at])
+
+    def step(held, s):
+        between = F.substring(own, held["at"] + 1, s["start"] - held["at"])
+        ahead = F.struct(F.concat(held["done"], between, F.element_at(marks, s["kind"] + 1)).alias("done"), s["stop"].alias("at"))
+        inside = F.struct(held["done"].alias("done"), F.greatest(held["at"], s["stop"]).alias("at"))
+        return F.when(s["start"] >= held["at"], ahead).otherwise(inside)
+
+    replaced = F.aggregate(spans, begin, step, lambda held: F.concat(held["done"], F.substring(own, held["at"] + 1, F.length(own))))
+    columns = [F.when((F.size("base") > 0) | (F.size("loose") > 0), replaced).otherwise(own) if i == at else F.col(n) for i, n in enumerate(names)]
+    return found.select(*[c.alias(n) for c, n in zip(columns, docs.columns, strict=True)])
 
 
 def span_digest(found: DataFrame) -> DataFrame:

@@ -51,7 +51,9 @@ def test_estimates_tell_good_labelers_from_bad_ones():
         truth.setdefault(code, []).append(real)
     posterior, reliability = P.estimate(counts)
     assert reliability[3, 0] > 0.85 and reliability[3, 3] < 0.7
-    accepts = P.train(counts, posterior)
+    patterns = np.flatnonzero(counts)
+    weights = P.train(patterns, np.zeros(len(patterns), int), counts[patterns], posterior)
+    accepts = P.SpanClassifier(tuple(weights), ()).accepts(np.arange(P.PATTERNS), np.zeros(P.PATTERNS, int))
     right = sum(sum(r == (accepts[c] >= 0.5) for r in own) for c, own in truth.items())
     assert right > 0.95 * 4000
 
@@ -101,3 +103,51 @@ def test_redaction(spark):
 def test_a_spelt_address_is_a_candidate_in_any_text():
     for text in ("write to jane at example.com today", "write to jane at example.com today @"):
         assert [text[s:e] for _, s, e in P.loose_spans(text, [])] == ["jane at example.com"]
+
+
+PROSE = [
+    "The thing inged at rewhre. In the end this ended at. Be there", "This at ntat.\nBe at and. It was", "look at example.com for more", "at home.It rained at noon.no doubt",
+    "meet us at the bar. De facto, at es. Me too", "a @ b, c at d. e", "Nd at Nd. At last at us. In it",
+]
+
+
+def test_prose_has_no_added_spans(spark):
+    found = P.find_personal_data(of(spark, PROSE + ["write to jane at example.com today", "mail me @ jane @ example.org"] + ["mail a.b@c.com and +1 (017) 555-7713"] * 5)).collect()
+    added = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["added"]] for r in found}
+    assert not any(added[i] for i in range(len(PROSE)))
+    assert added[len(PROSE)] == [(0, 9)]
+
+
+def test_clean_documents_are_left_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = P.find_personal_data(docs).where("size(added) > 0").join(docs, "doc_id")
+    assert [r["text"][s["start"] : s["stop"]] for r in found.collect() for s in r["added"]] == []
+
+
+def test_signs_reach_the_classifier():
+    patterns = np.array([P._code(3, (1, 0, 0, 1, 1))] * 2)
+    # the same votes; those with a colon before are data
+    posterior = np.full(P.PATTERNS, 0.5)
+    posterior[P._code(3, (1, 1, 1, 1, 1))], posterior[P._code(3, (-1, -1, -1, -1, -1))] = 0.99, 0.01
+    sure = np.array([P._code(3, (1, 1, 1, 1, 1)), P._code(3, (-1, -1, -1, -1, -1))])
+    weights = P.train(np.concatenate((patterns, sure)), np.array([8, 0, 8, 0]), np.array([5.0, 5.0, 200.0, 200.0]), posterior)
+    high, low = P.SpanClassifier(tuple(weights), ()).accepts(patterns, np.array([8, 0]))
+    assert high > low
+
+
+def test_many_candidates_of_one_text_take_time_in_proportion():
+    import time
+
+    def spent(n):
+        text = " ".join(f"{1000 + i}-{i % 90 + 10:02d}-{i % 9000 + 1000}" for i in range(n))
+        begin = time.perf_counter()
+        assert len(P.loose_spans(text, [])) >= n // 3
+        return time.perf_counter() - begin
+
+    spent(1000)
+    assert spent(20_000) < 60 * max(spent(1000), 0.01)
+
+
+def test_redaction_of_overlapping_spans_and_odd_columns(spark):
+    docs = spark.createDataFrame([("a@1.2.3.4 b", 1, "x"), ("\U0001f600 +4111111111111111 é", 2, "y"), (None, 3, "z")], "text string, base int, loose string")
+    assert [tuple(r) for r in P.redact(docs).orderBy("base").collect()] == [("[EMAIL] b", 1, "x"), ("\U0001f600 +[CARD] é", 2, "y"), (None, 3, "z")]
