@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,7 +12,7 @@ from postlens import runtime
 from postlens.operators import labels, ngrams, topics
 from postlens.plans import enrich, model_runs
 from postlens.schemas import RAW_VALIDATION_POSTS
-from postlens.sources import capture, files
+from postlens.sources import capture, commits, files
 
 
 def capture_months(
@@ -37,14 +39,31 @@ def process_files(
     foreign: bool = False,
     rejects: str | None = None,
 ) -> None:
-    """Clean all captured posts and add them to the five stored families.
+    """Clean the captured posts and add them to the five stored families, all five in one step.
 
-    ``foreign`` captures are CSV files; their unreadable rows go to ``rejects``, or
-    without it the job fails.
+    With ``append`` only capture files are read that no earlier run has taken in, so that the
+    job may be run again at any time: after a failure, which leaves readers the state
+    before, and when there are new captures. With ``overwrite`` all files are read and their
+    posts replace what is stored. Either way nothing is written if there is nothing to do.
+
+    ``foreign`` captures are CSV files; their unreadable rows go to ``rejects``, one
+    folder per run, or without it the job fails.
     """
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"mode {mode}: append or overwrite")
     with runtime.job_scratch(spark):
-        raw = files.read_raw(spark, captures, rejects=rejects) if foreign else files.read_captures(spark, captures)
-        files.write_families(enrich.process_raw(raw, lexicon, staged=True), output, mode)
+        done = commits.committed_inputs(spark, output) if mode == "append" else set()
+        new = sorted(set(files.capture_files(spark, captures, foreign)) - done)
+        if not new:
+            return
+        # the same files give the same key: a run after a failure takes the place of the one that failed
+        key = hashlib.sha256("\n".join([mode, *new]).encode()).hexdigest()[:16]
+        if mode == "overwrite":
+            key = f"{key}-{uuid.uuid4().hex[:8]}"
+        refused = None if rejects is None else f"{rejects}/commit={key}"
+        raw = files.read_raw(spark, new, rejects=refused, mode="overwrite") if foreign else files.read_captures(spark, new)
+        families = enrich.process_raw(raw, lexicon, staged=True)
+        commits.commit(spark, output, key, families, new, "month", replaces=mode == "overwrite")
 
 
 def assign_topics(spark: SparkSession, families: str, output: str, **options) -> None:

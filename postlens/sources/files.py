@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from postlens import runtime
 from postlens.functions import entities
 from postlens.schemas import FAMILIES, RAW_POSTS, RAW_POSTS_FILE
+from postlens.sources import commits
 
 # Posts contain line breaks and quotes; blanks at their ends are kept.
 CSV_OPTIONS = {
@@ -48,12 +50,13 @@ def _instant(text):
     return F.coalesce(F.try_to_timestamp(text, whole), F.try_to_timestamp(F.concat(text, F.lit(" 00:00:00+00:00")), whole))
 
 
-def typed(rows: DataFrame, schema: T.StructType, rejects: str | None = None) -> DataFrame:
+def typed(rows: DataFrame, schema: T.StructType, rejects: str | None = None, mode: str = "append") -> DataFrame:
     """Rows of text with their types; ``capture`` stays if it is there.
 
     Rows that are torn, that hold a number, a date or a hashtag list which cannot
-    be read, or that have no id or date, are never dropped in silence: they are
-    added to the Parquet folder ``rejects``, or without one the job fails.
+    be read, or that have no id or date, are never dropped in silence: they go to the
+    Parquet folder ``rejects`` (by ``mode``), or without one the job fails. With a folder
+    ``rows`` is read twice and should be staged.
     """
     readers = {T.LongType(): lambda c: c.try_cast("long"), T.TimestampType(): _instant}
     parsed = {f.name: readers[f.dataType](F.col(f.name)) if f.dataType in readers else F.col(f.name) for f in schema.fields}
@@ -68,13 +71,13 @@ def typed(rows: DataFrame, schema: T.StructType, rejects: str | None = None) ->
         message = F.concat(F.lit("unreadable row, id "), F.coalesce("id", F.lit("missing")))
         good = rows.filter(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(True))
     else:
-        rows.filter(broken).write.mode("append").parquet(rejects)
+        rows.filter(broken).write.mode(mode).parquet(rejects)
         good = rows.filter(~broken)
     return good.select(*[parsed[n].alias(n) for n in names], *kept)
 
 
 def read_raw(
-    spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_POSTS_FILE, rejects: str | None = None
+    spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_POSTS_FILE, rejects: str | None = None, mode: str = "append"
 ) -> DataFrame:
     """Foreign capture files (CSV) without their row counter; ``capture`` is the file a post comes from.
 
@@ -83,13 +86,25 @@ def read_raw(
     """
     rows = spark.read.schema(raw_text_schema(schema)).options(**CAPTURE_READER).csv(path)
     rows = rows.withColumn("capture", F.col("_metadata.file_path"))
-    return runtime.spread(typed(rows, schema, rejects))
+    if rejects is None:
+        return runtime.spread(typed(rows, schema))
+    return runtime.spread(typed(runtime.stage(rows, "raw-rows"), schema, rejects, mode))
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
+def read_captures(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Posts as our own capture jobs store them, with the ``capture`` (keyword and window) of each."""
     schema = T.StructType([*RAW_POSTS.fields, T.StructField("capture", T.StringType())])
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    paths = [path] if isinstance(path, str) else path
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+
+
+def capture_files(spark: SparkSession, path: str, foreign: bool = False) -> list[str]:
+    """The files that a folder of captures consists of."""
+    if foreign:
+        listed = spark.read.schema(raw_text_schema()).options(**CAPTURE_READER).csv(path)
+    else:
+        listed = read_captures(spark, path)
+    return [unquote(x) for x in listed.inputFiles()]  # Spark names them as quoted addresses
 
 
 def write_raw(raw: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
@@ -118,8 +133,13 @@ def write_families(frames: dict[str, DataFrame], folder: str, mode: str = "error
 
 
 def read_family(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Everything written for one family so far; a missing column of an old file is null."""
+    """Everything written for one family so far; a missing column of an old file is null.
+
+    A folder with manifests is read by these, see ``commits``.
+    """
     schema = FAMILIES[name]
+    if (found := commits.read(spark, folder, name, schema)) is not None:
+        return found.select(*schema.fieldNames())
     return spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(f"{folder}/{name}").select(
         *schema.fieldNames()
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postlens import runtime
 from postlens.plans.enrich import process_raw
 from postlens.schemas import RAW_POSTS_FILE
+from postlens.sources import commits
 from postlens.sources.files import CAPTURE_READER, raw_text_schema, read_family, typed
 
 
@@ -30,8 +29,10 @@ def ingest_inbox(
     batch, or without it the batch fails.
 
     The checkpoint knows which files are done; moving them to ``archive`` is
-    best effort and lags behind. Each batch replaces its own output folders, so
-    a batch that is run again after a failure leaves no second copy.
+    best effort and lags behind. A batch shows in all five tables at once, when its manifest is
+    written (see ``commits``). It is named by the query of the checkpoint and its number there,
+    so one that is run again after a failure replaces what it has left, refused rows
+    included, or is passed over if it had been committed.
     """
     reader = spark.readStream.schema(raw_text_schema(RAW_POSTS_FILE)).options(**CAPTURE_READER)
     if archive is not None:
@@ -42,10 +43,13 @@ def ingest_inbox(
     def process(batch: DataFrame, batch_id: int) -> None:
         # five tables are written from the batch; its files are parsed once
         with runtime.job_scratch(batch.sparkSession):
-            refused = None if rejects is None else f"{rejects}/batch={batch_id}-{uuid.uuid4().hex}"
-            rows = typed(batch, RAW_POSTS_FILE, refused)
-            for name, frame in process_raw(rows, lexicon, staged=True).items():
-                frame.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch_id}")
+            own = batch.sparkSession
+            key = f"{own.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+            if rejects is None:
+                rows = typed(batch, RAW_POSTS_FILE)
+            else:
+                rows = typed(runtime.stage(batch, "inbox-rows"), RAW_POSTS_FILE, f"{rejects}/commit={key}", "overwrite")
+            commits.commit(own, output, key, process_raw(rows, lexicon, staged=True), partition_by="month")
 
     return (
         reader.csv(inbox)
