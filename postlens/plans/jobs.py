@@ -56,8 +56,9 @@ def process_files(
         new = sorted(set(files.capture_files(spark, captures, foreign)) - done)
         if not new:
             return
-        # the same files give the same key: a run after a failure takes the place of the one that failed
-        key = hashlib.sha256("\n".join([mode, *new]).encode()).hexdigest()[:16]
+        # the same files in the same state give the same key: a run after a failure takes the place of the one that failed
+        state = [own["key"] for own in (commits.manifests(spark, output) or [])[:1]]
+        key = hashlib.sha256("\n".join([mode, *state, *new]).encode()).hexdigest()[:16]
         if mode == "overwrite":
             key = f"{key}-{uuid.uuid4().hex[:8]}"
         refused = None if rejects is None else f"{rejects}/commit={key}"

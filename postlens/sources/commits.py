@@ -26,18 +26,25 @@ def _path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _names(spark: SparkSession, folder: str) -> list[str] | None:
+    """The manifests' file names, in order; None if there is no place for them."""
+    path, fs = _path(spark, f"{folder}/{MANIFESTS}")
+    if not fs.exists(path):
+        return None
+    return sorted(n for s in fs.listStatus(path) if (n := s.getPath().getName()).endswith(".json"))
+
+
 def manifests(spark: SparkSession, folder: str) -> list[dict] | None:
     """The manifests in force, in order: from the last one that replaces all before it. None if the folder never had any.
 
     As many small files as there are batches; ``replaces`` batches start anew.
     """
-    path, fs = _path(spark, f"{folder}/{MANIFESTS}")
-    if not fs.exists(path):
+    names = _names(spark, folder)
+    if names is None:
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().endswith(".json"))
+    rows = spark.read.text([f"{folder}/{MANIFESTS}/{n}" for n in names], wholetext=True).collect() if names else []
     found = []
-    for row in sorted(spark.read.text([f"{folder}/{MANIFESTS}/{n}" for n in names], wholetext=True).collect(), key=lambda r: json.loads(r[0])["place"]) if names else []:
-        own = json.loads(row[0])
+    for own in sorted((json.loads(r[0]) for r in rows), key=lambda x: x["place"]):
         found = [own] if own["replaces"] else [*found, own]
     return found
 
@@ -55,20 +62,22 @@ def commit(
     inputs: Iterable[str] = (),
     partition_by: str | None = None,
     replaces: bool = False,
+    notes: dict | None = None,
 ) -> bool:
-    """Write all ``tables`` as batch ``key``; whether it was written, False if it is there already.
+    """Write all ``tables`` as batch ``key``; whether it was written, False if it has been already, replaced or not.
 
     ``partition_by`` is a column of all tables, the same for all batches; its rows are gathered in
     few files of even size. With ``replaces`` readers see this batch and later ones only.
+    ``notes`` are kept in the manifest.
     """
-    earlier = manifests(spark, folder) or []
-    if any(own["key"] == key for own in earlier):
+    names = _names(spark, folder) or []
+    if any(n.endswith(f"-{key}.json") for n in names):
         return False
     for name, frame in tables.items():
         writer = (frame.hint("rebalance", partition_by) if partition_by else frame).write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{folder}/{name}/commit={key}")
-    place = 1 + max((own["place"] for own in earlier), default=-1)
-    text = json.dumps({"key": key, "place": place, "replaces": replaces, "tables": sorted(tables), "inputs": sorted(inputs)})
+    place = 1 + max((int(n.split("-")[0]) for n in names), default=-1)
+    text = json.dumps({"key": key, "place": place, "replaces": replaces, "tables": sorted(tables), "inputs": sorted(inputs), "notes": notes or {}})
     draft, fs = _path(spark, f"{folder}/{MANIFESTS}/.{uuid.uuid4().hex}")
     final, _ = _path(spark, f"{folder}/{MANIFESTS}/{place:012d}-{key}.json")
     stream = fs.create(draft, False)
