@@ -489,6 +489,7 @@ union all by name select *, 'validation' as part from month_rows""",
             for n in (1, 2, 3)
         ),
         "monthly_ngrams": f"with {MONTHLY} select * from monthly",
+        "monthly_ngrams_by_levels": f"with {MONTHLY} select * from monthly",
         "collated_ngrams": f"""with {MONTHLY} select phrase, count, month, upper(category[1]) || category[2:] as category,
   upper(ngram_type[1]) || ngram_type[2:] || 's' as ngram_type from monthly""",
         "distinct_months": f"with {ARCHIVE} select distinct date_trunc('month', date)::date as month from archive",

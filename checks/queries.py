@@ -350,6 +350,12 @@ def monthly_ngrams(spark, sf):
     return _monthly(spark, sf)
 
 
+@query
+def monthly_ngrams_by_levels(spark, sf):
+    families = _families(spark, sf)
+    return ngrams.monthly_ngrams_by_levels(families["posts"], families["hashtags"], families["mentions"])
+
+
 @query
 def collated_ngrams(spark, sf):
     return ngrams.collated_ngrams(_monthly(spark, sf))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from postlens import runtime
 from postlens.functions import text
 
 # The three phrase lengths.
 NGRAM_TYPES = {"unigram": 1, "bigram": 2, "trigram": 3}
+# Slots for the hashes of phrases that repeat: as many rows at most are broadcast, whatever the corpus.
+SLOTS = 1 << 21
 
 
 def phrases(df: DataFrame, field: str, keep: list[str | Column], sizes: dict[str, int] | None = None) -> DataFrame:
@@ -91,21 +94,67 @@ def monthly_ngrams(
 
     Only months in which there are posts count, also for hashtags and mentions.
     """
+    rows = _fields(posts, hashtags, mentions, excluded_year)
+    grams = phrases(rows, "text", ["category", "month"])
+    counts = grams.groupBy("category", "ngram_type", "month", "phrase").agg(F.count(F.lit(1)).alias("count"))
+    return counts.filter(F.col("count") >= min_count)
+
+
+def _fields(posts: DataFrame, hashtags: DataFrame, mentions: DataFrame, excluded_year: int | None) -> DataFrame:
+    """``category, month, text`` of the three fields; only months in which there are posts."""
     months = distinct_months(posts, excluded_year)
 
     def field(df: DataFrame, name: str, category: str) -> DataFrame:
-        rows = in_months(df.select("month", name), months)
-        return phrases(rows, name, ["month"]).withColumn("category", F.lit(category))
+        return in_months(df.select("month", F.col(name).alias("text")), months).withColumn("category", F.lit(category))
 
     # posts' own months need no look-up
-    own = without_year(posts.select("month", "content"), excluded_year)
-    rows = (
-        phrases(own, "content", ["month"]).withColumn("category", F.lit("tweet"))
-        .unionByName(field(hashtags, "hashtags", "hashtag"))
-        .unionByName(field(mentions, "username", "mention"))
-    )
-    counts = rows.groupBy("category", "ngram_type", "month", "phrase").agg(F.count(F.lit(1)).alias("count"))
-    return counts.filter(F.col("count") >= min_count)
+    own = without_year(posts.select("month", F.col("content").alias("text")), excluded_year).withColumn("category", F.lit("tweet"))
+    return own.unionByName(field(hashtags, "hashtags", "hashtag")).unionByName(field(mentions, "username", "mention"))
+
+
+def monthly_ngrams_by_levels(
+    posts: DataFrame,
+    hashtags: DataFrame,
+    mentions: DataFrame,
+    excluded_year: int | None = 2022,
+    min_count: int = 2,
+    slots: int = SLOTS,
+) -> DataFrame:
+    """The rows of ``monthly_ngrams``, staged, for corpora whose longer phrases seldom repeat.
+
+    A phrase can only repeat in a month and field if both phrases of one word less
+    in it do. So lengths are counted one after the other, and only occurrences whose two parts
+    passed are shuffled. What passed goes to them as slots of hashes, ``slots`` rows at most;
+    phrases that share a slot with one that repeats are counted for nothing, and
+    none is lost. The terms are cut out once and staged.
+    """
+    keys = ["category", "month"]
+    rows = runtime.stage(_fields(posts, hashtags, mentions, excluded_year).select(*keys, text.terms(F.col("text")).alias("terms")).where(F.size("terms") > 0), "month-terms")
+    found, passed = [], None
+    for name, n in sorted(NGRAM_TYPES.items(), key=lambda item: item[1]):
+        grams = _passing(rows, n, passed, slots)
+        counts = grams.groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_count)
+        counts = runtime.stage(counts.withColumn("ngram_type", F.lit(name)), f"month-{name}s")
+        found.append(counts.select("category", "ngram_type", "month", "phrase", "count"))
+        passed = counts.select(_slot(F.col("category"), F.col("month"), F.col("phrase"), slots).alias("slot")).distinct()
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _slot(category: Column, month: Column, phrase: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(category, month, phrase), F.lit(slots))
+
+
+def _passing(rows: DataFrame, n: int, passed: DataFrame | None, slots: int) -> DataFrame:
+    """``category, month, phrase`` of all phrases of ``n`` terms; with ``passed`` of those whose two parts are in its slots."""
+    grams = text.ngrams(F.col("terms"), n)
+    if passed is None:
+        return rows.select("category", "month", F.explode(grams).alias("phrase"))
+    parts = F.transform(text.ngrams(F.col("terms"), n - 1), lambda part: _slot(F.col("category"), F.col("month"), part, slots))
+    zipped = F.arrays_zip(grams.alias("phrase"), parts.alias("first"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("second"))
+    one = rows.select("category", "month", F.explode(zipped).alias("gram")).select("category", "month", "gram.phrase", "gram.first", "gram.second").where("phrase is not null")
+    for part in ("first", "second"):  # at most ``slots`` numbers
+        one = one.join(F.broadcast(passed.withColumnRenamed("slot", part)), part, "left_semi")
+    return one.select("category", "month", "phrase")
 
 
 def collated_ngrams(monthly: DataFrame) -> DataFrame:

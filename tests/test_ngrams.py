@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from postlens.operators import ngrams
 from tests.conftest import rows
@@ -66,3 +67,29 @@ def test_no_terms_at_all(spark):
 def test_terms_are_cut_out_once_per_post(posts):
     plan = ngrams.ngram_counts(posts, "content", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("slots", [ngrams.SLOTS, 3], ids=["few shared slots", "all shared"])
+def test_levels_give_the_same_rows(spark, posts, slots):
+    import random
+
+    rng = random.Random(7)
+    listed = [(rng.choice([JAN, FEB, None]), " ".join(rng.choices(["red", "fox", "Den", "a", "hill", "oak"], k=rng.randint(0, 9)))) for _ in range(60)]
+    more = posts.unionByName(spark.createDataFrame([*listed, (JAN, None)], "month date, content string"))
+    tags, names = (more.withColumnRenamed("content", c) for c in ("hashtags", "username"))
+    columns = ["category", "ngram_type", "month", "phrase", "count"]
+    for least in (2, 5):
+        whole = rows(ngrams.monthly_ngrams(more, tags, names, min_count=least), *columns)
+        assert rows(ngrams.monthly_ngrams_by_levels(more, tags, names, min_count=least, slots=slots), *columns) == whole
+    assert ngrams.monthly_ngrams_by_levels(more.limit(0), tags, names).count() == 0
+
+
+def test_levels_shuffle_fewer_phrases(spark):
+    # every pair of words but one is found once, so hardly any phrase of three words goes on
+    unique = [(JAN, f"w{i} w{i + 1}x common pair w{i}y") for i in range(50)]
+    text = spark.createDataFrame(unique, "month date, content string").selectExpr("'tweet' as category", "month", "split(content, ' ') as terms")
+    words = ngrams._passing(text, 1, None, 64 * 1024)
+    again = words.groupBy("category", "month", "phrase").count().where("count > 1")
+    slots = again.select(ngrams._slot(*(F.col(c) for c in ("category", "month", "phrase")), 64 * 1024).alias("slot"))
+    passing = ngrams._passing(text, 2, slots, 64 * 1024)
+    assert ngrams._passing(text, 2, None, 64 * 1024).count() == 200 and 50 <= passing.count() < 60
