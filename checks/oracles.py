@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import derived
-from checks.queries import GRID_KS, GRID_SHARES, K, KEYWORD, MONTH_K, SHARE
+from checks.queries import GRID_KS, GRID_SHARES, K, KEYWORD, KEYWORDS, MONTH_K, SHARE
 from postlens.functions.stopwords import ENGLISH
 from postlens.operators import topics
 from postlens.plans.model_runs import METHODS
@@ -437,6 +437,11 @@ def statements() -> dict[str, str]:
   date_trunc('month', date)::date as window_start, (date_trunc('month', date) + interval 1 month)::date as window_end
   from archive where date >= date '2021-03-01' and date < date '2021-07-01' and lang = 'en'
     and contains(lower(content), '{KEYWORD}')""",
+        "capture_keywords": f"""with {ARCHIVE} select keyword, id, date::date as date,
+  keyword || '/en/' || date_trunc('month', date)::date as capture,
+  date_trunc('month', date)::date as window_start, (date_trunc('month', date) + interval 1 month)::date as window_end
+  from archive, (select unnest([{", ".join(f"'{k}'" for k in KEYWORDS)}]) as keyword)
+  where date >= date '2021-03-01' and date < date '2021-07-01' and lang = 'en' and contains(lower(content), lower(keyword))""",
         "capture_window": f"""with {ARCHIVE} select id, date::date as date, username, content, url
   from archive where date >= date '2022-01-01' and date < date '2022-01-31' and lang = 'en'
     and contains(lower(content), '{KEYWORD}')""",
@@ -554,6 +559,8 @@ select id, rank, train_id, category, {six('distance2')} from nearest""",
         "lexicon_sentiment": f"with {BASE} select id, {six('sentiment')}, polarity, {six('subjectivity')} from base",
         "label_posts": f"with {LABELLED} select * from labelled",
         "tfidf_fit": f"""with {LABELLED}, train as (select 0 as run, * from train_rows), {fit()}
+select block, token, df, {six('idf')} from idf""",
+        "tfidf_by_months": f"""with {LABELLED}, train as (select 0 as run, * from train_rows), {fit()}
 select block, token, df, {six('idf')} from idf""",
         "tfidf_transform": f"""with {LABELLED}, train as (select 0 as run, * from train_rows),
 test as (select 0 as run, * from month_rows), {fit()}, {', '.join(tfidf('test', 'query_weights'))}
@@ -574,6 +581,7 @@ train as ({_SAMPLES.split('as materialized (')[1][:-1]}), test as (select 0 as r
 select t.id, t.username, a.display_name, a.content, t.sentiment, t.subjectivity, t.mentions, t.hashtags, v.prediction, a.url
 from votes v join test t using (id) join archive a using (id)""",
         "ingest_inbox": POSTS_OUT,
+        "stream_months": "select date_trunc('month', ts)::date as month, event_type, count(*) as n from events group by all",
         "topic_model": f"""with {_topics()} select b.id, coalesce(placed.topic, 0)::int as topic, topic_label
   from base b left join placed using (id) left join topic_names t on t.topic = coalesce(placed.topic, 0)""",
         "topic_labels": f"with {_topics()} select topic::int as topic, topic_label from topic_names",

@@ -5,22 +5,23 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import derived
 from postlens import runtime
 from postlens.functions import entities as entity_functions, scalars, text
 from postlens.operators import entities, evaluate, features, knn, labels, ngrams, sampling, topics
 from postlens.operators.sentiment import add_modified_sentiment, add_sentiment
-from postlens.plans import enrich, model_runs
+from postlens.plans import enrich, model_runs, model_state
 from postlens.sources import capture, files
-from postlens.streaming import inbox
+from postlens.streaming import inbox, months
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # parameters of the registered runs; the oracle uses the same
 KEYWORD = "the"
+KEYWORDS = ("the", "Tion", "er", "ing the")
 CAPTURE_START, CAPTURE_END = datetime.date(2021, 3, 1), datetime.date(2021, 6, 15)
 WINDOW_START, WINDOW_END = datetime.date(2022, 1, 1), datetime.date(2022, 1, 31)
 MONTH_END = datetime.date(2022, 2, 1)
@@ -93,6 +94,14 @@ def capture_monthly(spark, sf):
     return found.select("id", scalars.day(F.col("date")).alias("date"), "username", "content", "window_start", "window_end")
 
 
+@query
+def capture_keywords(spark, sf):
+    """All keywords in one scan, over an archive with signatures."""
+    archive = runtime.stage(capture.with_signature(derived.archive(spark, sf)), "signed")
+    found = capture.capture_keywords(archive, KEYWORDS, CAPTURE_START, CAPTURE_END)
+    return found.select("keyword", "id", scalars.day(F.col("date")).alias("date"), "capture", "window_start", "window_end")
+
+
 @query
 def capture_window(spark, sf):
     found = capture.capture_window(derived.archive(spark, sf), KEYWORD, WINDOW_START, WINDOW_END)
@@ -519,6 +528,19 @@ def tfidf_fit(spark, sf):
     return model.idf.select("block", "token", "df", _six("idf"))
 
 
+@query
+def tfidf_by_months(spark, sf):
+    """The vocabulary of ``tfidf_fit`` out of sums kept for each month, one of which has come and gone."""
+    rows = _model_rows(_staged_posts(spark, sf))
+    rows = runtime.stage(rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(3))), "month-parts")
+    folder = runtime.scratch_path(spark, "months")
+    for part in range(3):
+        model_state.add_month(rows.where(F.col("_part") == part), datetime.date(2021, part + 1, 1), folder)
+    model_state.withdraw_month(spark, datetime.date(2021, 2, 1), folder)
+    model_state.add_month(rows.where("_part = 1"), datetime.date(2021, 2, 1), folder, "again")
+    return model_state.model(spark, folder).idf.select("block", "token", "df", _six("idf"))
+
+
 @query
 def tfidf_transform(spark, sf):
     posts = _staged_posts(spark, sf)
@@ -575,6 +597,18 @@ def knn_score_month(spark, sf):
 # ---- streaming -----------------------------------------------------------------------
 
 
+@query
+def stream_months(spark, sf):
+    """Events by month and type, in two runs of a stream over files dealt by hash, so that most of the second is late."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    box, folder, checkpoint = (runtime.scratch_path(spark, name) for name in ("events", "event-months", "event-checkpoint"))
+    for part in range(2):
+        events.where(F.pmod(F.xxhash64("ts", "event_type"), F.lit(2)) == part).write.mode("append").parquet(box)
+        stream = spark.readStream.schema(events.schema).parquet(box)
+        months.count_months(stream, "ts", ["event_type"], folder, checkpoint, too_late=datetime.timedelta(days=40_000)).awaitTermination()
+    return months.months(spark, folder, T.StructType([events.schema["event_type"]])).select("month", "event_type", "n")
+
+
 @query
 def ingest_inbox(spark, sf):
     folder = runtime.scratch_path(spark, "inbox")

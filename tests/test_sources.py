@@ -205,3 +205,37 @@ def test_days_are_those_of_utc(spark):
         assert rows(frame.select(scalars.month_start(F.col("ts")).alias("m")), "m") == [(datetime.date(2022, 1, 1),)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_many_keywords_in_one_scan(spark, archive):
+    feb, last = datetime.date(2021, 2, 1), datetime.date(2021, 4, 9)
+    odd = spark.createDataFrame([post(i, c, datetime.datetime(2021, 2, 3, 12)) for i, c in ((20, "ÀÉ straße \U0001f600\U0001f601 wörd"), (21, None), (22, ""))], RAW_POSTS)
+    more = archive.unionByName(odd.withColumn("lang", F.lit("en")).withColumn("url", F.lit("u")))
+    words = ["Word", "the", "THE w", "o", "other", "nothing at all", "Éé", "àé str", "\U0001f600\U0001f601", "wörd", "the"]
+    columns = ["id", "capture", "window_start", "window_end"]
+    single = sorted((w, *r) for w in dict.fromkeys(words) for r in rows(capture.capture_monthly(more, w, feb, last), *columns))
+    assert len(single) > 10
+    for source in (more, capture.with_signature(more), capture.with_signature(more, 1)):
+        longs = 1 if source.columns == more.columns else len(source.select("signature").first()[0])
+        found = capture.capture_keywords(source, words, feb, last, longs=longs)
+        assert rows(found, "keyword", *columns) == single
+    with pytest.raises(ValueError, match="no keyword"):
+        capture.capture_keywords(more, [], feb, last)
+    assert rows(capture.capture_monthly(more, "word", feb, last), "id") == rows(capture.capture_keywords(more, ["word"], feb, last), "id")
+
+
+def test_keywords_read_the_archive_once(spark, archive, tmp_path):
+    capture.with_signature(archive).write.parquet(f"{tmp_path}/signed")
+    signed = spark.read.parquet(f"{tmp_path}/signed")
+    plan = capture.capture_keywords(signed, [f"word {i}" for i in range(50)], datetime.date(2021, 2, 1), datetime.date(2021, 3, 1))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_a_signature_holds_the_bits_of_every_keyword_inside(spark):
+    content = "The quick brown Fox Ünter den Linden, İ ok"
+    bits = capture.with_signature(spark.createDataFrame([(content,)], "content string")).first()["signature"]
+    for start in range(0, 36, 3):
+        for size in (1, 2, 3, 7):
+            word = content[start : start + size]
+            assert all(b & k == k for b, k in zip(bits, capture.trigram_slots(word), strict=True)), word
+    assert any(b & k != k for b, k in zip(bits, capture.trigram_slots("zzzzq"), strict=True))
