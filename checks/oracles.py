@@ -543,6 +543,10 @@ from cleaned c left join means m using (id)""",
         "top_words": f"""with {BASE} select phrase, count(*) as count
   from (select unnest({ngram_list('t', 2)}) as phrase from (select {terms('content')} as t from base))
   where phrase not in ({quoted(derived.EXCLUSIONS)}) and contains(phrase, 'en')
+  group by phrase order by count desc, phrase limit 20""",
+        "top_words_by_summaries": f"""with {BASE} select phrase, count(*) as count
+  from (select unnest({ngram_list('t', 2)}) as phrase from (select {terms('content')} as t from base))
+  where phrase not in ({quoted(derived.EXCLUSIONS)}) and contains(phrase, 'en')
   group by phrase order by count desc, phrase limit 20""",
         "top_words_monthly": f"""with {BASE} select month, phrase, count(*) as count,
   row_number() over (partition by month order by count(*) desc, phrase) as rank

@@ -430,6 +430,12 @@ def top_words(spark, sf):
     return ngrams.top_words(posts, "content", 2, top=20, containing="en", exclusions=derived.exclusions(spark))
 
 
+@query
+def top_words_by_summaries(spark, sf):
+    posts = _base(spark, sf)
+    return ngrams.top_words_by_summaries(posts, "content", 2, top=20, containing="en", exclusions=derived.exclusions(spark))
+
+
 @query
 def top_words_monthly(spark, sf):
     return ngrams.top_words_by(_base(spark, sf), "content", "month", 1, top=20)

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import heapq
+import sys
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from postlens import runtime
 from postlens.functions import text
 
+# Functions of this module go to the executors by value: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The three phrase lengths.
 NGRAM_TYPES = {"unigram": 1, "bigram": 2, "trigram": 3}
 # Slots for the hashes of phrases that repeat: as many rows at most are broadcast, whatever the corpus.
 SLOTS = 1 << 21
+# Phrases that a task keeps in a summary.
+SUMMARY = 20_000
 
 
 def phrases(df: DataFrame, field: str, keep: list[str | Column], sizes: dict[str, int] | None = None) -> DataFrame:
@@ -57,6 +69,57 @@ def top_words(
     return sort_counts(counts).limit(top)
 
 
+def top_words_by_summaries(
+    df: DataFrame,
+    field: str,
+    n: int = 1,
+    top: int = 20,
+    containing: str = "",
+    exclusions: DataFrame | None = None,
+    kept: int = SUMMARY,
+) -> DataFrame:
+    """The rows of ``top_words`` without shuffling all phrases.
+
+    Each task keeps at most ``kept`` phrases with counts (Misra and Gries): when there are more,
+    all lose the same amount, and what has been lost is the task's error. Added up
+    over the tasks, a phrase's counts are at most all errors too low. So if the
+    ``top``-th largest is above the errors, only phrases that could reach it have to be
+    counted, exactly, in a second reading that passes nothing else on. Otherwise,
+    as when hardly any phrase stands out, all are counted.
+    """
+    rows = phrases(df, field, [], {"n": n}).select("phrase")
+    if exclusions is not None:
+        # excluded phrases may be many: they are tested where there are few candidates
+        excluded = exclusions.select("phrase").distinct()
+    if containing:
+        rows = rows.filter(F.col("phrase").contains(containing))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, lost = Counter(), 0
+        for batch in batches:
+            counts.update(batch.column(0).to_pylist())
+            if len(counts) > kept:
+                cut = heapq.nlargest(kept + 1, counts.values())[-1]
+                lost += cut
+                counts = Counter({p: c - cut for p, c in counts.items() if c > cut})
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), lost], pa.int64())], ["phrase", "count"])
+
+    found = runtime.stage(rows.mapInArrow(summarise, "phrase string, count long").groupBy("phrase").agg(F.sum("count").alias("count")), "summaries")
+    error = found.filter("phrase is null").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    found = found.filter("phrase is not null")
+    if exclusions is not None:
+        found = found.join(excluded, "phrase", "left_anti")
+    best = sort_counts(found).limit(top).collect()
+    least = best[-1]["count"] if len(best) == top else 0
+    if error >= least > 0 or (least == 0 and error):
+        return top_words(df, field, n, top, containing, exclusions)
+    candidates = runtime.stage(found.filter(F.col("count") + error >= least).select("phrase"), "candidates")
+    if not runtime.fits_broadcast(candidates):
+        return top_words(df, field, n, top, containing, exclusions)
+    counted = rows.join(F.broadcast(candidates), "phrase", "left_semi").groupBy("phrase").agg(F.count(F.lit(1)).alias("count"))
+    return sort_counts(counted).limit(top)
+
+
 def top_words_by(df: DataFrame, field: str, by: str, n: int = 1, top: int = 20) -> DataFrame:
     """``top_words`` for every value of ``by``."""
     rows = phrases(df, field, [by], {"n": n})

@@ -93,3 +93,25 @@ def test_levels_shuffle_fewer_phrases(spark):
     slots = again.select(ngrams._slot(*(F.col(c) for c in ("category", "month", "phrase")), 64 * 1024).alias("slot"))
     passing = ngrams._passing(text, 2, slots, 64 * 1024)
     assert ngrams._passing(text, 2, None, 64 * 1024).count() == 200 and 50 <= passing.count() < 60
+
+
+@pytest.mark.parametrize("kept", [20_000, 40, 3], ids=["all kept", "some lost", "bound fails"])
+def test_summaries_give_the_same_rows(spark, kept):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}x" for i in range(300)]
+    listed = [" ".join(rng.choices(words, weights=[1 / (i + 1) ** 2 for i in range(300)], k=rng.randint(0, 20))) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in [*listed, None, ""]], "content string").repartition(3)
+    out = spark.createDataFrame([("w0x",), ("w3x",), ("w0x",)], "phrase string")
+    for options in ({"top": 5}, {"top": 4, "exclusions": out}, {"top": 3, "containing": "2"}, {"n": 2, "top": 3}, {"top": 10_000}, {"containing": "no such"}):
+        whole = [tuple(r) for r in ngrams.top_words(frame, "content", **options).collect()]
+        assert [tuple(r) for r in ngrams.top_words_by_summaries(frame, "content", kept=kept, **options).collect()] == whole
+    assert ngrams.top_words_by_summaries(frame.limit(0), "content").count() == 0
+
+
+def test_summaries_pass_on_candidates_only(spark):
+    frame = spark.createDataFrame([("often " * 50 + " ".join(f"one{i}x{j}" for j in range(40)),) for i in range(30)], "content string").repartition(2)
+    found = ngrams.top_words_by_summaries(frame, "content", top=1, kept=100)
+    assert [tuple(r) for r in found.collect()] == [("often", 1500)]
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
