@@ -1,7 +1,9 @@
 """Language by prediction by partial matching: which language's model gives a text the shortest code.
 
-Each language has a tree of byte contexts of up to ``ORDER`` bytes, grown from a bounded
-sample of its texts (A-Z in lower case) and then frozen. A byte is coded in its longest
+A text is its bytes with A-Z in lower case and each run of ASCII signs that are no letters as
+one blank: marks, digits and markup tell more about where a text comes from than about its
+language. Each language has a tree of byte contexts of up to ``ORDER`` bytes, grown from a
+bounded sample of its texts and then frozen. A byte is coded in its longest
 context that the tree holds: with the share (n - d) / T if it was seen there, n times
 of T; else an escape of d D / T is paid, D being the number of different bytes seen, and
 the context one byte shorter is asked, where the bytes ruled out no longer count. Below
@@ -31,12 +33,18 @@ ORDER, ESCAPE = 4, 0.5
 SAMPLE_BYTES, ALL_BYTES = 256 << 10, 8 << 20
 UNKNOWN = "und"
 _BEFORE = b"\n" * ORDER
+_FOLD = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)).lower()
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def folded(text: bytes) -> bytes:
+    return b" ".join(text.translate(_FOLD).split())
+
+
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of all texts, one after the other, as numbers, and how many each text has."""
-    data = np.frombuffer(b"".join(_BEFORE + t.lower() for t in texts), np.uint8)
+    """The windows of all texts, folded, one after the other, as numbers, and how many each text has."""
+    texts = [folded(t) for t in texts]
+    data = np.frombuffer(b"".join(_BEFORE + t for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     keys = np.zeros(max(len(data) - ORDER, 0), np.int64)
     for i in range(ORDER + 1):

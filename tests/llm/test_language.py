@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -14,13 +15,17 @@ EN = "the house on the hill was white and the garden was green with all the tree
 DE = "das haus auf dem berg war weiss und der garten war gruen mit allen baeumen des alten hofes"
 
 
+def plain_fold(text: bytes) -> bytes:
+    return re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower()).strip(b" ")
+
+
 class PlainTree:
     """The same model with dictionaries, one byte at a time."""
 
     def __init__(self, texts):
         self.nodes = {}
         for text in texts:
-            data = b"\n" * L.ORDER + text.lower()
+            data = b"\n" * L.ORDER + plain_fold(text)
             for at in range(L.ORDER, len(data)):
                 for length in range(L.ORDER + 1):
                     node = self.nodes.setdefault(data[at - length : at], {})
@@ -39,7 +44,7 @@ class PlainTree:
         return total + math.log2(256 - len(excluded))
 
     def code(self, text: bytes) -> float:
-        data = b"\n" * L.ORDER + text.lower()
+        data = b"\n" * L.ORDER + plain_fold(text)
         return sum(self.bits(data[at - L.ORDER : at], data[at]) for at in range(L.ORDER, len(data)))
 
 
@@ -58,6 +63,13 @@ def test_all_bytes_together_have_probability_one():
         assert np.exp2(-tree.bits(keys)).sum() == pytest.approx(1)
 
 
+def test_marks_between_words_say_nothing(spark):
+    noisy = "".join(f"{w}{m} " for w, m in zip(EN.split(), ["***", "$$$", "%%%", "&&&"] * 9))  # noqa: B905
+    own = [(1, EN, "en"), (2, DE, "de"), (3, DE.replace(" ", "*** "), "de"), (4, noisy, None)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    assert rows(L.languages(docs, F.col("doc_id") < 4).where("doc_id = 4"), "lang_pred") == [("en",)]
+
+
 def test_no_sample_at_all_leaves_every_byte_equal():
     assert L.Trees.learnt({"x": [b""]}).code_lengths([b"abc"]).tolist() == [[24.0]]
 
