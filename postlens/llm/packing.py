@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.common import map_texts, per_task, texts
+from postlens.llm.common import map_texts, per_task, raw, texts
 from postlens.llm.tokens import word_ids
 from postlens.runtime import stage
 
@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int |
 
         def work(batch):
             doc, piece, start, ids = [], [], [], []
-            for one, content in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for one, content in zip(batch.column("doc_id").to_pylist(), raw(batch), strict=True):
                 found = words.text(content) + end
                 cuts = range(0, len(found) // 4, capacity)
                 doc += [one] * len(cuts)

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm.common import slices, texts
+from postlens.llm.common import raw, slices, texts
 from postlens.llm.tokens import word_ids
 from postlens.runtime import scratch_path
 
@@ -150,7 +150,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
             return pa.RecordBatch.from_pydict(row)
 
         for batch in slices(batches):
-            for one, content in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for one, content in zip(batch.column("doc_id").to_pylist(), raw(batch), strict=True):
                 ids.append(one)
                 parts.append(words.text(content) + end)
                 counts.append(len(parts[-1]) // 4)

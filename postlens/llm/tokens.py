@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from collections.abc import Callable
 
-import numpy as np
 from tokenizers import Tokenizer
 
 from postlens.llm.common import worker_state
 
-# Words kept with their ids; a text's rare words are encoded again after the table is emptied.
+# Words kept with their ids, and runs of letters; as many again from before, so that what is common survives.
 REMEMBERED = 300_000
-_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 # Words of ASCII signs and Latin letters fall apart into runs of letters, single digits and runs of the rest. Left out:
 # the apostrophe, which begins parts of its own, the bar of special tokens, and the dotted capital I, whose
 # lower case is two characters.
 _LETTERS = "a-zß-öø-įı-ž"
 _PLAIN = re.compile("[!-&(-{}~À-ÖØ-öø-įı-ž]+")
-_PARTS = re.compile(f"([{_LETTERS}]+)|[0-9]|[^0-9{_LETTERS}]+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+_RUN = re.compile(f"[{_LETTERS}]+")
 
 
 def byte_signs() -> dict[int, int]:
@@ -27,7 +29,25 @@ def byte_signs() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
-class WordIds(dict):
+class Remembered(dict):
+    """Values by key, worked out when first asked for. Two generations: what is asked for stays, the rest goes in time."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find, self.before = find, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordIds:
     """Ids (little-endian uint32 bytes) by word. The tokenizer drops white space and never joins across it.
 
     Most rare words are known runs of letters with other punctuation or capitals, so
@@ -36,37 +56,41 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.merge, self.signs, self.parts = tokenizer.encode, tokenizer.model.tokenize, byte_signs(), {}
+        self.encode, self.merge, self.signs = tokenizer.encode, tokenizer.model.tokenize, byte_signs()
+        self.words, self.parts = Remembered(self._word), Remembered(self._part)
+        self.known = self.words.__getitem__
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _part(self, match: re.Match) -> bytes:
-        part = match[0]
-        if part not in self.parts:
-            if match[1] is None:
-                self.parts[part] = self._whole(part)
-            else:
-                spelt = part.encode().decode("latin-1").translate(self.signs)
-                self.parts[part] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
-        return self.parts[part]
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(self.parts) >= REMEMBERED:
-            self.parts.clear()
-        if _PLAIN.fullmatch(word):
-            ids = b"".join(map(self._part, _PARTS.finditer(word.lower())))
-        else:
-            ids = self._whole(word)
-        self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _SPACE.split(text)))
+        return _little(self.encode(word, add_special_tokens=False).ids)
+
+    def _part(self, part: str) -> bytes:
+        """Of a run of letters in lower case, or of what stands between such runs."""
+        if not _RUN.fullmatch(part):
+            return self._whole(part)
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+        return _little([t.id for t in self.merge(spelt)])
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: A-Z and a-z only
+            return self.parts[word.decode().lower()]
+        if word[-1] in b".,;:!?" and word[:-1].isalpha():
+            return self.parts[word[:-1].decode().lower()] + self.parts[chr(word[-1])]
+        text = word.decode()
+        if _PLAIN.fullmatch(text):
+            return b"".join([self.parts[part] for part in _PARTS.findall(text.lower())])
+        return self._whole(text)
+
+    def text(self, text: bytes) -> bytes:
+        """Ids of a text in UTF-8; bytes.split() takes the tokenizer's white space, x20 and x09-x0D."""
+        return b"".join(map(self.known, text.split()))
+
+
+def _little(ids: list[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 def splits_at_spaces(path: str) -> bool:

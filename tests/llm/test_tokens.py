@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from postlens.llm import packing as K, token_file as X
+from postlens.llm import packing as K, token_file as X, tokens
 from postlens.llm.tokens import WordIds
 from tests.llm.samples import edge_texts, edges, empty
 
@@ -18,7 +18,7 @@ def plain_ids(text: str, end: int) -> np.ndarray:
 def test_words_one_by_one_give_the_text_s_ids():
     words = WordIds(PATH)
     for text in ["don't stop, it's 3.14 <|endoftext|> x<|startoftext|>y", "É́ ΟΔΟΣ οδος Σ á ́b", "a\x1cb\x85c d\xa0e", *(t or "" for _, t in edge_texts())]:
-        assert np.array_equal(np.frombuffer(words.text(text) + np.array([0], "<u4").tobytes(), "<u4"), plain_ids(text, 0))
+        assert np.array_equal(np.frombuffer(words.text(text.encode()) + np.array([0], "<u4").tobytes(), "<u4"), plain_ids(text, 0))
 
 
 def test_any_token_of_a_shard():
@@ -118,4 +118,13 @@ def test_new_words_are_put_together_from_parts():
     rng = np.random.default_rng(8)
     for size in rng.integers(1, 9, 3000).tolist():
         word = "".join(rng.choice(signs, size))
-        assert words.text(word) == np.array(whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+        assert words.text(word.encode()) == np.array(whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+
+
+def test_what_is_asked_for_again_survives(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    asked = []
+    found = tokens.Remembered(lambda key: asked.append(key) or key * 2)
+    for key in "abcadaeafagahaiaja":
+        assert found[key] == key * 2 and len(found) <= 3 and len(found.before) <= 3
+    assert asked.count("a") == 1 and len(asked) == 10
