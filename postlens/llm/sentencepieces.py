@@ -35,7 +35,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-REMEMBERED, PAIRS = 300_000, 2_000_000
+# Units kept with their ids, as many again from before, so that what is common survives; and pairs.
+REMEMBERED, PAIRS = 250_000, 2_000_000
 UNKNOWN_PENALTY = 10.0
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # Cells (units x substrings) of a batch.
@@ -112,6 +113,7 @@ class PieceModel:
         self.bytes = [bytes_[b] for b in range(256)] if len(bytes_) == 256 else None
         self.longest = max(len(self.pieces[i]) for i in normal)
         self.neighbours = {p[i : i + 2] for p in self.number for i in range(len(p) - 1)}
+        self.together = np.array(sorted(ord(a) << 32 | ord(b) for a, b in self.neighbours), np.uint64)
         self.marks_lead = not any(b == MARK != a for a, b in self.neighbours)
         keys = {self._hash(p): i for p, i in self.number.items()}
         if len(keys) != len(self.number):
@@ -125,6 +127,7 @@ class PieceModel:
         self.unknown_worth = np.float32(min(self.scores[i] for i in normal) - UNKNOWN_PENALTY)
         self.pairs = _Pairs(self)
         self.units: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.out = [b"" if t in (CONTROL, UNKNOWN) else bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
     @staticmethod
@@ -152,25 +155,43 @@ class PieceModel:
             parts[place : place + 2] = [parts[place] + parts[place + 1]]
         return parts
 
-    def _cut(self, unit: str) -> list[str]:
-        """A unit cut where no piece can cross."""
-        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.neighbours]
-        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+    def _cut(self, units: list[str]) -> list[list[str]]:
+        """Units cut where no piece can cross, all of them at once."""
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        pairs = points[:-1].astype(np.uint64) << np.uint64(32) | points[1:]
+        at = np.minimum(np.searchsorted(self.together, pairs), len(self.together) - 1)
+        apart = self.together[at] != pairs if len(self.together) else np.ones(len(pairs), bool)
+        apart[ends[:-1] - 1] = False  # between two units
+        cuts = np.flatnonzero(apart) + 1
+        found = [[u] for u in units]
+        if not len(cuts):
+            return found
+        own = np.searchsorted(ends, cuts, side="right")
+        begins = ends - np.fromiter(map(len, units), np.int64, len(units))
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        inner = (cuts - begins[own]).tolist()
+        for unit, start, stop in zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+            places, text = inner[start:stop], units[unit]
+            found[unit] = [text[x:y] for x, y in zip([0, *places], [*places, None], strict=True)]
+        return found
 
-    def learn(self, wanted: set[str]) -> None:
+    def learn(self, wanted: list[str]) -> None:
         """Encode units that are not known yet, and keep them."""
-        parts = {u: self._cut(u) for u in wanted}
+        parts = self._cut(wanted)
+        new = {p for own in parts for p in own} - self.units.keys()
+        kept = new & self.before.keys()
+        self.units.update((p, self.before[p]) for p in kept)
         by_length: dict[int, list[str]] = {}
-        for p in {p for own in parts.values() for p in own} - self.units.keys():
+        for p in new - kept:
             by_length.setdefault(len(p), []).append(p)
         for size, own in by_length.items():
             step = max(1, CELLS // (size * min(size, self.longest)))
             for at in range(0, len(own), step):
                 batch = own[at : at + step]
                 self.units.update(zip(batch, self._search(batch, size), strict=True))
-        for unit, own in parts.items():
-            if len(own) > 1:
-                self.units[unit] = b"".join([self.units[p] for p in own])
+        known = self.units.__getitem__
+        self.units.update((unit, b"".join(map(known, own))) for unit, own in zip(wanted, parts, strict=True) if len(own) > 1)
 
     def _search(self, words: list[str], size: int) -> list[bytes]:
         """The ids (uint32 bytes) of words of one length."""
@@ -253,9 +274,13 @@ class PieceModel:
         if not self.marks_lead:
             cut = [["".join(own)] if own else [] for own in cut]
         every = set().union(*cut)
-        if len(self.units) + len(every) > REMEMBERED:
-            self.units.clear()
-        self.learn(every - self.units.keys())
+        if len(self.units) > REMEMBERED:
+            self.before, self.units = self.units, {}
+        missing = every - self.units.keys()
+        kept = missing & self.before.keys()
+        self.units.update((u, self.before[u]) for u in kept)
+        if missing := list(missing - kept):
+            self.learn(missing)
         known = self.units.__getitem__
         return [b"".join(map(known, own)) for own in cut]
 
