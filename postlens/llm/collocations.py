@@ -4,11 +4,12 @@ A text is lower-cased (A-Z), cut into pieces at punctuation and line ends, and t
 into words at blanks. All is counted per language.
 
 1. One reading counts the words, and the pairs of neighbours in a *sketch*: an array of
-   bounded size whose slots, chosen by hash, never count too little. A pair whose slot
-   stays below the least count cannot be part of a candidate. The sketch only saves
-   work; no count is taken from it.
-2. A second reading takes from each place the longest *window* of at most ``longest``
-   words whose pairs all passed. Equal windows of a task are added up and the windows
+   bounded size whose slots, chosen by hash, never count too little. A phrase whose slot
+   stays below the least count cannot be a candidate. A second reading does the same for
+   longer phrases whose pairs passed. The sketches only save work; no count is taken
+   from them.
+2. A third reading takes from each place the longest *window* of at most ``longest``
+   words whose beginnings, and those of the window one word on, all passed. Equal windows of a task are added up and the windows
    brought into prefix order by range. A walk over the sorted stream adds up all
    beginnings of a window at once: those of the window before that go on stay open, the
    others are complete. What a range's first and last window begin with may go on in a
@@ -26,6 +27,7 @@ anywhere as a whole, and every broadcast but the sketch's bits has a checked siz
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -39,8 +41,11 @@ from postlens.llm.common import slices
 from postlens.runtime import small_side, stage
 
 NO_LANG = "und"
-# Slots of the sketch: one for so many bytes of text, within these bounds (bits, so 16 MB of counters and 2 MB of bits at 24).
-BYTES_A_SLOT, LEAST_BITS, MOST_BITS, CHUNK_BITS = 64, 16, 26, 16
+# Slots of the sketch: one for so many bytes of text, within these bounds (bits, so 128 MB of counters in a task and 16 MB
+# of bits at most). Beyond that more windows pass that have to be sorted, and the counts stay what they are.
+BYTES_A_SLOT, LEAST_BITS, MOST_BITS, CHUNK_BITS = 64, 16, 27, 16
+# Bytes of text that a task takes apart at once.
+SLICE = 2 << 20
 # Different words or windows that a task adds up before it passes them on.
 HELD = 200_000
 
@@ -86,57 +91,121 @@ def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[str, _Numbers, np.ndarra
         yield lang, numbers, np.array(codes, np.int64)
 
 
-def _slots(numbers: _Numbers, codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of ``codes`` where a pair begins, and the slots of these pairs."""
-    at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+def _slots(numbers: _Numbers, codes: np.ndarray, bits: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 2 words, 3 and so on: the places of ``codes`` where such a phrase begins, and the slots of these phrases.
+
+    The receiver may send back which of the places go on.
+    """
     hashes = np.array(numbers.hashes, np.uint64)
-    mixed = (hashes[codes[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[codes[at + 1]] + np.uint64(0x632BE59BD9B4E019))
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return at, (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.flatnonzero(codes >= 0)
+    mixed = hashes[codes[at]]
+    ends = np.append(codes, np.full(longest, -1))
+    for size in range(2, longest + 1):
+        goes_on = ends[at + size - 1] >= 0
+        at, mixed = at[goes_on], mixed[goes_on]
+        mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[codes[at + size - 1]] + np.uint64(0x632BE59BD9B4E019))
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        passed = yield at, (mixed >> np.uint64(64 - bits)).astype(np.uint32)
+        if passed is not None:
+            at, mixed = at[passed], mixed[passed]
+
+
+class _Sketch:
+    """A task's counters. They stop at the least count that is asked for."""
+
+    def __init__(self, bits: int, least: int):
+        self.bits, self.least, self.counters = bits, least, None
+
+    def add(self, slots: np.ndarray) -> None:
+        if self.counters is None:
+            self.counters = np.zeros(1 << self.bits, _small(self.least))
+        slots.sort()
+        first = np.flatnonzero(np.diff(slots, prepend=slots[:1] + np.uint32(1)))
+        slots, seen = slots[first], np.diff(np.append(first, len(slots)))
+        self.counters[slots] = np.minimum(self.counters[slots].astype(np.int64) + seen, self.least)
+
+    def chunks(self) -> Iterator[tuple[int, bytes]]:
+        """Numbered parts that are not empty: which slots have been met, and their counts."""
+        if self.counters is not None:
+            for chunk, part in enumerate(self.counters.reshape(-1, min(1 << CHUNK_BITS, len(self.counters)))):
+                met = part > 0
+                if met.any():
+                    yield chunk, zlib.compress(np.packbits(met).tobytes() + part[met].tobytes(), 1)
+
+
+def _small(least: int) -> type:
+    return np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32
+
+
+def _unpacked(packed: bytes, bits: int, least: int) -> np.ndarray:
+    own, size = zlib.decompress(packed), min(1 << CHUNK_BITS, 1 << bits)
+    counts = np.zeros(size, np.int64)
+    counts[np.unpackbits(np.frombuffer(own, np.uint8, size // 8)).astype(bool)] = np.frombuffer(own, _small(least), offset=size // 8)
+    return counts
 
 
 _COUNTED = "kind int, lang string, word string, n long, chunk int, counters binary"
 WORD, SKETCH = 0, 1
+_COUNTED_ARROW = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("chunk", pa.int32()), ("counters", pa.binary())])
+
+
+def _chunk_rows(sketch: _Sketch) -> Iterator[pa.RecordBatch]:
+    for chunk, packed in sketch.chunks():
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((SKETCH, None, None, None, chunk, packed), _COUNTED_ARROW, strict=True)], schema=_COUNTED_ARROW)
 
 
 def _read_counts(docs: DataFrame, bits: int, least: int) -> DataFrame:
-    """Word counts and the sketch's counters, each added up within a task."""
-    small = np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32
-    schema = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("chunk", pa.int32()), ("counters", pa.binary())])
+    """Word counts and the sketch of pairs, each added up within a task."""
 
     def words(held: dict) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             n = len(counts)
             columns = [np.full(n, WORD, np.int32), [lang] * n, pa.array(list(counts), pa.binary()).cast(pa.string()), list(counts.values()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _COUNTED_ARROW, strict=True)], schema=_COUNTED_ARROW)
         held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, held = None, {}
-        for batch in slices(batches):
+        sketch, held = _Sketch(bits, least), {}
+        for batch in slices(batches, SLICE):
             for lang, numbers, codes in _sequences(batch):
                 counts = held.setdefault(lang, Counter())
                 for word, n in zip(numbers.words, np.bincount(codes[codes >= 0], minlength=len(numbers)).tolist(), strict=True):
                     counts[word] += n
-                if counters is None:
-                    counters = np.zeros(1 << bits, small)
-                slots, seen = np.unique(_slots(numbers, codes, bits)[1], return_counts=True)
-                counters[slots] = np.minimum(counters[slots].astype(np.int64) + seen, least)  # no more is ever asked for
+                for _, slots in _slots(numbers, codes, bits, 2):
+                    sketch.add(slots)
             if sum(map(len, held.values())) > HELD:
                 yield from words(held)
         yield from words(held)
-        if counters is not None:
-            for chunk, part in enumerate(counters.reshape(-1, min(1 << CHUNK_BITS, len(counters)))):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((SKETCH, None, None, None, chunk, part.tobytes()), schema, strict=True)], schema=schema)
+        yield from _chunk_rows(sketch)
 
     return docs.mapInArrow(run, _COUNTED)
 
 
-def _frequent_slots(counted: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit for each slot of the sketch: 2**bits / 8 bytes, whatever the corpus."""
-    small = np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32
+def _read_longer(docs: DataFrame, pairs: np.ndarray, bits: int, least: int, longest: int) -> DataFrame:
+    """The sketch of phrases of 3 words and more whose pairs all passed."""
+    known = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = _Sketch(bits, least)
+        for batch in slices(batches, SLICE):
+            for _, numbers, codes in _sequences(batch):
+                found = _slots(numbers, codes, bits, longest)
+                at, slots = next(found)
+                passed = _passes(known.value, slots)
+                good = np.zeros(len(codes) + longest, bool)
+                good[at[passed]] = True
+                for size in range(3, longest + 1):
+                    at, slots = found.send(passed)
+                    passed = good[at + size - 2]  # the pair at the end; those before it have passed
+                    sketch.add(slots[passed])
+        yield from _chunk_rows(sketch)
 
+    return docs.mapInArrow(run, _COUNTED)
+
+
+def _frequent_slots(counted: DataFrame, bits: int, least: int) -> np.ndarray:
+    """One bit for each slot of the sketch, packed: 2**bits / 8 bytes, whatever the corpus."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
@@ -144,8 +213,8 @@ def _frequent_slots(counted: DataFrame, bits: int, least: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["chunk", "bits"])
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                chunk, part = batch.column(0)[row].as_py(), np.frombuffer(batch.column(1)[row].as_buffer(), small)
+            for chunk, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = _unpacked(packed, bits, least)
                 if chunk != now:
                     if now is not None:
                         yield out()
@@ -159,22 +228,30 @@ def _frequent_slots(counted: DataFrame, bits: int, least: int) -> np.ndarray:
     size = min(1 << CHUNK_BITS, 1 << bits) // 8
     for row in rows.mapInArrow(add, "chunk int, bits binary").collect():
         passed[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(passed).astype(bool)
+    return passed
+
+
+def _passes(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (packed[slots >> np.uint32(3)] >> (7 - (slots & np.uint32(7))).astype(np.uint8) & 1).astype(bool)
 
 
-def _windows_of(numbers: _Numbers, codes: np.ndarray, passed: np.ndarray, bits: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows_of(numbers: _Numbers, codes: np.ndarray, pairs: np.ndarray, longer: np.ndarray, bits: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """The different windows of two words or more, filled up with -1, and how often each is found."""
-    at, slots = _slots(numbers, codes, bits)
-    goes_on = np.zeros(len(codes) + longest, bool)
-    goes_on[at] = passed[slots]
-    start = np.flatnonzero(goes_on)
+    lengths = np.zeros(len(codes) + 1, np.int64)  # words from each place whose beginnings pass, 0 for a single one
+    found = _slots(numbers, codes, bits, longest)
+    at, slots = next(found)
+    for size in range(2, longest + 1):
+        passed = _passes(pairs if size == 2 else longer, slots)
+        lengths[at[passed]] = size
+        if size < longest:
+            at, slots = found.send(passed)
+    # what follows the first word has to pass as well
+    lengths[:-1] = np.minimum(lengths[:-1], np.maximum(lengths[1:], 1) + 1)
+    start = np.flatnonzero(lengths > 1)
     table = np.full((len(start), longest), -1, np.int64)
-    open_ = np.full(len(start), True)
-    padded = np.concatenate((codes, np.full(longest, -1)))
     for i in range(longest):
-        if i:
-            open_ &= goes_on[start + i - 1]
-        table[open_, i] = padded[start[open_] + i]
+        open_ = lengths[start] > i
+        table[open_, i] = codes[start[open_] + i]
     if not len(table):
         return table, np.empty(0, np.int64)
     table = table[np.lexsort(table.T[::-1])]
@@ -182,8 +259,8 @@ def _windows_of(numbers: _Numbers, codes: np.ndarray, passed: np.ndarray, bits:
     return table[first], np.diff(np.append(first, len(table)))
 
 
-def _read_windows(docs: DataFrame, passed: np.ndarray, bits: int, longest: int) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(np.packbits(passed))
+def _read_windows(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int, longest: int) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast((pairs, longer))
     kind = pa.list_(pa.string())
 
     def rows(held: dict) -> Iterator[pa.RecordBatch]:
@@ -194,10 +271,10 @@ def _read_windows(docs: DataFrame, passed: np.ndarray, bits: int, longest: int)
         held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = np.unpackbits(known.value).astype(bool), {}
-        for batch in slices(batches):
+        own, held = known.value, {}
+        for batch in slices(batches, SLICE):
             for lang, numbers, codes in _sequences(batch):
-                table, seen = _windows_of(numbers, codes, own, bits, longest)
+                table, seen = _windows_of(numbers, codes, *own, bits, longest)
                 counts, words = held.setdefault(lang, Counter()), numbers.words
                 for line, n in zip(table.tolist(), seen.tolist(), strict=True):
                     counts[b"\t".join([words[i] for i in line if i >= 0])] += n
@@ -318,7 +395,9 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str
     counted = stage(_read_counts(own, bits, least), "phrase-words")
     words = stage(counted.where(F.col("kind") == WORD).groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-word-sums")
     totals = stage(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
-    windows = stage(_read_windows(own, _frequent_slots(counted, bits, least), bits, longest), "phrase-windows")
+    pairs = _frequent_slots(counted, bits, least)
+    longer = _frequent_slots(_read_longer(own, pairs, bits, least, longest), bits, least)
+    windows = stage(_read_windows(own, pairs, longer, bits, longest), "phrase-windows")
     single = words.where(F.col("n") >= least).select("lang", F.array("word").alias("words"), "n")
     return stage(beginnings(windows, least).unionByName(single), "phrase-counts"), totals
 
