@@ -139,6 +139,6 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 OP4_SQL = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
-  doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+  row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))
 """
