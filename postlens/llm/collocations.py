@@ -26,6 +26,7 @@ anywhere as a whole, and every broadcast but the sketch's bits has a checked siz
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections import Counter
@@ -46,6 +47,8 @@ NO_LANG = "und"
 BYTES_A_SLOT, LEAST_BITS, MOST_BITS, CHUNK_BITS = 64, 16, 27, 16
 # Bytes of text that a task takes apart at once.
 SLICE = 2 << 20
+# Bytes of text for one range of windows, and to find the ranges' borders by.
+RANGE_BYTES, SAMPLE = 32 << 20, 2 << 20
 # Different words or windows that a task adds up before it passes them on.
 HELD = 200_000
 
@@ -259,19 +262,26 @@ def _windows_of(numbers: _Numbers, codes: np.ndarray, pairs: np.ndarray, longer:
     return table[first], np.diff(np.append(first, len(table)))
 
 
-def _read_windows(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int, longest: int) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast((pairs, longer))
-    kind = pa.list_(pa.string())
+def _read_windows(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int, longest: int, borders: list[tuple[str, list[str]]]) -> DataFrame:
+    """The windows in sorted runs: one row for each range of a task, with all its windows and their counts.
 
-    def rows(held: dict) -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            lists = [key.split(b"\t") for key in counts]
-            words = pa.ListArray.from_arrays(np.cumsum([0, *map(len, lists)]).astype(np.int32), pa.array(chain.from_iterable(lists), pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(lists), pa.string()), words.cast(kind), pa.array(list(counts.values()), pa.int64())], ["lang", "words", "n"])
+    ``borders`` are the first windows of the second range and on: at most as many as there are ranges.
+    """
+    known = docs.sparkSession.sparkContext.broadcast((pairs, longer, [(lang, [w.encode() for w in words]) for lang, words in borders]))
+
+    def rows(held: dict, limits: list) -> Iterator[pa.RecordBatch]:
+        every = sorted((lang, key.split(b"\t"), n) for lang, counts in held.items() for key, n in counts.items())
         held.clear()
+        start = 0
+        for number, limit in enumerate([*limits, None]):
+            stop = len(every) if limit is None else bisect.bisect_left(every, limit, start, key=lambda x: x[:2])
+            if stop > start:
+                yield _run(number, every[start:stop])
+            start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = known.value, {}
+        *own, limits = known.value
+        held = {}
         for batch in slices(batches, SLICE):
             for lang, numbers, codes in _sequences(batch):
                 table, seen = _windows_of(numbers, codes, *own, bits, longest)
@@ -279,10 +289,45 @@ def _read_windows(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits:
                 for line, n in zip(table.tolist(), seen.tolist(), strict=True):
                     counts[b"\t".join([words[i] for i in line if i >= 0])] += n
             if sum(map(len, held.values())) > HELD:
-                yield from rows(held)
-        yield from rows(held)
+                yield from rows(held, limits)
+        yield from rows(held, limits)
+
+    return docs.mapInArrow(run, RUNS)
+
+
+RUNS = "range int, langs array<string>, sizes array<int>, words array<string>, counts array<long>"
+
+
+def _run(number: int, windows: list[tuple[str, list, int]]) -> pa.RecordBatch:
+    """One packed row."""
+
+    def listed(values: list, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+    langs, words, counts = zip(*windows, strict=True)
+    flat = [w.decode() if isinstance(w, bytes) else w for own in words for w in own]
+    columns = [pa.array([number], pa.int32()), listed(langs, pa.string()), listed([len(own) for own in words], pa.int32()), listed(flat, pa.string()), listed(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["range", "langs", "sizes", "words", "counts"])
+
+
+def _unpacked_run(row: tuple) -> Iterator[tuple[str, tuple, int]]:
+    at = 0
+    for lang, size, n in zip(row[1], row[2], row[4], strict=True):
+        yield lang, tuple(row[3][at : at + size]), n
+        at += size
 
-    return docs.mapInArrow(run, "lang string, words array<string>, n long")
+
+def _borders(docs: DataFrame, pairs: np.ndarray, longer: np.ndarray, bits: int, longest: int, size: int) -> list[tuple[str, list[str]]]:
+    """Windows that cut a sample of about SAMPLE bytes of text into ranges of equal numbers of windows.
+
+    Only how evenly the ranges are filled depends on the sample.
+    """
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.where(unit <= min(1.0, SAMPLE / max(size, 1)))
+    found = sorted({(lang, words) for row in _read_windows(sample, pairs, longer, bits, longest, []).toLocalIterator() for lang, words, _ in _unpacked_run(row)})
+    at = sorted({i * len(found) // ranges for i in range(1, ranges)} - {0})
+    return [(found[i][0], list(found[i][1])) for i in at if i < len(found)]
 
 
 def _shared(a: list, b: list) -> int:
@@ -294,18 +339,19 @@ def _shared(a: list, b: list) -> int:
     return n
 
 
-def beginnings(windows: DataFrame, least: int) -> DataFrame:
-    """``lang, words, n`` of all beginnings of two words or more found ``least`` times, from ``windows(lang, words, n)``.
+def beginnings(runs: DataFrame, least: int) -> DataFrame:
+    """``lang, words, n`` of all beginnings of two words or more found ``least`` times, from packed runs of windows.
 
-    Each row of ``windows`` counts for all its beginnings. Rows may repeat.
+    Each window counts for all its beginnings. Runs of a range meet in one task, which holds the
+    range's different windows.
     """
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, now, sums, edge = None, [], [], 0
-        out: list = []
+    def walk(windows: list[tuple[tuple, int]]) -> list[tuple]:
+        out, lang, now, sums = [], None, [], []
+        # beginnings up to ``edge`` words reach back to the first window of this range
+        edge = 0
 
         def close(depth: int) -> None:
-            # beginnings up to ``edge`` words reach back to the first window of this range
             nonlocal edge
             while len(now) > depth:
                 n, size = sums.pop(), len(now)
@@ -314,28 +360,35 @@ def beginnings(windows: DataFrame, least: int) -> DataFrame:
                 now.pop()
             edge = min(edge, depth)
 
-        first = True
-        for batch in batches:
-            for own, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                same = _shared(now, words) if own == lang else 0
-                close(same)
-                lang = own
-                now.extend(words[same:])
-                sums.extend([0] * (len(words) - same))
-                for i in range(len(words)):
-                    sums[i] += n
-                if first:
-                    first, edge = False, len(words)
-            if out:
-                yield _phrases(out)
-                out.clear()
+        for place, ((own, words), n) in enumerate(windows):
+            same = _shared(now, words) if own == lang else 0
+            close(same)
+            lang = own
+            now.extend(words[same:])
+            sums.extend([0] * (len(words) - same))
+            for i in range(len(words)):
+                sums[i] += n
+            if not place:
+                edge = len(words)
         edge = len(now)  # what is open at the end may go on in the next range
         close(0)
-        if out:
-            yield _phrases(out)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Counter()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != now:
+                    if found := walk(sorted(held.items())):
+                        yield _phrases(found)
+                    now, held = row[0], Counter()
+                for lang, words, n in _unpacked_run(row):
+                    held[lang, words] += n
+        if found := walk(sorted(held.items())):
+            yield _phrases(found)
 
-    ranges = windows.repartitionByRange(F.col("lang"), F.col("words")).sortWithinPartitions("lang", "words").select("lang", "words", "n")
-    return ranges.mapInArrow(walk, "lang string, words array<string>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    placed = runs.repartition("range").sortWithinPartitions("range").select("range", "langs", "sizes", "words", "counts")
+    return placed.mapInArrow(run, "lang string, words array<string>, n long").groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _phrases(rows: list) -> pa.RecordBatch:
@@ -397,7 +450,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str
     totals = stage(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     pairs = _frequent_slots(counted, bits, least)
     longer = _frequent_slots(_read_longer(own, pairs, bits, least, longest), bits, least)
-    windows = stage(_read_windows(own, pairs, longer, bits, longest), "phrase-windows")
+    borders = _borders(own, pairs, longer, bits, longest, size)
+    windows = stage(_read_windows(own, pairs, longer, bits, longest, borders), "phrase-windows")
     single = words.where(F.col("n") >= least).select("lang", F.array("word").alias("words"), "n")
     return stage(beginnings(windows, least).unionByName(single), "phrase-counts"), totals
 
