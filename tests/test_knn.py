@@ -277,3 +277,40 @@ def test_a_sample_beyond_a_broadcast_is_searched_in_slices(spark, monkeypatch):
     assert rows(found, *columns) == whole
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") > 1
+
+
+@pytest.mark.parametrize("size", [3, 1_000], ids=["many packs", "one pack"])
+def test_large_samples_pass_by_the_driver(spark, monkeypatch, size):
+    first, query = fixture(seed=1, n_train=60, n_query=25)
+    second, _ = fixture(seed=2, n_train=40, n_query=10)
+    t, q = frames(spark, first + [(1, *row[1:]) for row in second], query + [(1, *row[1:]) for row in query])
+    columns = ["run", "id", "rank", "train_id", "category", "distance2"]
+    whole = rows(knn.neighbours(t, q, 7), *columns)
+    monkeypatch.setattr(knn, "TEXT_BYTES", 0)
+    for name in ("PACK_ROWS", "QUERY_PACK_ROWS"):
+        monkeypatch.setattr(knn, name, size)
+
+    def refused(*_):
+        raise AssertionError("rows went to the driver")
+
+    monkeypatch.setattr(type(t), "toArrow", refused)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", refused)
+    found = knn.neighbours(t, q, 7)
+    assert [(*r[:5], pytest.approx(r[5], abs=2e-9)) for r in whole] == rows(found, *columns)
+    assert knn.neighbours(t, q.limit(0), 7).count() == 0
+
+
+def test_terms_of_one_hash_stay_apart(spark, monkeypatch):
+    train, query = fixture(n_train=20, n_query=5)
+    t, q = frames(spark, train, query)
+    real = features._number
+
+    def shared(salt, block, token):
+        return real(salt, block, token) if salt else real(salt, block, F.substring(token, 1, 0))
+
+    monkeypatch.setattr(features, "_number", shared)
+    bags = features.bagged(t, q)
+    assert [b.count() for b in bags] == [20, 5]
+    terms = {(b, w) for row in [*train, *query] for b in range(3) for w in tokens(row[2 + b])}
+    found = {n for b in bags for r in b.collect() for part in r["bag"] for n in part}
+    assert len(found) == len(terms)
