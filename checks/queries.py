@@ -344,9 +344,7 @@ def month_semi(spark, sf):
 @query
 def ngram_counts(spark, sf):
     docs = derived.table(spark, sf, "documents")
-    return files.union_by_name(
-        [ngrams.ngram_counts(docs, "text", n).withColumn("n", F.lit(n)) for n in (1, 2, 3)]
-    )
+    return ngrams.ngram_counts(docs, "text", (1, 2, 3))
 
 
 def _monthly(spark, sf):

@@ -115,3 +115,51 @@ def test_summaries_pass_on_candidates_only(spark):
     found = ngrams.top_words_by_summaries(frame, "content", top=1, kept=100)
     assert [tuple(r) for r in found.collect()] == [("often", 1500)]
     assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_count_before_the_shuffle(spark):
+    # phrases longer than a run of terms apart, repeats across runs, rows and keys; counted a few runs at a time
+    listed = [(JAN, "ab cd " * 400), (FEB, "ab cd " * 3), (None, "ab cd"), (JAN, "é_1 ab cd"), (FEB, ""), (FEB, None), (JAN, "x")]
+    frame = spark.createDataFrame(listed, "month date, content string").repartition(2)
+    for n in (1, 2, 3, 5):
+        whole = ngrams.phrases(frame, "content", ["month"], {"n": n}).groupBy("month", "phrase").count()
+        for held in (None, 10):
+            counted = ngrams.phrase_counts(ngrams.term_runs(frame, "content", ["month"], n), ["month"], {"n": n}, held=held)
+            assert rows(counted, "month", "phrase", "count") == rows(whole, "month", "phrase", "count")
+    packed = ngrams.packed_counts(ngrams.term_runs(frame.limit(1), "content", [], 2), [], {"n": 2}, ngrams.to_arrow_schema(counted.select("phrase", "count").schema), 1000, ngrams.Tally.starts)
+    assert packed.count() <= 2  # 799 phrases, two of them different
+
+
+def test_lengths_are_counted_in_one_reading(posts):
+    together = ngrams.ngram_counts(posts, "content", (1, 2, 3), min_count=1)
+    apart = [(*r, n) for n in (1, 2, 3) for r in rows(ngrams.ngram_counts(posts, "content", n, min_count=1), "phrase", "count")]
+    assert rows(together, "phrase", "count", "n") == sorted(apart)
+    assert together._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_numbers_of_phrases_do_not_overflow(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"terms": [["a", "b", "c", "a", "b", "c"], ["b", "c", "a"]], "key": ["x", "y"]})
+    tally = ngrams.Tally([batch], ["key"])
+    found = [tally.count(3, tally.starts(3), limit) for limit in (1 << 62, 4, 1)]
+    listed = [sorted(zip(tally.keys[0].take(pa.array(g)).to_pylist(), tally.phrases(t).to_pylist(), c.tolist(), strict=True)) for g, t, c in found]
+    assert listed[0] == listed[1] == listed[2] == [("x", "a b c", 2), ("x", "b c a", 1), ("x", "c a b", 1), ("y", "b c a", 1)]
+
+
+def test_months_phrases_are_not_shuffled_one_by_one(posts):
+    monthly = ngrams.monthly_ngrams(posts, posts.withColumnRenamed("content", "hashtags"), posts.withColumnRenamed("content", "username"))
+    levels = ngrams.term_runs(posts, "content", ["month"], 3)
+    for frame in (monthly, ngrams.collated_ngrams(monthly), ngrams.ngram_counts(posts, "content", 2), ngrams.phrase_counts(levels, ["month"], {"n": 2})):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 2 and "packed" in plan
+
+
+def test_levels_pass_bits(spark, posts):
+    # of a phrase whose parts repeat in another month only, nothing is counted
+    counts = spark.createDataFrame([(JAN, "red"), (JAN, "fox"), (FEB, "red")], "month date, phrase string")
+    bits = ngrams._bits(counts, ["month"], 1, 1 << 16)
+    assert sum(int(b).bit_count() for b in bits if b >= 0) + sum(64 - (~int(b)).bit_count() for b in bits if b < 0) == 3
+    runs = ngrams.term_runs(posts, "content", ["month"], 3)
+    counted = ngrams.phrase_counts(runs, ["month"], {"n": 2}, passing=ngrams._both_parts(bits, 1 << 16))
+    assert rows(counted, "month", "phrase", "count") == [(JAN, "fox red", 1), (JAN, "red fox", 3)]
