@@ -118,6 +118,18 @@ def test_assembled_features(spark):
     ]
 
 
+@pytest.mark.parametrize("limit", [None, -1], ids=["broadcast", "shuffled"])
+def test_partitions_follow_the_size_of_the_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(features, "TASK_BYTES", 100)
+    t = spark.createDataFrame([(0, i, "aa bb " * 40, "cc", None, 0.5, 0.25) for i in range(50)], COLUMNS)
+    assert features.text_partitions(t) == 50 * 242 // 100
+    weights = features.fit(t).transform(t, broadcast_limit=limit)
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    # by a number, so that Spark does not merge them
+    assert re.search(r"RepartitionByExpression \[id#\d+L?\], 121", plan)
+    assert weights.count() == 150
+
+
 @pytest.mark.parametrize("limit", [None, -1], ids=["broadcast", "salted"])
 def test_neighbours(spark, limit):
     train, query = fixture()
