@@ -31,15 +31,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from postlens.llm.common import map_texts, raw, stage_packed, texts
+from postlens.llm.common import map_texts, raw, texts
 from postlens.runtime import stage
 
 ORDER, ESCAPE = 5, 0.25
 END = b"\xff"
-# Bytes of text in a block, and in the runs in which its windows are read.
-BLOCK_BYTES, RUN_BYTES = 24 << 20, 1 << 19
-# Parts into which requests are dealt: as many as blocks, within these bounds.
-LEAST_PARTS, PARTS = 16, 4096
+# Bytes of text in a block, and in the runs in which its windows are read. A task holds a block with
+# its words, its windows and their values, some twenty times its bytes.
+BLOCK_BYTES, RUN_BYTES = 8 << 20, 1 << 19
+# Parts into which requests are dealt: one for so many blocks, within these bounds.
+BLOCKS_PER_PART, LEAST_PARTS, PARTS = 2, 16, 4096
+# Blocks of a file: Spark reads what a row group has of a nested column at once.
+BLOCKS_PER_FILE = 2
+# Windows whose values a task deals into parts at once.
+DEALT = 1 << 20
 
 
 def windows(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +142,8 @@ class Block:
         return [*runs, slice(start, len(self.texts))] if self.texts else []
 
     def word_counts(self, chosen: np.ndarray) -> np.ndarray:
-        counts = np.zeros(len(self.words), np.int64)
-        for codes, take in zip(self.codes, chosen.tolist(), strict=True):
-            if take:
-                np.add.at(counts, codes, 1)
-        return counts
+        held = [codes for codes, take in zip(self.codes, chosen.tolist(), strict=True) if take]
+        return np.bincount(np.concatenate(held), minlength=len(self.words)) if held else np.zeros(len(self.words), np.int64)
 
     def read_runs(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
         """For each run of texts: its place, its distinct windows, the number of each window's, and the texts' lengths."""
@@ -195,18 +197,55 @@ def _part_of_windows(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mixed >> np.uint64(40)) % np.uint64(parts)
 
 
+def _squeezed(data: bytes) -> bytes:
+    """``data`` after its length, compressed more than a shuffle would."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _loosened(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes, and so on, where equal ones stand together; compressed."""
+    return _squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
+
+
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_loosened(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed_words(words: list[bytes]) -> bytes:
+    return _squeezed(b"\n".join(words))
+
+
+def _words_of(data: bytes) -> list[bytes]:
+    return _loosened(data).split(b"\n")
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Windows in ascending order, as their distances."""
+    return _planes(np.diff(keys, prepend=0))
+
+
+def _keys_of(data: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(data, np.int64))
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``block, doc_ids, learn, texts``: the documents in blocks of about BLOCK_BYTES, one row each, staged."""
+    """``block, doc_ids, learn, sizes, texts``: the documents in blocks of about BLOCK_BYTES, one row each; the texts' bytes are packed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, learn, held, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            row = {"doc_ids": pa.array([ids], pa.list_(pa.int64())), "learn": pa.array([learn], pa.list_(pa.bool_())), "texts": pa.array([held], pa.list_(pa.string()))}
+            row = {"doc_ids": pa.array([ids], pa.list_(pa.int64())), "learn": pa.array([learn], pa.list_(pa.bool_()))}
+            row |= {"sizes": pa.array([list(map(len, held))], pa.list_(pa.int32())), "texts": pa.array([_squeezed(b"".join(held))], pa.binary())}
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for one, take, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learn", "text")), strict=True):
+            for one, take, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learn")), raw(batch), strict=True):
                 if held and size + len(text) > BLOCK_BYTES:
                     yield out()
                     ids, learn, held, size = [], [], [], 0
@@ -217,12 +256,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(pack, "doc_ids array<long>, learn array<boolean>, texts array<string>").withColumn("block", F.monotonically_increasing_id())
+    return docs.mapInArrow(pack, "doc_ids array<long>, learn array<boolean>, sizes array<int>, texts binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def _block_of(batch: pa.RecordBatch, row: int) -> tuple[Block, np.ndarray]:
-    values = batch.column("texts")[row].values
-    return Block([] if values is None else values.cast(pa.binary()).to_pylist()), np.array(batch.column("learn")[row].as_py() or [], bool)
+    ends = np.cumsum([0, *batch.column("sizes")[row].as_py()]).tolist()
+    data = _loosened(batch.column("texts")[row].as_py())
+    return Block([data[a:b] for a, b in zip(ends, ends[1:])]), np.array(batch.column("learn")[row].as_py(), bool)  # noqa: B905
 
 
 _REQUEST = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -241,16 +281,16 @@ def _requests(blocks: DataFrame, parts: int) -> DataFrame:
                 own, counts = np.array(block.words, object), block.word_counts(learn)
                 part = _part_of_words(block.words, parts)
                 for p, at in _grouped(part, parts):
-                    rows.append((p, WORDS, b"\n".join(own[at].tolist()), counts[at].astype("<i4").tobytes()))
+                    rows.append((p, WORDS, _packed_words(own[at].tolist()), _planes(counts[at].astype(np.int32))))
                 keys, counts = block.window_counts(learn)
                 for p, at in _grouped(_part_of_windows(keys, parts), parts):
-                    rows.append((p, WINDOWS, keys[at].tobytes(), counts[at].astype("<i4").tobytes()))
+                    rows.append((p, WINDOWS, _packed_keys(keys[at]), _planes(counts[at].astype(np.int32))))
                 if rows:
                     number = batch.column("block")[row].as_py()
                     p, kind, key, count = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([number] * len(p), p, kind, key, count), _REQUEST, strict=True)], schema=_REQUEST)
 
-    return blocks.select("block", "learn", "texts").mapInArrow(run, REQUEST)
+    return blocks.select("block", "learn", "sizes", "texts").mapInArrow(run, REQUEST)
 
 
 def _grouped(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -271,8 +311,8 @@ def _word_dictionary(requests: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([now], pa.int32()),
-                    "keys": pa.array([b"\n".join(held)], pa.binary()),
-                    "counts": pa.array([counts.tobytes()], pa.binary()),
+                    "keys": pa.array([_packed_words(list(held))], pa.binary()),
+                    "counts": pa.array([_planes(counts)], pa.binary()),
                     "total": [int(counts.sum())],
                     "known": [int((counts > 0).sum())],
                 }
@@ -284,7 +324,7 @@ def _word_dictionary(requests: DataFrame) -> DataFrame:
                     if held:
                         yield out()
                     now, held = part, {}
-                for word, n in zip(keys.split(b"\n"), np.frombuffer(counts, "<i4").tolist(), strict=True):
+                for word, n in zip(_words_of(keys), _of_planes(counts, np.int32).tolist(), strict=True):
                     held[word] = held.get(word, 0) + n
         if held:
             yield out()
@@ -311,8 +351,8 @@ def _window_sums(requests: DataFrame) -> DataFrame:
                         keys, sums = merged()
                         yield pa.RecordBatch.from_pydict({"key": keys, "n": sums})
                     now, keys, sums, more_keys, more_sums = part, np.empty(0, np.int64), np.empty(0, np.int64), [], []
-                more_keys.append(np.frombuffer(own, np.int64))
-                more_sums.append(np.frombuffer(counts, "<i4").astype(np.int64))
+                more_keys.append(_keys_of(own))
+                more_sums.append(_of_planes(counts, np.int32))
                 if sum(map(len, more_keys)) > 1 << 20:
                     keys, sums = merged()
                     more_keys, more_sums = [], []
@@ -373,11 +413,24 @@ def _answers(requests: DataFrame, words: DataFrame, values: DataFrame, parts: in
     A part's dictionary comes first, then its requests; a task holds one part's at a time.
     """
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, found = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, found = keys[order], found[order]
+            rows = [(p, _packed_keys(keys[at]), _planes(found[at])) for p, at in _grouped(_part_of_windows(keys, parts), parts)]
+            p, own, values = zip(*rows, strict=True)
+            return pa.RecordBatch.from_pydict({"part": pa.array(p, pa.int32()), "keys": pa.array(own, pa.binary()), "counts": pa.array(values, pa.binary())})
+
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            found = batch.column("value").to_numpy(zero_copy_only=False).astype(np.float32)
-            for p, at in _grouped(_part_of_windows(keys, parts), parts):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "keys": pa.array([keys[at].tobytes()], pa.binary()), "counts": pa.array([found[at].tobytes()], pa.binary())})
+            held.append((batch.column("key").to_numpy(zero_copy_only=False), batch.column("value").to_numpy(zero_copy_only=False).astype(np.float32)))
+            size += batch.num_rows
+            if size >= DEALT:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known, table = None, {}, []
@@ -388,20 +441,20 @@ def _answers(requests: DataFrame, words: DataFrame, values: DataFrame, parts: in
                     now, known, table = (part, kind), {}, []
                 if block < 0:
                     if kind == WORDS:
-                        known.update(zip(keys.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True))
+                        known.update(zip(_words_of(keys), _of_planes(counts, np.int64).tolist(), strict=True))
                     else:
-                        table.append((np.frombuffer(keys, np.int64), np.frombuffer(counts, np.float32)))
+                        table.append((_keys_of(keys), _of_planes(counts, np.float32)))
                     continue
                 if kind == WORDS:
-                    own = keys.split(b"\n")
+                    own = _words_of(keys)
                     found = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
                 else:
                     if not isinstance(known, tuple):
                         every = np.concatenate([k for k, _ in table])
                         order = np.argsort(every)
                         known = every[order], np.concatenate([v for _, v in table])[order]
-                    found = known[1][np.searchsorted(known[0], np.frombuffer(keys, np.int64))]
-                rows.append((block, part, kind, found.tobytes()))
+                    found = known[1][np.searchsorted(known[0], _keys_of(keys))]
+                rows.append((block, part, kind, _planes(found)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
@@ -422,9 +475,9 @@ def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "
     count each time; texts are read whole; an empty table gives an empty result.
     """
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = stage_packed(_blocks(own), "blocks")
-    parts = min(PARTS, max(LEAST_PARTS, blocks.select("block").count()))
-    requests = stage_packed(_requests(blocks, parts), "requests")
+    blocks = stage(_blocks(own), "blocks", BLOCKS_PER_FILE)
+    parts = min(PARTS, max(LEAST_PARTS, -(-blocks.select("block").count() // BLOCKS_PER_PART)))
+    requests = stage(_requests(blocks, parts), "requests", 2 * parts * BLOCKS_PER_FILE)
     words = stage(_word_dictionary(requests), "words")
     ends = blocks.select(F.sum(F.size(F.filter("learn", lambda x: x))).alias("n")).first()["n"] or 0
     sums = words.agg(F.sum("total").alias("total"), F.sum("known").alias("known")).first()
@@ -446,8 +499,8 @@ def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "
                 ids = batch.column("doc_ids")[row].as_py() or []
                 yield _scored(block, ids, learned, held, parts, total, known, ends)
 
-    sent = answers.select("block", "part", "kind", "values").withColumn("doc_ids", F.lit(None).cast("array<long>")).withColumn("learn", F.lit(None).cast("array<boolean>")).withColumn("texts", F.lit(None).cast("array<string>"))
-    back = blocks.select("block", F.lit(0).alias("part"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("values"), "doc_ids", "learn", "texts")
+    sent = answers.select("block", "part", "kind", "values").withColumn("doc_ids", F.lit(None).cast("array<long>")).withColumn("learn", F.lit(None).cast("array<boolean>")).withColumn("sizes", F.lit(None).cast("array<int>")).withColumn("texts", F.lit(None).cast("binary"))
+    back = blocks.select("block", F.lit(0).alias("part"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("values"), "doc_ids", "learn", "sizes", "texts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return sent.unionByName(back).repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, schema)
 
@@ -456,7 +509,7 @@ def _scored(block: Block, ids: list, learned: np.ndarray, held: dict, parts: int
     counts = np.zeros(len(block.words), np.int64)
     place = dict(_grouped(_part_of_words(block.words, parts), parts))
     for part, blob in held[WORDS]:
-        counts[place[part]] = np.frombuffer(blob, np.int64)
+        counts[place[part]] = _of_planes(blob, np.int64)
     scale = math.log10(total + 0.1 * (known + 1))
     worth = np.log10(counts + 0.1) - scale
     end = math.log10(ends + 0.1) - scale
@@ -468,7 +521,7 @@ def _scored(block: Block, ids: list, learned: np.ndarray, held: dict, parts: int
     value = np.empty(len(every))
     place = dict(_grouped(_part_of_windows(every, parts), parts))
     for part, blob in held[WINDOWS]:
-        value[place[part]] = np.frombuffer(blob, np.float32)
+        value[place[part]] = _of_planes(blob, np.float32)
     score = np.empty(len(block.texts))
     for run, distinct, codes, lengths in block.read_runs():
         per_byte = value[np.searchsorted(every, distinct)][codes]

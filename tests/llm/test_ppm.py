@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,33 @@ def test_adaptive(spark):
     assert found[0]["score"] == pytest.approx(P.Trie().code(b"abab abab abab abab", True))
     assert found[0]["score"] > -20 * math.log10(256) * 0.6
     assert found[1]["score"] == pytest.approx(-math.log10(256))
+
+
+def test_a_task_holds_a_few_rows_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(P, "DEALT", 50)
+    held = {}
+
+    def watched(df, label, rows_per_file=0, real=P.stage):
+        held[label] = real(df, label, rows_per_file)
+        return held[label]
+
+    monkeypatch.setattr(P, "stage", watched)
+    rows = [(i, f"word{i} and word{i % 5} of some text ") for i in range(150)]
+    same(P.scores(of(spark, [t for _, t in rows]).coalesce(1), learn()).collect(), rows)
+    blocks, requests = held["blocks"], held["requests"]
+    assert blocks.count() >= 15
+    # whatever the number of blocks, Spark reads few of them at once, and few of their requests
+    files = blocks.groupBy(F.input_file_name()).agg(F.sum(F.aggregate("sizes", F.lit(0), lambda n, t: n + t)).alias("n"))
+    assert files.agg(F.max("n")).first()[0] <= P.BLOCKS_PER_FILE * (300 + 40)
+    assert requests.groupBy(F.input_file_name()).agg(F.count_distinct("block").alias("n")).agg(F.max("n")).first()[0] <= 2 * P.BLOCKS_PER_FILE + 1
+    assert requests.select("part").distinct().count() <= max(P.LEAST_PARTS, -(-blocks.count() // P.BLOCKS_PER_PART))
+
+
+def test_sorted_windows_are_packed_without_loss():
+    rng = np.random.default_rng(1)
+    for keys in (np.empty(0, np.int64), np.unique(rng.integers(0, 1 << 48, 999))):
+        assert P._keys_of(P._packed_keys(keys)).tolist() == keys.tolist()
+        for kind in (np.int32, np.float32):
+            own = keys.astype(kind)
+            assert P._of_planes(P._planes(own), kind).tolist() == own.tolist()
