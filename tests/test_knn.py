@@ -326,3 +326,53 @@ def test_terms_of_one_hash_stay_apart(spark, monkeypatch):
     terms = {(b, w) for row in [*train, *query] for b in range(3) for w in tokens(row[2 + b])}
     found = {n for b in bags for r in b.collect() for part in r["bag"] for n in part}
     assert len(found) == len(terms)
+
+
+def bag_packs(rows_, size):
+    """Packs of rows ``id, bag``, and the numbers of rows that hold their terms."""
+    table = pa.RecordBatch.from_pydict(
+        {
+            "run": pa.array([0] * len(rows_), pa.int32()),
+            "id": pa.array([i for i, _ in rows_]),
+            "sentiment": pa.array([0.0] * len(rows_)),
+            "subjectivity": pa.array([0.0] * len(rows_)),
+            "category": pa.array(["A"] * len(rows_)),
+            "bag": pa.array([b for _, b in rows_], pa.list_(pa.list_(pa.int64()))),
+        }
+    )
+    return [b.to_pylist()[0] for b in postings.packs(iter([table]), 3, size, 10**6)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 2.0], ids=["matrices", "both", "lists"])
+def test_packs_of_other_hashtags_are_left_unread(monkeypatch, share):
+    monkeypatch.setattr(postings, "DENSE", share)
+    monkeypatch.setattr(postings, "ENTRIES", 50)
+    rng = random.Random(2)
+    own = [(i, [[rng.randrange(40) for _ in range(12)], [100 + i // 40], [200 + i // 40]]) for i in range(160)]
+    packs_ = bag_packs(own, 40)
+    df = Counter(t for p in packs_ for t, n in zip(p["terms"], p["held"], strict=True) for _ in range(n))
+    assert df[100] == 40 and len(packs_) == 4
+
+    def held(number, p):
+        return postings.Rows(number, 0, p["head"], p["body"], np.array([df[t] for t in p["terms"]], np.int32).tobytes(), 160, 3)
+
+    given = [held(i, p) for i, p in enumerate(packs_)]
+    nearest = postings.Nearest(held(9, packs_[0]), 5)
+    assert nearest.meet(given) < 160 * 40
+    whole = postings.Nearest(held(9, packs_[0]), 5)
+    monkeypatch.setattr(postings, "least_distances", lambda a, b: np.full((len(a.base), len(b.base)), -np.inf))
+    assert whole.meet(given[::-1]) == 160 * 40
+    assert whole.ids.tolist() == nearest.ids.tolist()
+    assert [x.tolist() for x in whole.found()] == [x.tolist() for x in nearest.found()]
+
+
+def test_runs_meet_their_posts_on_the_partitions_of_the_clusters(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CLUSTER_ROWS", 5)
+    bags = [(i, i % 3, [[i, i + 1], [i % 4], [i % 2]]) for i in range(60)]
+    posts = knn.clustered(spark.createDataFrame(bags, "id long, note int, bag array<array<bigint>>"))
+    drawn = spark.createDataFrame([(run, i, "A") for run in range(2) for i in range(run, 60, 2)], "run int, id long, category string")
+    drawn = runtime.stage(drawn, "test-drawn")
+    columns = ["run", "id", "category", "note", "bag", "cluster"]
+    found = [rows(knn.with_clusters(drawn, posts, limit), *columns) for limit in (10**6, 0)]
+    assert found[0] == found[1] and len(found[0]) == 60
+    assert max(Counter(r[5] for r in found[0]).values()) < 20
